@@ -86,8 +86,8 @@ def _pieces(elements: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     touched = elements.withColumn("chunk_no", F.explode(F.sequence(first, last)))
     joined = touched.join(chunks.select("seq_id", "chunk_no", "core_start", "core_end", "left_pad", "residues"), ["seq_id", "chunk_no"])
     lo, hi = F.greatest("start", "core_start"), F.least("end", "core_end")
-    piece = F.substring(F.col("residues"), lo - F.col("core_start") + F.col("left_pad") + 1, F.greatest(hi - lo + 1, F.lit(0)))
-    return joined.withColumn("_piece", piece).drop("residues", "core_start", "core_end", "left_pad")
+    piece = F.substring(F.col("residues"), lo - F.col("core_start") + F.col("left_pad") + 1, hi - lo + 1)
+    return joined.where(lo <= hi).withColumn("_piece", piece).drop("residues", "core_start", "core_end", "left_pad")
 
 
 def slice_sequences(elements: DataFrame, chunks: DataFrame, key: Sequence[str], size: int = CHUNK_SIZE) -> DataFrame:
@@ -206,7 +206,8 @@ def trim_terminal_gaps(t: DataFrame, max_ambiguous: float = 0.30, min_length: in
 
 def _peptide(residues: Column, frame: int) -> Column:
     """Peptide read from the ``frame``-th letter on; codons outside the table give X."""
-    codons = F.regexp_extract_all(F.substring(F.upper(residues), frame, 2**31 - 1), F.lit("(?s)..."), F.lit(0))
+    bases = F.translate(residues, "acgt", "ACGT")
+    codons = F.regexp_extract_all(F.substring(bases, frame, 2**31 - 1), F.lit("(?s)..."), F.lit(0))
     pairs = [F.lit(v) for kv in codon_table().items() for v in kv]
     table = F.create_map(*pairs)
     return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
@@ -240,7 +241,7 @@ def gap_runs(t: DataFrame, gap: str = "-", key: Sequence[str] = ("seq_id",)) ->
         index = F.sequence(F.lit(1), n)
         first = F.filter(index, lambda i: at(i) & ((i == 1) | ~F.coalesce(at(i - 1), F.lit(False))))
         last = F.filter(index, lambda i: at(i) & ((i == n) | ~F.coalesce(at(i + 1), F.lit(False))))
-        return F.arrays_zip(first.alias("start"), last.alias("end"))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
     runs = _bound(characters("residues"), borders)
     return (
@@ -248,9 +249,9 @@ def gap_runs(t: DataFrame, gap: str = "-", key: Sequence[str] = ("seq_id",)) ->
         .select(*key, F.explode(runs).alias("r"))
         .select(
             *key,
-            (F.col("r")["1"] - F.col("r")["0"] + 1).cast("bigint").alias("run_length"),
-            F.col("r")["0"].cast("bigint").alias("start"),
-            F.col("r")["1"].cast("bigint").alias("end"),
+            (F.col("r.end") - F.col("r.start") + 1).cast("bigint").alias("run_length"),
+            F.col("r.start").cast("bigint").alias("start"),
+            F.col("r.end").cast("bigint").alias("end"),
         )
     )
 
@@ -374,7 +375,7 @@ def substitution_distance(t: DataFrame, rate: float = 1e-8, left: str = "left",
             .otherwise(3)
         )
 
-    codes = F.zip_with(characters(F.upper(left)), characters(F.upper(right)), code)
+    codes = F.zip_with(characters(F.translate(left, "acgt", "ACGT")), characters(F.translate(right, "acgt", "ACGT")), code)
 
     def tally(c: Column) -> Column:
         def count(v: int) -> Column:
