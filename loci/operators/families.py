@@ -191,11 +191,11 @@ def family_similarity(hits: DataFrame, members: DataFrame, min_length: int = 80,
 
 
 def library_labels(t: DataFrame) -> DataFrame:
-    """Name -> superfamily from headers ``name<TAB>superfamily<TAB>source``.
+    """Name -> superfamily from ``header`` texts ``name<TAB>superfamily<TAB>source``.
 
     Blanks become underscores; one row per name.
     """
-    fields = F.split(F.concat_ws("\t", "seq_id", "description"), "\t")
+    fields = F.split("header", "\t")
     named = t.select(fields.alias("f")).where(F.size("f") >= 2)
     label = F.regexp_replace(F.col("f")[1], r"\s+", "_")
     name = F.regexp_replace(F.col("f")[0], r"\s+", "_")

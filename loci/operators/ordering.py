@@ -68,3 +68,8 @@ def concatenate(first: DataFrame, *others: DataFrame) -> DataFrame:
     for other in others:
         first = first.unionByName(other, allowMissingColumns=True)
     return first
+
+
+def unique_names(t: DataFrame, *cols: str) -> DataFrame:
+    """Each name once (U4)."""
+    return t.dropDuplicates(list(cols))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ambiguous_share, characters, reverse_complement, round_half_up
 from ..functions.names import parse_name
-from ..schema import codon_table
+from ..schema import CODON_BASES, CODON_PEPTIDES
 from .intervals import merge_intervals
 
 CHUNK_SIZE = 50_000
@@ -204,55 +204,78 @@ def trim_terminal_gaps(t: DataFrame, max_ambiguous: float = 0.30, min_length: in
 # translation
 
 
-def _peptide(residues: Column, frame: int) -> Column:
-    """Peptide read from the ``frame``-th letter on; codons outside the table give X."""
+def _base_numbers(residues: Column) -> Column:
+    """Place of each base in the code's base order, -100 for any other letter."""
     bases = F.translate(residues, "acgt", "ACGT")
-    codons = F.regexp_extract_all(F.substring(bases, frame, 2**31 - 1), F.lit("(?s)..."), F.lit(0))
-    pairs = [F.lit(v) for kv in codon_table().items() for v in kv]
-    table = F.create_map(*pairs)
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+    return F.transform(characters(bases), lambda x: F.when(x.isin(*CODON_BASES), F.instr(F.lit(CODON_BASES), x) - 1).otherwise(-100))
+
+
+def _peptide(numbers: Column, frame: int) -> Column:
+    """Peptide read from the ``frame``-th base on; a codon with an unknown letter gives X."""
+    table = F.array(*[F.lit(p) for p in CODON_PEPTIDES])
+    last = F.size(numbers) - 2
+
+    def codon(i: Column) -> Column:
+        at = F.get(numbers, i - 1) * 16 + F.get(numbers, i) * 4 + F.get(numbers, i + 1)
+        return F.coalesce(F.get(table, at), F.lit("X"))
+
+    starts = F.when(last >= frame, F.sequence(F.lit(frame), last, F.lit(3))).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(starts, codon), "")
 
 
 def translate_frames(t: DataFrame, frames: Sequence[int] = (1, 2, 3, -1, -2, -3)) -> DataFrame:
-    """Peptide of each reading frame of each sequence (F6); negative frames read the other strand."""
-    both = t.withColumn("_rc", reverse_complement("residues"))
-    rows = F.array(
-        *[F.struct(F.lit(f).alias("frame"), _peptide(F.col("residues" if f > 0 else "_rc"), abs(f)).alias("peptide")) for f in frames]
-    )
-    return both.select("seq_id", F.explode(rows).alias("r")).select("seq_id", "r.frame", "r.peptide")
+    """Peptide of each reading frame of each sequence (F6); negative frames read the other strand.
+
+    Bases become numbers once per sequence; a codon is then one array look-up.
+    On the other strand the numbers come in reverse order with T/A and C/G swapped.
+    """
+    forward = _base_numbers(F.col("residues"))
+
+    def peptides(n: Column) -> Column:
+        turned = F.transform(F.reverse(n), lambda d: F.when(d >= 0, (d + 2) % 4).otherwise(d))
+
+        def read(rc: Column) -> Column:
+            return F.array(
+                *[
+                    F.struct(F.lit(f).alias("frame"), _peptide(n if f > 0 else rc, abs(f)).alias("peptide"))
+                    for f in frames
+                ]
+            )
+
+        return _bound(turned, read)
+
+    return t.select("seq_id", F.explode(_bound(forward, peptides)).alias("r")).select("seq_id", "r.frame", "r.peptide")
 
 
 # --------------------------------------------------------------------------
 # gaps
 
 
-def gap_runs(t: DataFrame, gap: str = "-", key: Sequence[str] = ("seq_id",)) -> DataFrame:
-    """Maximal runs of the gap letter: length, first and last position.
+def _run_borders(c: Column, gap: str) -> Column:
+    """First and last index of each maximal run of ``gap`` in an array of letters."""
+    n = F.size(c)
 
-    Run borders are found inside each row, so nothing is shuffled.
-    """
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get(c, i - 1) == gap, F.lit(False))
 
-    def borders(c: Column) -> Column:
-        n = F.size(c)
+    index = F.sequence(F.lit(1), n)
+    first = F.filter(index, lambda i: at(i) & ~at(i - 1))
+    last = F.filter(index, lambda i: at(i) & ~at(i + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
-        def at(i: Column) -> Column:
-            return F.get(c, i - 1) == gap
 
-        index = F.sequence(F.lit(1), n)
-        first = F.filter(index, lambda i: at(i) & ((i == 1) | ~F.coalesce(at(i - 1), F.lit(False))))
-        last = F.filter(index, lambda i: at(i) & ((i == n) | ~F.coalesce(at(i + 1), F.lit(False))))
-        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+def gap_runs(t: DataFrame, gap: str = "-", key: Sequence[str] = ("seq_id",)) -> DataFrame:
+    """Maximal runs of the gap letter: length, first and last position.
 
-    runs = _bound(characters("residues"), borders)
+    Run borders are found inside each row, so nothing is shuffled and no text
+    is carried along.
+    """
+    runs = _bound(characters("residues"), lambda c: _run_borders(c, gap))
+    start, end = F.col("r.start").cast("bigint"), F.col("r.end").cast("bigint")
     return (
-        t.where(F.length("residues") > 0)
+        t.where(F.contains("residues", F.lit(gap)))
         .select(*key, F.explode(runs).alias("r"))
-        .select(
-            *key,
-            (F.col("r.end") - F.col("r.start") + 1).cast("bigint").alias("run_length"),
-            F.col("r.start").cast("bigint").alias("start"),
-            F.col("r.end").cast("bigint").alias("end"),
-        )
+        .select(*key, (end - start + 1).alias("run_length"), start.alias("start"), end.alias("end"))
     )
 
 
@@ -295,15 +318,27 @@ def flank_repeats(
     first ``slack`` letters behind it, and hold no gap letter. Gaps without
     room for both flanks are passed over.
     """
-    runs = gap_runs(t.select(*key, "residues"), gap, key=[*key, "residues"]).where(F.col("run_length") >= min_gap)
-    inside = (F.col("start") - flank >= 1) & (F.col("end") + flank <= F.length("residues"))
-    flanked = runs.where(inside).select(
-        *key,
-        "run_length",
-        "start",
-        "end",
-        F.substring(F.col("residues"), F.col("start") - flank, F.lit(flank)).alias("upstream"),
-        F.substring(F.col("residues"), F.col("end") + 1, F.lit(flank)).alias("downstream"),
+
+    def flanks(c: Column) -> Column:
+        runs = F.filter(
+            _run_borders(c, gap),
+            lambda r: (r["end"] - r["start"] + 1 >= min_gap) & (r["start"] - flank >= 1) & (r["end"] + flank <= F.size(c)),
+        )
+        return F.transform(
+            runs,
+            lambda r: F.struct(
+                r["start"].cast("bigint").alias("start"),
+                r["end"].cast("bigint").alias("end"),
+                F.array_join(F.slice(c, r["start"] - flank, flank), "").alias("upstream"),
+                F.array_join(F.slice(c, r["end"] + 1, flank), "").alias("downstream"),
+            ),
+        )
+
+    flanked = (
+        t.where(F.contains("residues", F.lit(gap)))
+        .select(*key, F.explode(_bound(characters("residues"), flanks)).alias("r"))
+        .select(*key, "r.*")
+        .withColumn("run_length", F.col("end") - F.col("start") + 1)
     )
 
     def candidate(n: Column, off: Column, at: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from . import q_hierarchy, q_hits, q_intervals, q_sequences  # noqa: F401
+from . import q_families, q_hierarchy, q_hits, q_intervals, q_sequences  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -221,7 +221,7 @@ GAP_MEASURES = ["gap_letters", "gap_runs", "gap_share", "mean_run", "min_run", "
     GAP_STATS_SQL
     + """, fam AS (SELECT 'doc' || doc_id AS seq_id, lang || '_' || source AS family FROM documents)
     SELECT family, count(*) AS members, CAST(sum(sum_run) AS BIGINT) AS total_gap_length, """
-    + ", ".join(f"round(avg({m}), 4) AS {m}_mean, round(stddev_samp({m}), 4) AS {m}_sd" for m in GAP_MEASURES)
+    + ", ".join(f"round(avg({m}) + 1e-9, 4) AS {m}_mean, round(stddev_samp({m}) + 1e-9, 4) AS {m}_sd" for m in GAP_MEASURES)
     + " FROM full_stats JOIN fam USING (seq_id) GROUP BY family",
 )
 def _(spark, sf):
@@ -229,7 +229,7 @@ def _(spark, sf):
         F.concat(F.lit("doc"), F.col("doc_id")).alias("seq_id"), F.concat_ws("_", "lang", "source").alias("family")
     )
     t = sq.gap_stats_by_family(gap_stats(spark, sf).join(fam, "seq_id"))
-    rounded = [F.round(f"{m}_{s}", 4).alias(f"{m}_{s}") for m in GAP_MEASURES for s in ("mean", "sd")]
+    rounded = [F.round(F.col(f"{m}_{s}") + 1e-9, 4).alias(f"{m}_{s}") for m in GAP_MEASURES for s in ("mean", "sd")]
     return t.select("family", "members", "total_gap_length", *rounded)
 
 
@@ -239,10 +239,10 @@ def _(spark, sf):
     RUNS_SQL.format(gap="e")
     + """, flank AS (SELECT r.*, substring(s.residues, r."start" - 20, 20) AS up, substring(s.residues, r."end" + 1, 20) AS down
       FROM runs r JOIN sequences s USING (seq_id) WHERE run_length >= 2 AND r."start" - 20 >= 1 AND r."end" + 20 <= length(s.residues)),
-    cand AS (SELECT f.*, n, off, at, substring(up, 21 - off - n, n) AS u, substring(down, at, n) AS d FROM flank f,
-      (SELECT unnest(range(3, 21)) AS n), (SELECT unnest([0, 1, 2]) AS off), (SELECT unnest([1, 2]) AS at) WHERE 21 - off - n >= 1 AND at + n - 1 <= 20),
-    good AS (SELECT *, row_number() OVER (PARTITION BY seq_id, "start" ORDER BY n DESC, off, at) AS rn FROM cand WHERE u = d AND NOT contains(u, 'e'))
-    SELECT seq_id, run_length, "start", "end", u AS repeat, n AS repeat_length, off AS before_gap, at AS after_gap FROM good WHERE rn = 1""",
+    cand AS (SELECT f.*, n, off, pos, substring(up, 21 - off - n, n) AS u, substring(down, pos, n) AS d FROM flank f,
+      (SELECT unnest(range(3, 21)) AS n), (SELECT unnest([0, 1, 2]) AS off), (SELECT unnest([1, 2]) AS pos) WHERE 21 - off - n >= 1 AND pos + n - 1 <= 20),
+    good AS (SELECT *, row_number() OVER (PARTITION BY seq_id, "start" ORDER BY n DESC, off, pos) AS rn FROM cand WHERE u = d AND NOT contains(u, 'e'))
+    SELECT seq_id, run_length, "start", "end", u AS repeat, n AS repeat_length, off AS before_gap, pos AS after_gap FROM good WHERE rn = 1""",
 )
 def _(spark, sf):
     return sq.flank_repeats(v.sequences(spark, sf), gap="e", min_gap=2)

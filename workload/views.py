@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table kept in fewer files than there are cores, dealt out over the cores.
+
+    A large table has many files and is read in parallel as it is; only a
+    single small file would leave work that is heavy per row to one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _days(c: str) -> Column:
     return F.datediff(F.col(c), F.lit("1995-01-01").cast("date")).cast("bigint") + 1
 
@@ -209,7 +219,8 @@ def state_path(spark: SparkSession, sf: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """V5: one sequence per document, whole text."""
-    return table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id")).alias("seq_id"), F.col("text").alias("residues"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select(F.concat(F.lit("doc"), F.col("doc_id")).alias("seq_id"), F.col("text").alias("residues"))
 
 
 def document_spans(spark: SparkSession, sf: str) -> DataFrame:
