@@ -55,16 +55,22 @@ def group_sizes(t: DataFrame, by: str | Sequence[str]) -> DataFrame:
     return t.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def signature_families(members: DataFrame, parts: Sequence[str]) -> DataFrame:
+def signature_families(members: DataFrame, parts: Sequence[str] | None = None) -> DataFrame:
     """Elements with the same cluster in every part form a family.
 
     ``members`` has ``part``, ``cluster_id``, ``element_id``. The signature
     lists the cluster of each part in the given order, ``N`` where there is
-    none; an element found in several clusters of a part takes the smallest.
+    none; without a list of parts it names the parts an element has. An element
+    found in several clusters of a part takes the smallest.
     """
     smallest = members.groupBy("element_id", "part").agg(F.min("cluster_id").alias("cluster_id"))
-    clusters = [F.coalesce(F.max(F.when(F.col("part") == p, F.col("cluster_id").cast("string"))), F.lit("N")) for p in parts]
-    signed = smallest.groupBy("element_id").agg(F.concat_ws("|", *clusters).alias("signature"))
+    number = F.col("cluster_id").cast("string")
+    if parts is None:
+        # one entry per part of an element, so the list is as short as its parts are few
+        signature = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "part", number))), "|")
+    else:
+        signature = F.concat_ws("|", *[F.coalesce(F.max(F.when(F.col("part") == p, number)), F.lit("N")) for p in parts])
+    signed = smallest.groupBy("element_id").agg(signature.alias("signature"))
     sizes = signed.groupBy("signature").agg(
         F.count("*").alias("family_size"),
         F.min(F.struct(natural_key("element_id").alias("k"), F.col("element_id").alias("id"))).alias("_first"),

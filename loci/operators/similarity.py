@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 
-def kmers(c: Column | str, k: int) -> Column:
-    """Distinct k-mers of a text as 64-bit digests, sorted.
+def kmers(c: Column | str, k: int, within: Sequence[str] = ()) -> Column:
+    """Distinct k-mers of a text as 64-bit digests.
 
     The text is cut into non-overlapping pieces once per phase, so the work is
-    linear in its length.
+    linear in its length. With ``within`` the digests cover those columns too:
+    texts of different groups then share nothing.
     """
     text = F.col(c) if isinstance(c, str) else c
     pieces = F.flatten(
@@ -21,20 +24,20 @@ def kmers(c: Column | str, k: int) -> Column:
             lambda phase: F.regexp_extract_all(F.substring(text, phase, F.length(text)), F.lit("(?s).{%d}" % k), F.lit(0)),
         )
     )
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p, *within)))
 
 
-def copies(t: DataFrame, id_col: str = "id") -> DataFrame:
-    """Each row with the smallest id among rows of the same text.
+def copies(t: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Each id with the smallest id among rows of the same text (and group).
 
     Only digests are shuffled, and only a minimum is kept per digest.
     """
-    marked = t.select(F.col(id_col).alias("id"), F.sha2("residues", 256).alias("_digest"))
-    first = marked.groupBy("_digest").agg(F.min("id").alias("representative"))
-    return marked.join(first, "_digest").drop("_digest")
+    marked = t.select("id", F.sha2("residues", 256).alias("_digest"), *within)
+    first = marked.groupBy("_digest", *within).agg(F.min("id").alias("representative"))
+    return marked.join(first, ["_digest", *within]).select("id", "representative")
 
 
-def similar_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8) -> DataFrame:
+def similar_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8, within: Sequence[str] = ()) -> DataFrame:
     """Pairs of different texts whose k-mer sets have a Jaccard share of at least ``min_share`` (G1).
 
     ``t`` has ``id`` and ``residues``; identical texts are represented by their
@@ -42,12 +45,13 @@ def similar_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8) -> DataFram
     threshold must agree on one of the few rarest k-mers of each side, so only
     that prefix is joined; k-mers found in a single text count for the prefix
     but are not carried along. Frequent k-mers, which would make large groups,
-    come last in the order and so stay out of the prefix.
+    come last in the order and so stay out of the prefix. ``within`` names
+    columns both sides must agree on.
     """
-    same = copies(t)
+    same = copies(t, within)
     reps = same.where(F.col("id") == F.col("representative")).select("id")
     sets = materialize(
-        t.join(reps, "id", "left_semi").select("id", kmers("residues", k).alias("kmers")).withColumn("n", F.size("kmers"))
+        t.join(reps, "id", "left_semi").select("id", kmers("residues", k, within).alias("kmers")).withColumn("n", F.size("kmers"))
     ).where(F.col("n") > 0)
 
     tokens = sets.select("id", "n", F.explode("kmers").alias("kmer"))
@@ -83,9 +87,9 @@ def similar_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8) -> DataFram
     return counted.select("a", "b", "shared", share.alias("share")).where(F.col("share") >= min_share)
 
 
-def link_copies(t: DataFrame) -> DataFrame:
+def link_copies(t: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """One link from each copy to the representative of its text: all that linkage needs."""
-    return copies(t).where(F.col("id") != F.col("representative")).select(F.col("representative").alias("a"), F.col("id").alias("b"))
+    return copies(t, within).where(F.col("id") != F.col("representative")).select(F.col("representative").alias("a"), F.col("id").alias("b"))
 
 
 def cluster(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -124,9 +128,9 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return (row["n"], row["s"])
 
 
-def cluster_sequences(t: DataFrame, k: int = 16, min_share: float = 0.8) -> DataFrame:
+def cluster_sequences(t: DataFrame, k: int = 16, min_share: float = 0.8, within: Sequence[str] = ()) -> DataFrame:
     """Clusters of a sequence table: similar pairs, copies, linkage (G1 + G2)."""
-    links = similar_pairs(t, k, min_share).select("a", "b").unionByName(link_copies(t))
+    links = similar_pairs(t, k, min_share, within).select("a", "b").unionByName(link_copies(t, within))
     return cluster(links, t.select("id"))
 
 
