@@ -274,6 +274,77 @@ def aligned_pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def document_count(spark: SparkSession, sf: str) -> Column:
+    return table(spark, sf, "documents").agg(F.count("*")).scalar()
+
+
+def doc_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """V3 on the documents: one short element per order on a document."""
+    key = F.col("o_orderkey")
+    start = 1 + key % 300
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("doc"), key % document_count(spark, sf)).alias("seq_id"),
+        start.alias("start"),
+        (start + 19 + F.floor(F.col("o_totalprice") / 1500).cast("bigint")).alias("end"),
+        F.when(key % 3 == 0, "+").when(key % 3 == 1, "-").otherwise("?").alias("strand"),
+        F.when(F.col("o_orderpriority") < "3", "LTR_retrotransposon").otherwise("terminal_inverted_repeat_element").alias("type"),
+        F.concat(F.lit("element"), key).alias("element_id"),
+        F.concat(F.lit("repeat_region"), key).alias("region_id"),
+        key.alias("orderkey"),
+        (80 + F.floor(F.col("o_totalprice")) % 20).cast("bigint").alias("similarity"),
+        F.col("o_orderstatus").alias("status"),
+    )
+
+
+def doc_features(spark: SparkSession, sf: str) -> DataFrame:
+    """V3 on the documents: one part per line item inside its element."""
+    e = doc_elements(spark, sf).select("orderkey", "seq_id", "element_id", "region_id", "strand", F.col("start").alias("es"), F.col("end").alias("ee"))
+    li = table(spark, sf, "lineitem")
+    kind = _pick(PART_TYPES, F.col("l_suppkey") + F.col("l_orderkey"))
+    at = F.col("es") + (F.col("l_suppkey") * 37 + _big("l_linenumber") * 211 + F.col("l_partkey")) % (F.col("ee") - F.col("es") - 10)
+    size = F.when(kind == "target_site_duplication", 2 + _big("l_quantity") % 10).otherwise(_big("l_quantity") * 2)
+    whole = (kind == "terminal_inverted_repeat") & (F.col("l_orderkey") % 5 == 0)
+    return li.join(e, li["l_orderkey"] == e["orderkey"]).select(
+        "seq_id",
+        "element_id",
+        "region_id",
+        kind.alias("type"),
+        _pick(DOMAINS, F.col("l_partkey")).alias("name"),
+        F.when(whole, F.col("es")).otherwise(at).cast("bigint").alias("start"),
+        F.when(whole, F.col("ee")).otherwise(F.least(at + size - 1, F.col("ee"))).cast("bigint").alias("end"),
+        "strand",
+        F.concat_ws("_", F.lit("p"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _cents()).alias("part_id"),
+    )
+
+
+def doc_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """V2 on the documents: library entries with a code against the text of a document."""
+    h = table(spark, sf, "lineitem")
+    first = _days("l_shipdate")
+    last = first + _big("l_quantity") * 4 - 1
+    reverse = F.col("l_linestatus") == "F"
+    return h.select(
+        F.concat_ws("_", _code(), F.concat(F.lit("family"), F.col("l_suppkey"))).alias("query"),
+        F.concat(F.lit("doc"), F.col("l_partkey") % document_count(spark, sf)).alias("subject"),
+        F.round(F.lit(100.0) - F.col("l_discount") * 500.0, 0).alias("identity"),
+        (_big("l_quantity") * 4).alias("length"),
+        F.when(reverse, last).otherwise(first).alias("s_start"),
+        F.when(reverse, first).otherwise(last).alias("s_end"),
+        F.col("l_tax").alias("evalue"),
+        F.col("l_extendedprice").alias("bits"),
+    )
+
+
+def doc_path(spark: SparkSession, sf: str) -> DataFrame:
+    """V4 on the documents: the path of a user on the document of the same number."""
+    events = table(spark, sf, "events")
+    kind = F.col("event_type")
+    state = F.when(kind == "signup", 0).when(kind == "view", 3).when(kind == "click", 2).when(kind == "purchase", 1).otherwise(31)
+    return events.select(
+        F.concat(F.lit("doc"), F.col("user_id") % document_count(spark, sf)).alias("seq_id"), (F.col("event_id") + 1).alias("position"), state.alias("state")
+    )
+
+
 _CODE_SQL = "CASE " + " ".join(
     f"WHEN l_returnflag='{f}' AND l_linestatus='{s}' THEN '{c}'" for f, s, c in CODES
 ) + " ELSE 'ZZZ' END"
@@ -378,6 +449,40 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
     UNION ALL SELECT 'rvt', length(p_type), 's'||p_partkey FROM part WHERE p_partkey % 5 <> 0
     UNION ALL SELECT 'rvt', length(p_name), 's'||p_partkey FROM part WHERE p_partkey % 7 = 0""",
     ),
+    "doc_elements": (
+        [],
+        """SELECT 'doc'||(o_orderkey % (SELECT count(*) FROM documents)) AS seq_id, 1 + o_orderkey % 300 AS "start",
+      20 + o_orderkey % 300 + CAST(floor(o_totalprice/1500) AS BIGINT) AS "end",
+      CASE o_orderkey % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '?' END AS strand,
+      CASE WHEN o_orderpriority < '3' THEN 'LTR_retrotransposon' ELSE 'terminal_inverted_repeat_element' END AS type,
+      'element'||o_orderkey AS element_id, 'repeat_region'||o_orderkey AS region_id, o_orderkey AS orderkey,
+      80 + CAST(floor(o_totalprice) AS BIGINT) % 20 AS similarity, o_orderstatus AS status FROM orders""",
+    ),
+    "doc_features": (
+        ["doc_elements"],
+        f"""SELECT seq_id, element_id, region_id, kind AS type, name,
+      CASE WHEN kind='terminal_inverted_repeat' AND l_orderkey % 5 = 0 THEN es ELSE pos END AS "start",
+      CASE WHEN kind='terminal_inverted_repeat' AND l_orderkey % 5 = 0 THEN ee ELSE least(pos + size - 1, ee) END AS "end", strand, part_id
+    FROM (SELECT *, CASE WHEN kind='target_site_duplication' THEN 2 + CAST(l_quantity AS BIGINT) % 10 ELSE CAST(l_quantity AS BIGINT)*2 END AS size
+      FROM (SELECT e.seq_id, e.element_id, e.region_id, e.strand, e."start" AS es, e."end" AS ee, l_quantity, l_orderkey,
+          ({_list_sql(PART_TYPES)})[CAST((l_suppkey + l_orderkey) % {len(PART_TYPES)} + 1 AS INTEGER)] AS kind,
+          ({_list_sql(DOMAINS)})[CAST(l_partkey % {len(DOMAINS)} + 1 AS INTEGER)] AS name,
+          e."start" + (l_suppkey*37 + CAST(l_linenumber AS BIGINT)*211 + l_partkey) % (e."end" - e."start" - 10) AS pos,
+          'p_'||{_ID_SQL} AS part_id
+        FROM lineitem JOIN doc_elements e ON l_orderkey = e.orderkey))""",
+    ),
+    "doc_hits": (
+        [],
+        f"""SELECT {_CODE_SQL} || '_family' || l_suppkey AS query, 'doc'||(l_partkey % (SELECT count(*) FROM documents)) AS subject,
+      round(100.0 - l_discount*500.0) AS identity, CAST(l_quantity AS BIGINT)*4 AS length, {_days_sql('l_shipdate')} AS s_start,
+      {_days_sql('l_shipdate')} + CAST(l_quantity AS BIGINT)*4 - 1 AS s_end, CASE WHEN l_linestatus='F' THEN '-' ELSE '+' END AS strand,
+      l_tax AS evalue, l_extendedprice AS bits FROM lineitem""",
+    ),
+    "doc_path": (
+        [],
+        """SELECT 'doc'||(user_id % (SELECT count(*) FROM documents)) AS seq_id, event_id + 1 AS position,
+      CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 3 WHEN 'click' THEN 2 WHEN 'purchase' THEN 1 ELSE 31 END AS state FROM events""",
+    ),
     "aligned_pairs": (
         [],
         """SELECT 'pair_'||a.conv_id||'_'||a.turn AS pair_id, substring(a.text, 1, least(length(a.text), length(b.text))) AS "left",
