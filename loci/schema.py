@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "lists": T.MapType(T.StringType(), T.ArrayType(T.StringType())),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Columns as ``name type, ...``; needs no session, so that the module can be imported without one."""
+    pairs = (c.split() for c in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 FEATURE = _struct(
     "seq_id string, source string, type string, start bigint, end bigint, score double, strand string, "
-    "phase int, attributes map<string,array<string>>, file string, line_no bigint"
+    "phase int, attributes lists, file string, line_no bigint"
 )
 SEQUENCE = _struct("seq_id string, description string, residues string")
 CHUNK = _struct(
@@ -22,7 +34,7 @@ HIT_FILE = _struct(
     "query string, subject string, identity double, length bigint, mismatches bigint, gap_opens bigint, "
     "q_start bigint, q_end bigint, s_start bigint, s_end bigint, evalue double, bits double"
 )
-HIT = _struct(HIT_FILE.simpleString()[len("struct<"):-1] + ",strand:string")
+HIT = T.StructType([*HIT_FILE.fields, T.StructField("strand", T.StringType())])
 CLUSTER_MEMBER = _struct("part string, cluster_id string, element_id string")
 FAMILY = _struct("superfamily string, family string, element_id string, is_singleton boolean")
 
