@@ -11,12 +11,14 @@ def _col(c: Column | str) -> Column:
 
 
 def natural_key(c: Column | str) -> Column:
-    """Sort key under which runs of digits compare as numbers."""
+    """Sort key under which runs of digits compare as numbers.
+
+    Pieces are joined by the lowest letter, so that a piece that is the start
+    of another one sorts before it, and the key is one string to compare.
+    """
     pieces = F.regexp_extract_all(_col(c), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.transform(
-        pieces,
-        lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p),
-    )
+    padded = F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p))
+    return F.array_join(padded, "\u0001")
 
 
 def reverse_complement(c: Column | str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import natural_key, round_half_up
+from ..session import materialize
 from .intervals import merge_intervals, overlap_join
 from .ordering import top_per_key
 
@@ -137,53 +138,49 @@ def refine_stats(elements: DataFrame, parts: DataFrame, **rules) -> DataFrame:
     )
 
 
-def best_of_overlap(strict: DataFrame, relaxed: DataFrame, bin: int = 4096) -> DataFrame:
-    """Best element of each strict interval and the relaxed ones assigned to it.
+_CALL = ["seq_id", "start", "end", "id", "score", "similarity"]
 
-    Rows have ``id``, ``seq_id``, ``start``, ``end``, ``score``, ``similarity``.
-    A relaxed interval goes to the strict one it overlaps most, then to the one
-    with the smallest start, then id. Within the group the highest score wins,
-    then similarity, then natural id.
+
+def assign_to_strict(strict: DataFrame, relaxed: DataFrame, bin: int = 4096, levels: int = 4) -> DataFrame:
+    """Each relaxed interval that overlaps a strict one, with its ``anchor``.
+
+    The anchor is the strict interval it overlaps most, then the one with the
+    smallest start, then id.
     """
-    cols = ["seq_id", "start", "end", "id", "score", "similarity"]
-    pairs = overlap_join(relaxed.select(*cols), strict.select(*cols), bin=bin)
+    pairs = overlap_join(relaxed.select(*_CALL), strict.select("seq_id", "start", "end", "id"), bin=bin, levels=levels)
     shared = F.least("end", "b_end") - F.greatest("start", "b_start") + 1
-    assigned = top_per_key(
-        pairs.withColumn("_shared", shared), "id", [F.col("_shared").desc(), F.col("b_start"), natural_key("b_id"), F.col("b_id")]
-    ).select(*cols, F.col("b_id").alias("anchor"), F.lit("relaxed").alias("set"))
-    anchors = strict.select(*cols, F.col("id").alias("anchor"), F.lit("strict").alias("set"))
-    group = assigned.unionByName(anchors)
+    order = [F.col("_shared").desc(), F.col("b_start"), natural_key("b_id"), F.col("b_id")]
+    return top_per_key(pairs.withColumn("_shared", shared), "id", order).select(*_CALL, F.col("b_id").alias("anchor"))
+
+
+def _best_of_groups(strict: DataFrame, assigned: DataFrame) -> DataFrame:
+    anchors = strict.select(*_CALL, F.col("id").alias("anchor"), F.lit("strict").alias("set"))
+    group = assigned.withColumn("set", F.lit("relaxed")).unionByName(anchors)
     order = [F.col("score").desc(), F.col("similarity").desc(), natural_key("id"), F.col("id"), F.col("set")]
     return top_per_key(group, "anchor", order)
 
 
-def overlap_groups(strict: DataFrame, relaxed: DataFrame, bin: int = 4096) -> DataFrame:
-    """Members of strict/relaxed groups that hold at least one of each: what W2 consumes."""
-    cols = ["seq_id", "start", "end", "id"]
-    pairs = overlap_join(relaxed.select(*cols), strict.select(*cols), bin=bin)
-    shared = F.least("end", "b_end") - F.greatest("start", "b_start") + 1
-    assigned = top_per_key(
-        pairs.withColumn("_shared", shared), "id", [F.col("_shared").desc(), F.col("b_start"), natural_key("b_id"), F.col("b_id")]
-    )
-    return assigned.select("id", F.lit("relaxed").alias("set")).unionByName(
-        assigned.select(F.col("b_id").alias("id"), F.lit("strict").alias("set")).distinct()
-    )
+def best_of_overlap(strict: DataFrame, relaxed: DataFrame, bin: int = 4096, levels: int = 4) -> DataFrame:
+    """Best element of each strict interval and the relaxed ones assigned to it.
 
+    Rows have ``id``, ``seq_id``, ``start``, ``end``, ``score``, ``similarity``.
+    Within the group the highest score wins, then similarity, then natural id.
+    """
+    return _best_of_groups(strict, assign_to_strict(strict, relaxed, bin, levels))
 
-def combine_sets(strict: DataFrame, relaxed: DataFrame, bin: int = 4096) -> DataFrame:
+
+def combine_sets(strict: DataFrame, relaxed: DataFrame, bin: int = 4096, levels: int = 4) -> DataFrame:
     """Best of each overlap group, plus whatever no group consumed."""
-    cols = ["seq_id", "start", "end", "id", "score", "similarity"]
-    used = overlap_groups(strict, relaxed, bin)
-    best = best_of_overlap(strict, relaxed, bin)
-    anchored = best.join(
-        used.where(F.col("set") == "strict").select(F.col("id").alias("anchor")), "anchor", "left_semi"
-    ).select(*cols, F.lit("best").alias("origin"))
-
-    def rest(t: DataFrame, kind: str) -> DataFrame:
-        taken = used.where(F.col("set") == kind).select("id")
-        return t.select(*cols).join(taken, "id", "left_anti").select(*cols, F.lit(kind).alias("origin"))
-
-    return anchored.unionByName(rest(relaxed, "relaxed")).unionByName(rest(strict, "strict"))
+    assigned = materialize(assign_to_strict(strict, relaxed, bin, levels))
+    used = assigned.select("anchor").distinct()
+    best = _best_of_groups(strict, assigned).join(used, "anchor", "left_semi")
+    free_relaxed = relaxed.select(*_CALL).join(assigned.select("id"), "id", "left_anti")
+    free_strict = strict.select(*_CALL).join(used.withColumnRenamed("anchor", "id"), "id", "left_anti")
+
+    def named(t: DataFrame, origin: str) -> DataFrame:
+        return t.select(*_CALL, F.lit(origin).alias("origin"))
+
+    return named(best, "best").unionByName(named(free_relaxed, "relaxed")).unionByName(named(free_strict, "strict"))
 
 
 def label_ends(parts: DataFrame, kind: str = "long_terminal_repeat", key: Sequence[str] = ("seq_id", "element_id")) -> DataFrame:

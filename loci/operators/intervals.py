@@ -203,7 +203,7 @@ def select_disjoint(
     their size.
     """
     keys = _by(by)
-    thin = _first_per_start(t, keys, ties)
+    thin = materialize(_first_per_start(t, keys, ties))
     marked = materialize(_islands(thin.select(*keys, "start", "end"), keys, 0, tile, previous_only=False))
     large = marked.groupBy(*keys, "island").count().where(F.col("count") > fold_limit).drop("count")
     if large.isEmpty():

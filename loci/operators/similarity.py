@@ -108,7 +108,6 @@ def cluster(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("_m", "a").alias("_m"))
         large = both.join(lowest, "a").where(b > a).select(b.alias("a"), F.col("_m").alias("b")).distinct()
-        large = materialize(large)
         lowest = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(lowest, "a").where(b != F.col("_m")).select(b.alias("a"), F.col("_m").alias("b"))
         edges = materialize(small.unionByName(lowest.withColumnRenamed("_m", "b")).distinct())
@@ -151,26 +150,43 @@ def repeat_pairs(
     positions follow on (or lie within ``max_gap``) are merged to stretches.
     Distances are between the starts of the two stretches.
     """
-    from ..functions.columns import characters, reverse_complement
+    from ..functions.columns import reverse_complement
     from .intervals import merge_intervals
 
     # seeds start in the core and may run into the right pad
     text = F.substring(F.col("residues"), F.col("left_pad") + 1, F.col("core_end") - F.col("core_start") + 1 + F.lit(k - 1))
-    cut = chunks.where(F.col("right_pad") <= F.length("residues")).select("seq_id", "core_start", text.alias("_t"))
+    cut = chunks.select("seq_id", "core_start", text.alias("_t")).where(F.length("_t") >= k)
 
-    def seeds(c: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(c) - (k - 1)),
-            lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice(c, i, k), "").alias("s")),
-        )
+    def digest(s: Column) -> Column:
+        return F.xxhash64(s)
+
+    def turned(s: Column) -> Column:
+        return F.xxhash64(reverse_complement(s))
 
-    at = cut.where(F.length("_t") >= k).select(
-        "seq_id", "core_start", F.explode(F.element_at(F.transform(F.array(characters("_t")), seeds), 1)).alias("p")
+    # one pass per phase over the text, as in kmers(); the place follows from phase and rank
+    phases = F.transform(
+        F.sequence(F.lit(1), F.lit(k)),
+        lambda ph: F.struct(
+            ph.alias("ph"), F.regexp_extract_all(F.substring(F.col("_t"), ph, F.length("_t")), F.lit("(?s).{%d}" % k), F.lit(0)).alias("s")
+        ),
+    )
+    per_phase = cut.select("seq_id", "core_start", F.explode(phases).alias("p"))
+    at = per_phase.select("seq_id", "core_start", "p.ph", F.posexplode("p.s").alias("j", "s"))
+    x = F.col("core_start") + F.col("ph") - 1 + F.col("j") * k
+    seed = at.select("seq_id", x.alias("x"), digest(F.col("s")).alias("h"), (turned(F.col("s")) if inverted else digest(F.col("s"))).alias("g"))
+    # most seeds occur once in their sequence: they go before the join. A seed and its
+    # turned form have one name in common, the smaller digest.
+    name = F.least("h", "g")
+    seed = seed.withColumn("c", name)
+    twice = (
+        seed.groupBy("seq_id", "c")
+        .agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+        .where(F.col("_hi") - F.col("_lo") >= min_dist)
+        .select("seq_id", "c")
     )
-    seed = at.select("seq_id", (F.col("core_start") + F.col("p.at")).alias("x"), F.col("p.s").alias("_s"))
-    first = seed.select("seq_id", "x", F.xxhash64("_s").alias("h"), F.col("_s"))
-    second_text = reverse_complement("_s") if inverted else F.col("_s")
-    second = seed.select("seq_id", F.col("x").alias("y"), F.xxhash64(second_text).alias("h"))
+    seed = materialize(seed.join(twice, ["seq_id", "c"]).drop("c"))
+    first = seed.select("seq_id", "x", "h")
+    second = seed.select("seq_id", F.col("x").alias("y"), F.col("g").alias("h"))
     span = F.lit(max(max_dist, 1))
     left = first.withColumn("_bin", F.explode(F.array(F.floor(F.col("x") / span), F.floor(F.col("x") / span) + 1)))
     right = second.withColumn("_bin", F.floor(F.col("y") / span))

@@ -160,7 +160,7 @@ def feature_lines(t: DataFrame, lengths: DataFrame) -> DataFrame:
     )
     top = spark.range(1).select(
         F.lit(0).alias("part"),
-        F.array().cast("array<string>").alias("seq_key"),
+        F.lit("").alias("seq_key"),
         none.alias("at"),
         F.lit(0).alias("depth"),
         none.alias("neg_end"),

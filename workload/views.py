@@ -50,7 +50,8 @@ def _cents() -> Column:
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
     """V1: one interval per line item on the sequence of its part."""
     start = _days("l_shipdate")
-    return table(spark, sf, "lineitem").select(
+    li = spread(table(spark, sf, "lineitem"))
+    return li.select(
         F.concat(F.lit("chr"), F.col("l_partkey")).alias("seq_id"),
         start.alias("start"),
         (start + _big("l_quantity") - 1).alias("end"),
@@ -82,7 +83,7 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     first = _days("l_shipdate")
     last = first + _big("l_quantity") * 4 - 1
     reverse = F.col("l_linestatus") == "F"
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.concat(F.lit("q"), F.col("l_orderkey")).alias("query"),
         F.concat(F.lit("s"), F.col("l_partkey")).alias("subject"),
         F.round(F.lit(100.0) - F.col("l_discount") * 500.0, 0).alias("identity"),
@@ -319,7 +320,7 @@ def doc_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_hits(spark: SparkSession, sf: str) -> DataFrame:
     """V2 on the documents: library entries with a code against the text of a document."""
-    h = table(spark, sf, "lineitem")
+    h = spread(table(spark, sf, "lineitem"))
     first = _days("l_shipdate")
     last = first + _big("l_quantity") * 4 - 1
     reverse = F.col("l_linestatus") == "F"
