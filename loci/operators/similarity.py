@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import reverse_complement
 from ..session import materialize
+from .intervals import carry_over_tiles, merge_intervals
 
 
 def kmers(c: Column | str, k: int, within: Sequence[str] = ()) -> Column:
@@ -133,6 +135,84 @@ def cluster_sequences(t: DataFrame, k: int = 16, min_share: float = 0.8, within:
     return cluster(links, t.select("id"))
 
 
+def _seeds(chunks: DataFrame, k: int, inverted: bool, min_dist: int) -> DataFrame:
+    """Positions ``x`` of k-mers that occur again in their sequence, with the letters around them.
+
+    ``h`` is the digest of the k-mer, ``g`` that of its partner text (the other
+    strand when ``inverted``). The pads of the chunks must be at least ``k`` long.
+    """
+    first = F.when(F.col("left_pad") > 0, F.substring(F.col("residues"), F.col("left_pad"), F.lit(1))).otherwise(F.lit("\u0002"))
+    core_length = F.col("core_end") - F.col("core_start") + 1
+    rest = F.substring(F.col("residues"), F.col("left_pad") + 1, core_length + F.least(F.col("right_pad"), F.lit(k)))
+    last = F.when(F.col("right_pad") < k, F.lit("\u0003")).otherwise(F.lit(""))
+    text = F.concat(first, rest, last)
+    # an empty match at every place, looking ahead over a letter, the k-mer and a letter
+    views = F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % (k + 2)), F.lit(1))
+    at = chunks.select("seq_id", "core_start", F.posexplode(views).alias("j", "w"))
+    mer = F.substring("w", 2, k)
+    seed = at.select(
+        "seq_id",
+        (F.col("core_start") + F.col("j")).alias("x"),
+        F.xxhash64(mer).alias("h"),
+        F.xxhash64(reverse_complement(mer) if inverted else mer).alias("g"),
+        F.left("w", F.lit(1)).alias("before"),
+        F.right("w", F.lit(1)).alias("behind"),
+    )
+    # most k-mers occur once in their sequence: they go before the join. A k-mer
+    # and its other strand share one name, the smaller digest.
+    seed = seed.withColumn("c", F.least("h", "g"))
+    again = (
+        seed.groupBy("seq_id", "c")
+        .agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+        .where(F.col("_hi") - F.col("_lo") >= min_dist)
+        .select("seq_id", "c")
+    )
+    return materialize(seed.join(again, ["seq_id", "c"]).drop("c"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, key: list[str], min_dist: int, max_dist: int) -> DataFrame:
+    """Equal seeds at a distance within bounds; a bin of positions is part of the key."""
+    span = F.lit(max(max_dist, 1))
+    a = left.withColumn("_bin", F.explode(F.array(F.floor(F.col("x") / span), F.floor(F.col("x") / span) + 1)))
+    b = right.withColumn("_bin", F.floor(F.col("y") / span))
+    return a.join(b, ["seq_id", "h", "_bin", *key]).where((F.col("y") - F.col("x")).between(min_dist, max_dist))
+
+
+def _borders(seed: DataFrame, side: str, min_dist: int, max_dist: int) -> DataFrame:
+    """Pairs of equal seeds whose letters on one side differ: where a stretch begins or ends.
+
+    Pairs that agree there lie inside a stretch and are never formed: a seed
+    joins only those with another letter, and the letters of a group are few.
+    """
+    span = F.lit(max(max_dist, 1))
+    letters = (
+        seed.select("seq_id", "h", F.floor(F.col("x") / span).alias("_bin"), F.col(side).alias("q"))
+        .distinct()
+        .withColumn("_bin", F.explode(F.array(F.col("_bin"), F.col("_bin") - 1)))
+        .distinct()
+    )
+    left = seed.select("seq_id", "h", "x", F.col(side).alias("p"), F.floor(F.col("x") / span).alias("_bin"))
+    wanted = left.join(letters, ["seq_id", "h", "_bin"]).where(F.col("p") != F.col("q")).select("seq_id", "h", "x", "q")
+    right = seed.select("seq_id", "h", F.col("x").alias("y"), F.col(side).alias("q"))
+    met = _pairs(wanted, right, ["q"], min_dist, max_dist)
+    return met.select("seq_id", (F.col("y") - F.col("x")).alias("diagonal"), "x")
+
+
+def _stretches(seed: DataFrame, min_dist: int, max_dist: int, tile: int = 1 << 16) -> DataFrame:
+    """Maximal stretches of direct repeats: each begin with the next end on its diagonal."""
+    none = F.lit(None).cast("bigint")
+    begins = _borders(seed, "before", min_dist, max_dist).withColumn("_end", none)
+    ends = _borders(seed, "behind", min_dist, max_dist).withColumn("_end", F.col("x"))
+    key = ["seq_id", "diagonal"]
+    line = begins.unionByName(ends).withColumn("_tile", F.floor(F.col("x") / tile).cast("bigint"))
+    line = carry_over_tiles(line, key, F.min("_end"), "last", descending=True)
+    # read backwards; at one place the end comes before the begin
+    w = Window.partitionBy(*key, "_tile").orderBy(F.col("x").desc(), F.col("_end").desc_nulls_last())
+    near = F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    closed = line.withColumn("end", F.coalesce(near, F.col("_carry"))).where(F.col("_end").isNull())
+    return closed.select(*key, F.col("x").alias("start"), "end")
+
+
 def repeat_pairs(
     chunks: DataFrame,
     k: int = 20,
@@ -144,56 +224,25 @@ def repeat_pairs(
 ) -> DataFrame:
     """Pairs of equal stretches of one sequence at a distance within bounds.
 
-    Seeds are k-mers found twice. To keep the join near-linear a seed is matched
-    only inside the distance: its position is put in bins of ``max_dist`` and
-    looked up in its own and the next bin. Seeds on one diagonal whose
-    positions follow on (or lie within ``max_gap``) are merged to stretches.
-    Distances are between the starts of the two stretches.
+    Seeds are k-mers found twice within the distance. Direct repeats are built
+    from the pairs at the two ends of a stretch alone, so a long or tandem
+    repeat costs no more rows than it has stretches. On the other strand the
+    distance changes along a stretch; there the seeds are paired inside bins of
+    ``max_dist`` positions and merged. Stretches of one diagonal within
+    ``max_gap`` are merged. Distances are between the starts of the seeds.
     """
-    from ..functions.columns import reverse_complement
-    from .intervals import merge_intervals
-
-    # seeds start in the core and may run into the right pad
-    text = F.substring(F.col("residues"), F.col("left_pad") + 1, F.col("core_end") - F.col("core_start") + 1 + F.lit(k - 1))
-    cut = chunks.select("seq_id", "core_start", text.alias("_t")).where(F.length("_t") >= k)
-
-    def digest(s: Column) -> Column:
-        return F.xxhash64(s)
-
-    def turned(s: Column) -> Column:
-        return F.xxhash64(reverse_complement(s))
-
-    # one pass per phase over the text, as in kmers(); the place follows from phase and rank
-    phases = F.transform(
-        F.sequence(F.lit(1), F.lit(k)),
-        lambda ph: F.struct(
-            ph.alias("ph"), F.regexp_extract_all(F.substring(F.col("_t"), ph, F.length("_t")), F.lit("(?s).{%d}" % k), F.lit(0)).alias("s")
-        ),
-    )
-    per_phase = cut.select("seq_id", "core_start", F.explode(phases).alias("p"))
-    at = per_phase.select("seq_id", "core_start", "p.ph", F.posexplode("p.s").alias("j", "s"))
-    x = F.col("core_start") + F.col("ph") - 1 + F.col("j") * k
-    seed = at.select("seq_id", x.alias("x"), digest(F.col("s")).alias("h"), (turned(F.col("s")) if inverted else digest(F.col("s"))).alias("g"))
-    # most seeds occur once in their sequence: they go before the join. A seed and its
-    # turned form have one name in common, the smaller digest.
-    name = F.least("h", "g")
-    seed = seed.withColumn("c", name)
-    twice = (
-        seed.groupBy("seq_id", "c")
-        .agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-        .where(F.col("_hi") - F.col("_lo") >= min_dist)
-        .select("seq_id", "c")
-    )
-    seed = materialize(seed.join(twice, ["seq_id", "c"]).drop("c"))
-    first = seed.select("seq_id", "x", "h")
-    second = seed.select("seq_id", F.col("x").alias("y"), F.col("g").alias("h"))
-    span = F.lit(max(max_dist, 1))
-    left = first.withColumn("_bin", F.explode(F.array(F.floor(F.col("x") / span), F.floor(F.col("x") / span) + 1)))
-    right = second.withColumn("_bin", F.floor(F.col("y") / span))
-    met = left.join(right, ["seq_id", "h", "_bin"]).where((F.col("y") - F.col("x")).between(min_dist, max_dist))
-    diagonal = F.col("x") + F.col("y") if inverted else F.col("y") - F.col("x")
-    on_line = met.select("seq_id", diagonal.alias("diagonal"), F.col("x").alias("start"), F.col("x").alias("end"))
-    runs = merge_intervals(on_line, by=["seq_id", "diagonal"], gap=1 + max_gap)
+    seed = _seeds(chunks, k, inverted, min_dist)
+    key = ["seq_id", "diagonal"]
+    if inverted:
+        first = seed.select("seq_id", "x", "h")
+        second = seed.select("seq_id", F.col("x").alias("y"), F.col("g").alias("h"))
+        met = _pairs(first, second, [], min_dist, max_dist)
+        runs = met.select("seq_id", (F.col("x") + F.col("y")).alias("diagonal"), F.col("x").alias("start"), F.col("x").alias("end"))
+        runs = merge_intervals(runs, by=key, gap=1 + max_gap)
+    else:
+        runs = _stretches(seed, min_dist, max_dist)
+        if max_gap > 0:
+            runs = merge_intervals(runs, by=key, gap=1 + max_gap)
     length = F.col("end") - F.col("start") + k
     other = F.col("diagonal") - F.col("end") if inverted else F.col("start") + F.col("diagonal")
     return runs.where(length >= min_length).select(
