@@ -203,3 +203,33 @@ def test_top_per_key_keeps_ties_out(spark):
         if q not in want or (-b, i) < want[q]:
             want[q] = (-b, i)
     assert got == {(q, i) for q, (_, i) in want.items()}
+
+
+@pytest.mark.parametrize("size", [16, 50])
+def test_repeat_pairs_in_tandem_and_random_text(spark, size):
+    from loci.operators.sequences import windows
+
+    r = random.Random(21)
+    unit = "ACGTTGCA"
+    texts = {
+        "tandem": "GG" + unit * 12 + "TTT" + unit * 3,
+        "random": "".join(r.choice("AC") for _ in range(120)),
+        "same": "A" * 40,
+        "tiny": "ACG",
+    }
+    k, lo, hi, shortest = 5, 3, 60, 7
+    want = set()
+    for name, t in texts.items():
+        for d in range(lo, hi + 1):
+            x = 0
+            while x + d < len(t):
+                n = 0
+                while x + d + n < len(t) and t[x + n] == t[x + d + n]:
+                    n += 1
+                if n >= max(k, shortest):
+                    want.add((name, x + 1, x + n, x + d + 1, x + d + n, n))
+                x += n + 1
+    chunks = windows(spark.createDataFrame(list(texts.items()), "seq_id string, residues string"), size, 8)
+    got = sim.repeat_pairs(chunks, k, lo, hi, min_length=shortest)
+    cols = ["seq_id", "left_start", "left_end", "right_start", "right_end", "length"]
+    assert {tuple(x) for x in got.select(*cols).collect()} == want
