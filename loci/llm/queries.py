@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, langid, simhash
+from . import bpe, decontaminate, exact_dedup, langid, licenses, lm, pii, simhash, urls
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +20,28 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
@@ -36,7 +53,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op2_exact_dedup, op3_simhash_dedup, op6_language_id, op9_bpe, op10_decontaminate)
+    for q in (
+        op2_exact_dedup,
+        op3_simhash_dedup,
+        op4_pii,
+        op5_lm_scoring,
+        op6_language_id,
+        op7_licenses,
+        op8_url_filter,
+        op9_bpe,
+        op10_decontaminate,
+    )
 }
 
 ORACLES: dict[str, str] = {
