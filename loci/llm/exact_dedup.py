@@ -22,7 +22,7 @@ from ..session import checkpoint_dir, materialize
 from . import fuse
 from .common import SPACES, text_or_empty, without
 
-KEYS_PER_FILTER = 1 << 17  # bounds what one task holds: keys of one shard
+KEYS_PER_FILTER = 1 << 15  # bounds what one task holds: keys of one shard
 FEWEST_SHARDS = 8
 MOST_BUCKETS = 4096  # files of a snapshot; a layout, not a limit on what it holds
 
