@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, licenses, lm, pii, simhash, urls
+from . import bpe, decontaminate, exact_dedup, langid, licenses, line_dedup, lm, pii, simhash, urls
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(documents(spark, sf_dir))
 
@@ -54,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op1_line_dedup,
         op2_exact_dedup,
         op3_simhash_dedup,
         op4_pii,
@@ -67,6 +74,31 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (
+  SELECT doc_id, l, list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n FROM d WHERE text IS NOT NULL
+), starts AS (
+  SELECT doc_id, l, n, unnest(range(1, len(l) + 1)) AS i FROM w
+), runs AS (
+  SELECT doc_id, l, n, i, unnest(range(i, len(l) + 1)) AS j FROM starts
+), named AS (
+  SELECT doc_id, i, j, md5(array_to_string(l[i:j], chr(10))) AS name FROM runs WHERE list_sum(n[i:j]) >= 10
+), firsts AS (
+  SELECT name, min(struct_pack(d := doc_id, i := i)) AS f FROM named GROUP BY name HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS p FROM named JOIN firsts USING (name) WHERE struct_pack(d := doc_id, i := i) > f
+), lists AS (
+  SELECT doc_id, list(p ORDER BY p) AS p FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM (SELECT doc_id, i, l[i] AS line FROM starts ANTI JOIN gone ON starts.doc_id = gone.doc_id AND starts.i = gone.p) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(d.l), 0)::BIGINT AS n_lines, coalesce(len(p), 0)::BIGINT AS n_removed,
+       coalesce(len(list_filter(p, lambda x: NOT list_contains(p, x - 1))), 0)::BIGINT AS n_runs,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS text_sha256
+FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op2_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
