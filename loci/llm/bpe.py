@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, without
+from .common import packed, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words a task remembers at most; beyond that it forgets all and goes on.
@@ -163,8 +163,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
             ids = [t.encode(x) for x in texts]
             yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [t.decode(x) for x in ids]})
 
-    kept = without(docs, OUTPUTS)
-    return kept.withColumn("_bpe", run(text_or_empty(text_col))).select(*kept.columns, *[F.col(f"_bpe.{c}").alias(c) for c in OUTPUTS])
+    return packed(docs, OUTPUTS, found=run(text_or_empty(text_col))).select("_row.*", *[F.col(f"found.{c}").alias(c) for c in OUTPUTS])
 
 
 def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:

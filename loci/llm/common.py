@@ -40,15 +40,18 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def free_name(wanted: str, taken: list[str]) -> str:
-    """``wanted``, with underscores in front until no column has that name."""
-    low = {t.lower() for t in taken}
-    while wanted.lower() in low:
-        wanted = "_" + wanted
-    return wanted
-
-
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns that an operator is about to add (names compare without case, as Spark does)."""
     low = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
+def packed(df: DataFrame, outputs: list[str], **more: Column) -> DataFrame:
+    """The caller's columns in one, ``_row``, without those named like the outputs, and ``more`` beside it.
+
+    So no name of the caller's can clash with one of an operator's; ``_row.*``
+    gives them back.
+    """
+    kept = without(df, outputs)
+    own = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row")
+    return kept.select(own, *[c.alias(n) for n, c in more.items()])

@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, words_of
+from .common import packed, text_or_empty, words_of
 
 WINDOW = 10
 #: Windows that are broadcast at most (some hundred bytes each); a larger benchmark is joined by shuffling.
 MOST_BROADCAST = 500_000
 
-OUTPUTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-
-#: One word with what follows it up to the next.
-WORD_AND_REST = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
+#: In a text as it is, capitals belong to words too: what stands before the first, and one with what follows it.
+_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+HEAD = f"^[{_GAP}]*"
+WORD_AND_REST = f"[^{_GAP}]+[{_GAP}]*"
 
 
 def benchmark_windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -127,13 +127,13 @@ def decontaminate(
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
     found = hits(docs, items, size, id_col, text_col).where(F.size("spans") > 0).select(F.col("id").alias("_id"), "mark", "spans")
-    rows = docs.withColumn("_mark", F.xxhash64(text_or_empty(text_col)))
-    same = rows[id_col].eqNullSafe(found["_id"]) & (rows["_mark"] == found["mark"])
+    rows = packed(docs, [], id=F.col(id_col), own_mark=F.xxhash64(text_or_empty(text_col)), text=F.col(text_col))
+    same = rows["id"].eqNullSafe(found["_id"]) & (rows["own_mark"] == found["mark"])
     if remove == "documents":
-        return rows.join(found, same, "left_anti").select(*docs.columns)
+        return rows.select("_row", "id", "own_mark").join(found, same, "left_anti").select("_row.*")
     joined = rows.join(found, same, "left")
-    pieces = F.regexp_extract_all(text_col, F.lit(WORD_AND_REST), F.lit(0))
+    pieces = F.regexp_extract_all("text", F.lit(WORD_AND_REST), F.lit(0))
     left = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    head = F.regexp_extract(text_col, r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
-    cleaned = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.concat(head, F.concat_ws("", left)))
-    return joined.withColumn(text_col, cleaned).select(*docs.columns)
+    head = F.regexp_extract("text", HEAD, 0)
+    cleaned = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(head, F.concat_ws("", left)))
+    return joined.select(F.col("_row").withField(f"`{text_col}`", cleaned).alias("_row")).select("_row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialize
 from . import fuse
-from .common import SPACES, text_or_empty, without
+from .common import SPACES, packed, text_or_empty
 
 KEYS_PER_FILTER = 1 << 15  # bounds what one task holds: keys of one shard
 FEWEST_SHARDS = 8
@@ -129,15 +129,11 @@ def exact_dedup(docs: DataFrame, generations: int = 2, id_col: str = "doc_id", t
     per_key = slim.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(
         F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")
     )
-    rows = without(docs, OUTPUTS).withColumn("_digest", F.sha2(normalised(text_col), 256))
-    same = rows[id_col].eqNullSafe(per_key["_id"]) & (rows["_digest"] == per_key["_digest"])
-    joined = rows.join(per_key, same).drop(per_key["_digest"]).drop("_id")
-    first = F.row_number().over(Window.partitionBy(id_col, "_digest").orderBy(F.lit(1))) == 1
-    return (
-        joined.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & first)
-        .withColumnRenamed("_digest", "text_sha256")
-        .select(*without(docs, OUTPUTS).columns, *OUTPUTS)
-    )
+    rows = packed(docs, OUTPUTS, id=F.col(id_col), text_sha256=F.sha2(normalised(text_col), 256))
+    joined = rows.join(per_key, rows["id"].eqNullSafe(per_key["_id"]) & (rows["text_sha256"] == per_key["_digest"]))
+    first = F.row_number().over(Window.partitionBy("id", "text_sha256").orderBy(F.lit(1))) == 1
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & first
+    return joined.select("_row", "keep_id", "group_size", kept.alias("kept"), "text_sha256").select("_row.*", *OUTPUTS)
 
 
 def class_of_rows(docs: DataFrame, generations: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, without
+from .common import id_remainder, packed
 
 #: The dictionaries are fitted on at most this many texts a language, and this much of each.
 TEXTS_PER_LANGUAGE = 64
@@ -104,10 +104,7 @@ def predict(docs: DataFrame, content: dict[str, bytes], text_col: str = "text")
         for texts in batches:
             yield pd.DataFrame([classifier.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    kept = without(docs, OUTPUTS)
-    return kept.withColumn("_lang", run(F.col(text_col).cast("string"))).select(
-        *kept.columns, *[F.col(f"_lang.{c}").alias(c) for c in OUTPUTS]
-    )
+    return packed(docs, OUTPUTS, found=run(F.col(text_col).cast("string"))).select("_row.*", *[F.col(f"found.{c}").alias(c) for c in OUTPUTS])
 
 
 def identify(docs: DataFrame, held_out: int = 1, modulus: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

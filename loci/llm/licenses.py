@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, without
+from .common import packed, text_or_empty
 
 OUTPUTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
@@ -191,5 +191,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
             out = pd.DataFrame([scanner.scan(t) for t in texts], columns=OUTPUTS)
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    kept = without(docs, OUTPUTS)
-    return kept.withColumn("_scan", run(text_or_empty(text_col))).select(*kept.columns, *[F.col(f"_scan.{c}").alias(c) for c in OUTPUTS])
+    return packed(docs, OUTPUTS, found=run(text_or_empty(text_col))).select("_row.*", *[F.col(f"found.{c}").alias(c) for c in OUTPUTS])

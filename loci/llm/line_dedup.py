@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_or_empty, without
+from .common import packed, text_or_empty
 
 MIN_WORDS = 10
 OUTPUTS = ["n_lines", "n_removed", "n_runs"]
@@ -146,23 +146,21 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     spans = later_copies(docs, min_words, id_col, text_col)
     gone = spans.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("end") - 1)))).alias("_gone"))
     text = text_or_empty(text_col)
-    kept = without(docs, OUTPUTS)
-    rows = kept.withColumn("_doc", F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark")))
-    joined = rows.join(gone, rows["_doc"] == gone["doc"], "left")
-    copy = F.row_number().over(Window.partitionBy("_doc").orderBy(F.lit(1))) > 1
-    lines = _lines(text)
-    all_lines = F.sequence(F.lit(0), F.size(lines) - 1)
-    whole = copy & (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
-    joined = joined.withColumn("_whole", whole).withColumn(
-        "_gone", F.array_sort(F.when(F.col("_whole"), all_lines).otherwise(F.coalesce("_gone", F.array().cast("array<int>"))))
-    )
-    stays = F.transform(F.array_except(all_lines, F.col("_gone")), lambda i: F.get(lines, i))
-    runs = F.size(F.filter("_gone", lambda x, i: (i == 0) | (F.get("_gone", i - 1) < x - 1)))
-    missing = F.col(text_col).isNull()
+    doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
+    rows = packed(docs, OUTPUTS, own=doc, text=F.col(text_col).cast("string"))
+    joined = rows.join(gone, rows["own"] == gone["doc"], "left")
+    copy = F.row_number().over(Window.partitionBy("own").orderBy(F.lit(1))) > 1
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    joined = joined.select("_row", "text", "_gone", F.coalesce(_lines(F.col("text")), F.array()).alias("lines"), (copy & (words >= min_words)).alias("whole"))
+    every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    marked = F.when(F.col("whole"), every).otherwise(F.coalesce("_gone", F.array().cast("array<int>")))
+    joined = joined.select("_row", "text", "lines", every.alias("every"), F.array_sort(marked).alias("gone"))
+    stays = F.transform(F.array_except("every", "gone"), lambda i: F.get("lines", i))
+    cleaned = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(stays, "\n"))
+    runs = F.size(F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) < x - 1)))
     return joined.select(
-        *[c for c in kept.columns if c != text_col],
-        F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(stays, "\n")).alias(text_col),
-        F.when(missing, 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_removed"),
+        F.col("_row").withField(f"`{text_col}`", cleaned).alias("_row"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"),
         runs.cast("long").alias("n_runs"),
-    ).select(*kept.columns, *OUTPUTS)
+    ).select("_row.*", *OUTPUTS)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, without
+from .common import packed, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 OUTPUTS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
@@ -203,8 +203,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([inspect(t) for t in texts], columns=OUTPUTS)
 
-    kept = without(docs, OUTPUTS)
-    return kept.withColumn("_pii", run(text_or_empty(text_col))).select(*kept.columns, *[F.col(f"_pii.{c}").alias(c) for c in OUTPUTS])
+    return packed(docs, OUTPUTS, found=run(text_or_empty(text_col))).select("_row.*", *[F.col(f"found.{c}").alias(c) for c in OUTPUTS])
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_or_empty, without
+from .common import packed, text_or_empty
 from .components import components
 
 WORDS = 4
@@ -236,12 +236,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Other columns go through; columns named like the outputs are replaced.
     """
-    found = near_dedup(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(
-        F.min("component_id").alias("component_id"), F.min("fingerprint").alias("fingerprint"),
-        F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_stays"),
-    )
-    kept = found.where("_stays")
-    rows = without(docs, OUTPUTS)
-    joined = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.lit(1)))
-    return joined.withColumn("_n", rank).where(F.col("_n") == 1).select(*rows.columns, *OUTPUTS)
+    near = near_dedup(docs.select(id_col, text_col), id_col, text_col)
+    stays = F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_stays")
+    kept = near.groupBy(F.col(id_col).alias("_id")).agg(stays, *[F.min(c).alias(c) for c in OUTPUTS]).where("_stays")
+    rows = packed(docs, OUTPUTS, id=F.col(id_col), at=F.xxhash64(text_col))
+    joined = rows.join(kept, rows["id"].eqNullSafe(kept["_id"]))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("at"))
+    return joined.withColumn("_n", first).where("_n = 1").select("_row.*", *OUTPUTS)

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, without
+from .common import UPPER, packed
 
 #: (verdict, host, path); a rule fits its host and all subdomains where the path starts alike.
 Rule = tuple[str, str, str]
@@ -82,12 +82,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str =
     verdict. Other columns go through; columns named like the outputs are
     replaced.
     """
-    kept = without(pages, OUTPUTS)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host, path = host_and_path(url)
-    # the caller's columns travel in one, so that none of their names can clash
-    rows = kept.select(F.struct(*kept.columns).alias("_row"), url.alias("_url"), host.alias("host"), path.alias("path"))
-    rows = judged(rows, rules)
+    rows = judged(packed(pages, OUTPUTS, _url=url, host=host, path=path), rules)
 
     labelled = rows.where(F.col("by_rule").isNotNull()).select("_url", "host", "path", "by_rule").distinct()
     labelled = lexical(labelled).withColumn("label", (F.col("by_rule") == "block").cast("double"))
