@@ -47,9 +47,21 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Cuts lineage so that a loop does not grow its plan, and fixes values (a
     partition number, say) that a recomputed task could otherwise assign anew.
-    The files outlive any executor.
+    The files outlive any executor, until ``discard``.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/loci-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loci_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned; nothing may read them any more."""
+    for t in tables:
+        path = t.__dict__.pop("_loci_path", None)
+        if path:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
