@@ -13,12 +13,19 @@ def _col(c: Column | str) -> Column:
 def natural_key(c: Column | str) -> Column:
     """Sort key under which runs of digits compare as numbers.
 
-    Pieces are joined by the lowest letter, so that a piece that is the start
-    of another one sorts before it, and the key is one string to compare.
+    A run of digits goes without leading zeros and behind its length, so runs
+    of any length compare rightly. Pieces are joined by the lowest letter, so
+    that a piece that is the start of another one sorts before it, and the key
+    is one string to compare.
     """
     pieces = F.regexp_extract_all(_col(c), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p))
-    return F.array_join(padded, "\u0001")
+
+
+    def keyed(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(pieces, keyed), "\u0001")
 
 
 def reverse_complement(c: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import natural_key, round_half_up
@@ -13,9 +13,6 @@ from .hits import best_hit, filter_compatible, filter_hits_by_coverage
 from .ordering import number_rows, top_per_key
 from .sequences import slice_sequences
 
-MAX_FAMILY = 100
-MAX_MEMBER = 12_000
-
 
 def element_parts(elements: DataFrame, parts: DataFrame, kind: str = "long_terminal_repeat") -> DataFrame:
     """Stretches of each element that are compared on their own.
@@ -120,17 +117,23 @@ def recruit(
     return best_hit(usable).select(F.col("query").alias("element_id"), F.col("hit_family").alias("family"), "subject", "bits")
 
 
-def cap_families(t: DataFrame, max_members: int = MAX_FAMILY, max_length: int = MAX_MEMBER, family: str = "family") -> DataFrame:
-    """Members of families that are small and short enough to be aligned."""
+def cap_families(
+    t: DataFrame, max_members: int | Column | None = None, max_length: int | None = None, family: str = "family"
+) -> DataFrame:
+    """Members of families that are small and short enough to be aligned (P19); a bound left out holds nothing back."""
+    if max_members is None and max_length is None:
+        return t
+    small = F.lit(True) if max_members is None else F.col("_n") <= max_members
+    short = F.lit(True) if max_length is None else F.col("_longest") <= max_length
     ok = (
         t.groupBy(family)
         .agg(F.count("*").alias("_n"), F.max("length").alias("_longest"))
-        .where((F.col("_n") <= max_members) & (F.col("_longest") <= max_length))
+        .where(small & short)
     )
     return t.join(ok.select(family), family, "left_semi")
 
 
-def top_families(t: DataFrame, n: int = 20, family: str = "family") -> DataFrame:
+def top_families(t: DataFrame, n: int, family: str = "family") -> DataFrame:
     """Members of the ``n`` largest families."""
     first = (
         t.groupBy(family)

@@ -231,6 +231,13 @@ def repeat_pairs(
     ``max_dist`` positions and merged. Stretches of one diagonal within
     ``max_gap`` are merged. Distances are between the starts of the seeds.
     """
+    ends = chunks.groupBy("seq_id").agg(F.max("core_end").alias("_end"))
+    pads = chunks.select("seq_id", "core_start", "core_end", "left_pad", "right_pad")
+    # inside a sequence every chunk must see the k-mers that begin in it whole, and the letter before them
+    cut = F.col("right_pad") < F.least(F.lit(k), F.col("_end") - F.col("core_end"))
+    cut |= (F.col("left_pad") < 1) & (F.col("core_start") > 1)
+    if not pads.join(ends, "seq_id").where(cut).isEmpty():
+        raise ValueError(f"pads between chunks must have at least k = {k} letters")
     seed = _seeds(chunks, k, inverted, min_dist)
     key = ["seq_id", "diagonal"]
     if inverted:

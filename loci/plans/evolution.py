@@ -74,14 +74,15 @@ def element_ages(aligned: DataFrame, rate: float = 1e-8, key: str = "element_id"
 def recombination(
     aligned: DataFrame,
     gap: str = "-",
-    max_members: int = fam.MAX_FAMILY,
-    max_length: int = fam.MAX_MEMBER,
+    max_members: int | None = None,
+    max_length: int | None = None,
     min_gap: int = 10,
 ) -> dict[str, DataFrame]:
     """Gap statistics and the direct repeats around gaps (C11).
 
-    ``aligned`` has ``seq_id``, ``family`` and ``residues``; families too large
-    or too long to be aligned, and single sequences, are left out.
+    ``aligned`` has ``seq_id``, ``family`` and ``residues``; single sequences are
+    left out. Rows that are aligned already need no bound on their families;
+    one is set only by the caller.
     """
     sized = aligned.withColumn("length", F.length("residues").cast("bigint"))
     used = fam.drop_small_groups(fam.cap_families(sized, max_members, max_length), "family", 2)

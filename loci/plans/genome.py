@@ -93,12 +93,12 @@ def annotate_genome(
     tables are written out, since every later step reads them.
     """
     refined, ledger = refine_predictions(strict, relaxed, chunks, size=size, bin=bin)
-    refined = materialize(refined.withColumn("element_id", F.regexp_replace("id", "_(?:strict|relaxed)$", "")))
-    parts = strict[1].unionByName(relaxed[1]).dropDuplicates()
-    strands = relaxed[0].select("element_id", "strand", "type").unionByName(strict[0].select("element_id", "strand", "type")).dropDuplicates(["element_id"])
-    ltr_elements = refined.dropDuplicates(["element_id"]).join(strands, "element_id").select(
-        "seq_id", "start", "end", "strand", "type", "element_id"
-    )
+    # the runs number their elements apart: an id means something with the name of its run only
+    refined = materialize(refined.withColumn("element_id", F.col("id")))
+    named = lambda t, run: t.withColumn("element_id", F.concat_ws("_", "element_id", F.lit(run)))
+    parts = named(strict[1], "strict").unionByName(named(relaxed[1], "relaxed"))
+    known = named(strict[0], "strict").unionByName(named(relaxed[0], "relaxed")).select("element_id", "strand", "type")
+    ltr_elements = refined.join(known, "element_id").select("seq_id", "start", "end", "strand", "type", "element_id")
     ltr = classify_ltr(ltr_elements, parts, chunks, size=size, **clustering)
     masked = materialize(mask_intervals(chunks, refined.select("seq_id", "start", "end"), size))
 

@@ -21,13 +21,16 @@ def refine_predictions(
     prefix: str = "LTR_retrotransposon",
     size: int = CHUNK_SIZE,
     bin: int = 4096,
+    relaxed_alone: bool = False,
     **rules,
 ) -> tuple[DataFrame, DataFrame]:
     """Combine a strict and a relaxed run into one numbered set and its ledger.
 
     Each run is a pair (elements, parts); elements have ``similarity``. With
     ``genes`` = (flanks, hits) elements covered by genes on both flanks go
-    first. An empty strict run hands the relaxed one through unrefined.
+    first. With ``relaxed_alone`` the relaxed run goes on unrefined, which is
+    what a user wants whose strict run found nothing; ids carry their run's name
+    (``_strict``, ``_relaxed``) either way.
     """
     runs = {"strict": strict, "relaxed": relaxed}
     found = {}
@@ -38,8 +41,9 @@ def refine_predictions(
         strict[0].select("element_id").unionByName(relaxed[0].select("element_id")),
         found["strict"].select("element_id").unionByName(found["relaxed"].select("element_id")),
     )
-    if found["strict"].isEmpty():
-        out = found["relaxed"].select("seq_id", "start", "end", F.col("element_id").alias("id"), F.lit("relaxed").alias("origin"))
+    if relaxed_alone:
+        named = F.concat_ws("_", "element_id", F.lit("relaxed")).alias("id")
+        out = found["relaxed"].select("seq_id", "start", "end", named, F.lit("relaxed").alias("origin"))
         numbered = renumber(out, prefix, ties=[natural_key("id"), "id"])
         return numbered, totals.select(F.explode(F.array(
             F.struct(F.lit("found").alias("measure"), F.col("total").alias("n")),

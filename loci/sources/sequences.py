@@ -49,7 +49,7 @@ def read_sequence_chunks(spark: SparkSession, path: str, size: int = CHUNK_SIZE,
         F.col("_metadata.file_block_start").alias("_tile"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    opens = F.when(F.col("line").startswith(">"), _id(F.substring("line", 2, 1 << 20)))
+    opens = F.when(F.col("line").startswith(">"), _id(F.substring(F.col("line"), F.lit(2), F.length("line"))))
     lines = lines.withColumn("_opens", opens)
     last_open = F.max_by("_opens", F.when(F.col("_opens").isNotNull(), F.col("_at")))
     lines = carry_over_tiles(lines, ["file"], last_open, "last")

@@ -77,12 +77,10 @@ def _(spark, sf):
     "P19_cap_families",
     ["members"],
     """SELECT element_id, family FROM members WHERE family IN (SELECT family FROM members GROUP BY family
-    HAVING count(*) <= (SELECT count(*) // 25 FROM members) AND max(length) <= 15000)""",
+    HAVING count(*) <= 100 AND max(length) <= 12000)""",
 )
 def _(spark, sf):
-    # the bound on members follows the table: a twenty-fifth of its rows
-    bound = F.floor(v.members(spark, sf).agg(F.count("*")).scalar() / 25)
-    return fam.cap_families(v.members(spark, sf), bound, 15000).select("element_id", "family")
+    return fam.cap_families(v.members(spark, sf), 100, 12_000).select("element_id", "family")
 
 
 SIGNATURES_SQL = """, smallest AS (SELECT element_id, part, min(cluster_id) AS c FROM cluster_members GROUP BY ALL),
@@ -284,7 +282,7 @@ PAIRS_SQL = f""", texts AS (SELECT min(doc_id) AS id, text FROM documents GROUP
 
 
 def texts(spark, sf):
-    return v.spread(v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("residues")))
+    return v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("residues"))
 
 
 @query("G1_similar_pairs", ["sequences"], PAIRS_SQL + "SELECT a, b, shared, share FROM pairs")

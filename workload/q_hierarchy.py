@@ -117,7 +117,7 @@ def natural(sql: str) -> str:
 
     return re.sub(
         r"natural_key\((\w+)\)",
-        r"list_transform(regexp_extract_all(\1, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END)",
+        r"list_transform(regexp_extract_all(\1, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\\\1'))::VARCHAR, 10, '0') || regexp_replace(x, '^0+([0-9])', '\\\\1') ELSE x END)",
         sql,
     )
 
@@ -329,7 +329,7 @@ def tir_facts(spark, sf):
     n = v.table(spark, sf, "documents").agg(F.count("*")).scalar()
     on_doc = e.select("element_id", (F.col("orderkey") % n).alias("d")).join(docs, "d")
     residues = on_doc.select(
-        "element_id", F.substring(F.translate("text", "eionur", "cacact"), 1, 200).alias("residues")
+        "element_id", F.translate("text", "eionur", "cacact").alias("residues")
     )
     two = p.where((F.col("type") == "target_site_duplication") & (F.col("end") - F.col("start") + 1 == 2))
     ta = two.select("element_id", "start").join(on_doc, "element_id").select(
@@ -339,12 +339,14 @@ def tir_facts(spark, sf):
 
 
 TIR_SQL = """, docs AS (SELECT doc_id, lower(text) AS text FROM documents),
-    on_doc AS (SELECT element_id, text FROM elements JOIN docs ON orderkey % (SELECT count(*) FROM documents) = doc_id),
+    size AS (SELECT count(*) AS n FROM documents),
+    placed AS (SELECT element_id, orderkey % n AS doc_id FROM elements, size),
+    on_doc AS (SELECT element_id, text FROM placed JOIN docs USING (doc_id)),
     tsd AS (SELECT element_id, "start", "end" - "start" + 1 AS len FROM parts WHERE type = 'target_site_duplication'),
     lens AS (SELECT element_id, bool_or(len = 8) AS t8, bool_or(len BETWEEN 8 AND 11) AS t811 FROM tsd GROUP BY 1),
     ta AS (SELECT element_id, bool_or(regexp_matches(substring(text, CAST("start" % 50 + 1 AS INTEGER), 2), '(?i)ta')) AS ta
         FROM tsd JOIN on_doc USING (element_id) WHERE len = 2 GROUP BY 1),
-    cact AS (SELECT element_id, regexp_matches(substring(translate(text, 'eionur', 'cacact'), 1, 200), '(?i)^cact(?:a|g)?|cact(?:a|g)?$') AS c FROM on_doc),
+    cact AS (SELECT element_id, regexp_matches(translate(text, 'eionur', 'cacact'), '(?i)^cact(?:a|g)?|cact(?:a|g)?$') AS c FROM on_doc),
     dom AS (SELECT element_id, count(*) AS domains FROM parts WHERE type = 'protein_match' GROUP BY 1),
     evidence AS (SELECT e.element_id, e."end" - e."start" + 1 AS len, coalesce(t8, false) AS tsd_8, coalesce(t811, false) AS tsd_8_11,
         coalesce(ta, false) AS tsd_ta, coalesce(c, false) AS cact_ends, coalesce(domains, 0) AS domains

@@ -334,14 +334,14 @@ def _(spark, sf):
     "C11_recombination",
     ["sequences"],
     """, src AS (SELECT 'doc' || doc_id AS seq_id, lang || '_' || source AS family, text AS residues FROM documents),
-    used AS (SELECT * FROM src WHERE family IN (SELECT family FROM src GROUP BY family HAVING count(*) BETWEEN 2 AND 100 AND max(length(residues)) <= 12000)),
+    used AS (SELECT * FROM src WHERE family IN (SELECT family FROM src GROUP BY family HAVING count(*) >= 2)),
     letters AS (SELECT seq_id, family, unnest(string_split(residues, '')) AS letter, generate_subscripts(string_split(residues, ''), 1) AS pos FROM used),
     gaps AS (SELECT seq_id, family, pos, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS g FROM letters WHERE letter = 'e'),
     runs AS (SELECT seq_id, family, count(*) AS n FROM gaps GROUP BY seq_id, family, g)
     SELECT family, count(DISTINCT seq_id) AS members, CAST(sum(n) AS BIGINT) AS total_gap_length FROM runs GROUP BY family""",
 )
 def _(spark, sf):
-    d = v.spread(v.table(spark, sf, "documents"))
+    d = v.table(spark, sf, "documents")
     t = d.select(F.concat(F.lit("doc"), "doc_id").alias("seq_id"), F.concat_ws("_", "lang", "source").alias("family"), F.col("text").alias("residues"))
     return plans.recombination(t, gap="e")["per_family"].select("family", "members", "total_gap_length")
 

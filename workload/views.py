@@ -15,16 +15,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table kept in fewer files than there are cores, dealt out over the cores.
-
-    A large table has many files and is read in parallel as it is; only a
-    single small file would leave work that is heavy per row to one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _days(c: str) -> Column:
     return F.datediff(F.col(c), F.lit("1995-01-01").cast("date")).cast("bigint") + 1
 
@@ -50,7 +40,7 @@ def _cents() -> Column:
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
     """V1: one interval per line item on the sequence of its part."""
     start = _days("l_shipdate")
-    li = spread(table(spark, sf, "lineitem"))
+    li = table(spark, sf, "lineitem")
     return li.select(
         F.concat(F.lit("chr"), F.col("l_partkey")).alias("seq_id"),
         start.alias("start"),
@@ -83,7 +73,7 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     first = _days("l_shipdate")
     last = first + _big("l_quantity") * 4 - 1
     reverse = F.col("l_linestatus") == "F"
-    return spread(table(spark, sf, "lineitem")).select(
+    return table(spark, sf, "lineitem").select(
         F.concat(F.lit("q"), F.col("l_orderkey")).alias("query"),
         F.concat(F.lit("s"), F.col("l_partkey")).alias("subject"),
         F.round(F.lit(100.0) - F.col("l_discount") * 500.0, 0).alias("identity"),
@@ -220,7 +210,7 @@ def state_path(spark: SparkSession, sf: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """V5: one sequence per document, whole text."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return d.select(F.concat(F.lit("doc"), F.col("doc_id")).alias("seq_id"), F.col("text").alias("residues"))
 
 
@@ -320,7 +310,7 @@ def doc_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_hits(spark: SparkSession, sf: str) -> DataFrame:
     """V2 on the documents: library entries with a code against the text of a document."""
-    h = spread(table(spark, sf, "lineitem"))
+    h = table(spark, sf, "lineitem")
     first = _days("l_shipdate")
     last = first + _big("l_quantity") * 4 - 1
     reverse = F.col("l_linestatus") == "F"
