@@ -164,3 +164,29 @@ def test_flank_repeat(spark):
     t = table(spark, [("s", up + "-" * 12 + down), ("t", up + "-" * 9 + down)], "seq_id string, residues string")
     got = sq.flank_repeats(t).collect()
     assert [(r["seq_id"], r["repeat"], r["before_gap"], r["after_gap"], r["start"], r["end"]) for r in got] == [("s", "ACCGTA", 0, 1, 21, 32)]
+
+
+def test_natural_key_holds_runs_of_any_length(spark):
+    ids = ["c2", "c10", "c1" + "0" * 20, "c2" + "0" * 20, "c9" + "0" * 30, "c007", "c7x", "c"]
+    rows = table(spark, [(i,) for i in ids], "id string").orderBy(natural_key("id"), "id").collect()
+    assert [r["id"] for r in rows] == ["c", "c2", "c007", "c7x", "c10", ids[2], ids[3], ids[4]]
+
+
+def test_recombination_keeps_large_families(spark):
+    from loci import plans
+
+    t = table(spark, [(f"s{i}", "f", "AC--GT") for i in range(101)], "seq_id string, family string, residues string")
+    out = plans.recombination(t)
+    assert out["per_family"].collect()[0]["members"] == 101
+    assert plans.recombination(t, max_members=100)["per_family"].count() == 0
+
+
+def test_repeat_pairs_refuse_short_pads(spark):
+    import pytest
+
+    from loci.operators.similarity import repeat_pairs
+
+    t = table(spark, [("s", "ACGTTGCA" * 20)], "seq_id string, residues string")
+    with pytest.raises(ValueError, match="pads"):
+        repeat_pairs(sq.windows(t, 50, 10), k=20)
+    assert repeat_pairs(sq.windows(t, 50, 20), k=20, min_dist=8, max_dist=8, min_length=20).count() == 1
