@@ -3,7 +3,7 @@
 from .classification import assign_families, classify_ltr, classify_tir, pair_families
 from .evolution import element_ages, paired_repeats, recombination, solo_repeats
 from .genome import annotate_genome, annotate_nonltr, global_summary, transfer_annotations
-from .masking import find_fragments, mask_genome
+from .masking import find_fragments, fragment_residues, mask_genome, write_fragments
 from .refinement import filter_tir_predictions, refine_predictions
 
 __all__ = [
@@ -15,6 +15,7 @@ __all__ = [
     "element_ages",
     "filter_tir_predictions",
     "find_fragments",
+    "fragment_residues",
     "global_summary",
     "mask_genome",
     "pair_families",
@@ -23,4 +24,5 @@ __all__ = [
     "refine_predictions",
     "solo_repeats",
     "transfer_annotations",
+    "write_fragments",
 ]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import reverse_complement
 from ..operators import hits as h
 from ..operators.intervals import merge_intervals, select_disjoint
 from ..operators.ordering import number_rows
-from ..operators.sequences import CHUNK_SIZE, mask_intervals, sequence_lengths
+from ..operators.sequences import CHUNK_SIZE, mask_intervals, sequence_lengths, slice_sequences
 from ..operators.summary import coverage_summary
+from ..sources.features import write_features
+from ..sources.sequences import write_sequences
 
 
 def mask_genome(
@@ -57,3 +60,27 @@ def find_fragments(
     numbered = number_rows(kept, ["start"], "number", within=["seq_id"])
     name = F.concat(F.col("match"), F.lit("_fragment_"), F.col("seq_id"), F.lit("-"), F.col("number"))
     return numbered.withColumn("id", name)
+
+
+def fragment_residues(fragments: DataFrame, chunks: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """Fragments with their residues as text (C8); those of the minus strand are turned."""
+    cut = slice_sequences(fragments, chunks, ["id"], size).select("id", "residues")
+    turned = F.when(F.col("strand") == "-", reverse_complement("residues")).otherwise(F.col("residues"))
+    return fragments.join(cut, "id").withColumn("residues", turned)
+
+
+def write_fragments(fragments: DataFrame, lengths: DataFrame, sequences: str, features: str) -> None:
+    """The two files of the fragment job, a record and a feature row each (C8); ``fragments`` have residues."""
+    write_sequences(fragments.select("id", "residues"), sequences, name="id")
+    rows = fragments.select(
+        "seq_id",
+        F.lit("loci").alias("source"),
+        F.lit("similarity").alias("type"),
+        "start",
+        "end",
+        F.col("bits").cast("double").alias("score"),
+        "strand",
+        F.lit(None).cast("int").alias("phase"),
+        F.create_map(F.lit("ID"), F.array("id"), F.lit("Name"), F.array("match")).alias("attributes"),
+    )
+    write_features(rows, lengths, features)

@@ -41,3 +41,15 @@ def test_relaxed_alone_goes_on_unrefined(spark):
     out, ledger = plans.refine_predictions((strict[0].limit(0), strict[1]), relaxed, jobs.chunks(spark, SF), size=jobs.SIZE, bin=64, relaxed_alone=True)
     assert out.count() == relaxed[0].count() and {r["origin"] for r in out.collect()} == {"relaxed"}
     assert {r["measure"] for r in ledger.collect()} == {"found", "passed_genes"}
+
+
+def test_fragment_files_hold_the_same_fragments(spark, tmp_path):
+    from loci.operators.sequences import sequence_lengths
+    from loci.sources import read_features, read_sequences
+
+    chunks = jobs.chunks(spark, SF)
+    found = plans.fragment_residues(plans.find_fragments(h.normalize_hits(v.doc_hits(spark, SF))), chunks, jobs.SIZE)
+    plans.write_fragments(found, sequence_lengths(chunks), f"{tmp_path}/records", f"{tmp_path}/rows")
+    records = {r["seq_id"]: len(r["residues"]) for r in read_sequences(spark, f"{tmp_path}/records").collect()}
+    rows = {r["attributes"]["ID"][0]: r["end"] - r["start"] + 1 for r in read_features(spark, f"{tmp_path}/rows").collect()}
+    assert records and set(records) == set(rows)

@@ -42,9 +42,7 @@ def pair_hits(spark, sf):
     return a.join(b, "l_orderkey").drop("l_orderkey")
 
 
-@query(
-    "A9_family_similarity",
-    ["members"],
+SIMILARITY_SQL = (
     PAIR_HITS_SQL
     + """, inner_hits AS (SELECT m.family, h.* FROM pair_hits h JOIN members m ON h.query = m.element_id JOIN members n ON h.subject = n.element_id
         WHERE m.family = n.family AND h.length >= 80),
@@ -53,8 +51,11 @@ def pair_hits(spark, sf):
     sizes AS (SELECT family, count(*) AS n, sum(length)::DOUBLE / count(*) AS l FROM members GROUP BY family HAVING count(*) > 1)
     SELECT family, n AS family_size, c AS family_count_analyzed, floor(i * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS similarity_mean,
       floor(means.l * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS hit_length_mean, floor(sizes.l * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS element_length_mean
-    FROM sizes JOIN means USING (family) JOIN seen USING (family)""",
+    FROM sizes JOIN means USING (family) JOIN seen USING (family)"""
 )
+
+
+@query("A9_family_similarity", ["members"], SIMILARITY_SQL)
 def _(spark, sf):
     return fam.family_similarity(pair_hits(spark, sf), v.members(spark, sf))
 

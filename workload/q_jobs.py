@@ -9,7 +9,7 @@ from loci.operators import hits as h
 from loci.operators.sequences import windows
 
 from . import views as v
-from .q_families import pair_hits
+from .q_families import SIMILARITY_SQL, pair_hits
 from .q_hierarchy import BEST_SQL, MERGED_DOMAINS_SQL, RETRO, RULES_SQL, SCORE_SQL, natural
 from .q_intervals import MERGE_SQL, TAXONOMY_SQL
 from .registry import query
@@ -282,22 +282,34 @@ def _(spark, sf):
     return stitch(masked).select("seq_id", F.md5("residues").alias("digest"))
 
 
-@query(
-    "C8_find_fragments",
-    ["doc_hits"],
-    """, thin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, s_start ORDER BY bits DESC, query, s_end DESC, evalue, identity DESC) AS rn
+FRAGMENTS_SQL = """, thin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, s_start ORDER BY bits DESC, query, s_end DESC, evalue, identity DESC) AS rn
         FROM doc_hits WHERE identity >= 80 AND length >= 100 AND s_end - s_start + 1 >= 100) WHERE rn = 1),
-    kept(subject, s_start, s_end, query) AS (
-      SELECT subject, min(s_start), arg_min(s_end, s_start), arg_min(query, s_start) FROM thin GROUP BY subject
+    kept(subject, s_start, s_end, query, strand) AS (
+      SELECT subject, min(s_start), arg_min(s_end, s_start), arg_min(query, s_start), arg_min(strand, s_start) FROM thin GROUP BY subject
       UNION ALL
-      SELECT t.subject, min(t.s_start), arg_min(t.s_end, t.s_start), arg_min(t.query, t.s_start)
+      SELECT t.subject, min(t.s_start), arg_min(t.s_end, t.s_start), arg_min(t.query, t.s_start), arg_min(t.strand, t.s_start)
       FROM kept k JOIN thin t ON t.subject = k.subject AND t.s_start > k.s_end GROUP BY t.subject)
-    SELECT subject AS seq_id, s_start AS "start", s_end AS "end",
-      query || '_fragment_' || subject || '-' || row_number() OVER (PARTITION BY subject ORDER BY s_start) AS id FROM kept""",
+, named AS (SELECT subject AS seq_id, s_start AS "start", s_end AS "end",
+      query || '_fragment_' || subject || '-' || row_number() OVER (PARTITION BY subject ORDER BY s_start) AS id, strand FROM kept)
+"""
+
+
+@query("C8_find_fragments", ["doc_hits"], FRAGMENTS_SQL + """SELECT seq_id, "start", "end", id FROM named""", recursive=True)
+def fragments(spark, sf):
+    return plans.find_fragments(h.normalize_hits(v.doc_hits(spark, sf))).select("seq_id", "start", "end", "id")
+
+
+@query(
+    "C8_fragment_residues",
+    ["doc_hits", "sequences"],
+    FRAGMENTS_SQL
+    + """SELECT id, md5(CASE WHEN strand = '-' THEN translate(reverse(r), 'ACGTacgt', 'TGCAtgca') ELSE r END) AS digest
+    FROM (SELECT id, strand, substring(residues, "start", "end" - "start" + 1) AS r FROM named JOIN sequences USING (seq_id) WHERE "start" <= length(residues))""",
     recursive=True,
 )
 def _(spark, sf):
-    return plans.find_fragments(h.normalize_hits(v.doc_hits(spark, sf))).select("seq_id", "start", "end", "id")
+    found = plans.find_fragments(h.normalize_hits(v.doc_hits(spark, sf)))
+    return plans.fragment_residues(found, chunks(spark, sf), SIZE).select("id", F.md5("residues").alias("digest"))
 
 
 @query(
@@ -382,6 +394,13 @@ def _(spark, sf):
     return out["ages"].select("element_id", "family", "family_size", "superfamily")
 
 
+@query("C13_family_similarity", ["members"], SIMILARITY_SQL)
+def _(spark, sf):
+    m = v.members(spark, sf).select("element_id", F.col("superfamily").alias("type"), "family", "length")
+    ages = m.select("element_id", "type", "family", (F.col("length") / 1e6).alias("divergence"))
+    return plans.global_summary(pair_hits(spark, sf), m, ages)["similarity"]
+
+
 @query("C14_annotate_genome")
 def _(spark, sf):
     strict, relaxed = runs(spark, sf)
