@@ -152,12 +152,6 @@ def transfer_rate(t: DataFrame, transferred: str = "transferred") -> DataFrame:
     )
 
 
-def exemplar(hits: DataFrame, family: str = "family") -> DataFrame:
-    """Member with most hits inside its family."""
-    counts = hits.groupBy(family, "query").agg(F.count("*").alias("hits"))
-    return top_per_key(counts, family, [F.col("hits").desc(), F.col("query")])
-
-
 def greedy_pairs(t: DataFrame, score: str = "bits", a: str = "query", b: str = "subject") -> DataFrame:
     """Take pairs by descending score while both ends are free.
 

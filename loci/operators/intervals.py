@@ -18,7 +18,7 @@ from ..session import materialize
 from .ordering import number_rows
 
 TILE = 1 << 16
-FOLD_LIMIT = 1 << 16
+FOLD_LIMIT = 1 << 10
 
 
 def _by(by: str | Sequence[str]) -> list[str]:

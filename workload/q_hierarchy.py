@@ -134,7 +134,7 @@ def strict_and_relaxed(spark, sf):
 )
 def _(spark, sf):
     strict, relaxed = strict_and_relaxed(spark, sf)
-    return hi.best_of_overlap(strict, relaxed, bin=64, levels=1)
+    return hi.best_of_overlap(strict, relaxed)
 
 
 @query(
@@ -150,7 +150,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     strict, relaxed = strict_and_relaxed(spark, sf)
-    return hi.combine_sets(strict, relaxed, bin=64, levels=1)
+    return hi.combine_sets(strict, relaxed)
 
 
 @query(

@@ -117,7 +117,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cols = ["seq_id", "start", "end", "id"]
-    pairs = iv.overlap_join(v.intervals(spark, sf).select(*cols), v.strict_intervals(spark, sf).select(*cols), bin=64, levels=1)
+    pairs = iv.overlap_join(v.intervals(spark, sf).select(*cols), v.strict_intervals(spark, sf).select(*cols))
     shared = F.least("end", "b_end") - F.greatest("start", "b_start") + 1
     return pairs.select("id", F.col("b_id").alias("other"), shared.alias("shared"))
 

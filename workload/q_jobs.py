@@ -325,6 +325,20 @@ def _(spark, sf):
     return plans.solo_repeats(h.normalize_hits(v.doc_hits(spark, sf))).select("seq_id", "start", "end", "query", "id")
 
 
+@query(
+    "C10_paired_repeats",
+    ["doc_features", "sequences"],
+    """, ends AS (SELECT *, row_number() OVER (PARTITION BY seq_id, element_id ORDER BY "start", "end", coalesce(strand, '?')) AS rn,
+        count(*) OVER (PARTITION BY seq_id, element_id) AS n FROM doc_features WHERE type = 'long_terminal_repeat'),
+    sides AS (SELECT element_id, CASE WHEN strand = '-' THEN rn = 2 ELSE rn = 1 END AS first, substring(residues, "start", "end" - "start" + 1) AS r
+      FROM ends JOIN sequences USING (seq_id) WHERE n = 2 AND "start" <= length(residues))
+    SELECT element_id, md5(max(CASE WHEN first THEN r END)) AS "left", md5(max(CASE WHEN NOT first THEN r END)) AS "right" FROM sides GROUP BY element_id""",
+)
+def _(spark, sf):
+    pairs = plans.paired_repeats(v.doc_features(spark, sf), chunks(spark, sf), size=SIZE)
+    return pairs.select("element_id", F.md5("left").alias("left"), F.md5("right").alias("right"))
+
+
 @query(
     "C10_element_ages",
     ["aligned_pairs"],
