@@ -30,6 +30,10 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _known(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
 def ranked(keys: DataFrame, *order: str) -> DataFrame:
     """Distinct ``keys`` with a number that rises in their order.
 
@@ -145,13 +149,15 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     """
     spans = later_copies(docs, min_words, id_col, text_col)
     gone = spans.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("end") - 1)))).alias("_gone"))
-    text = text_or_empty(text_col)
-    doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
-    rows = packed(docs, OUTPUTS, own=doc, text=F.col(text_col).cast("string"))
-    joined = rows.join(gone, rows["own"] == gone["doc"], "left")
-    copy = F.row_number().over(Window.partitionBy("own").orderBy(F.lit(1))) > 1
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    joined = joined.select("_row", "text", "_gone", F.coalesce(_lines(F.col("text")), F.array()).alias("lines"), (copy & (words >= min_words)).alias("whole"))
+    # plain columns that are never null: the join and the window below then share one shuffle of the texts
+    key = ["_id", "_no_id", "_mark"]
+    gone = gone.select(_known("doc.id").alias("_id"), F.isnull("doc.id").alias("_no_id"), F.col("doc.mark").alias("_mark"), "_gone")
+    own = {"_id": _known(id_col), "_no_id": F.isnull(id_col), "_mark": F.xxhash64(text_or_empty(text_col))}
+    joined = packed(docs, OUTPUTS, **own).join(gone, key, "left")
+    text = F.col("_row").getField(text_col).cast("string")
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))) > 1
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    joined = joined.select("_row", text.alias("text"), "_gone", F.coalesce(_lines(text), F.array()).alias("lines"), (copy & (words >= min_words)).alias("whole"))
     every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
     marked = F.when(F.col("whole"), every).otherwise(F.coalesce("_gone", F.array().cast("array<int>")))
     joined = joined.select("_row", "text", "lines", every.alias("every"), F.array_sort(marked).alias("gone"))
