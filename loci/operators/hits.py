@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_half_up
-from ..session import materialize
+from ..session import discard, materialize
 from .ordering import top_per_key
 
 # Thresholds by use: (identity, length)
@@ -156,10 +157,13 @@ def greedy_pairs(t: DataFrame, score: str = "bits", a: str = "query", b: str = "
     """Take pairs by descending score while both ends are free.
 
     A pair that is the best one of both its ends is taken by the sequential
-    rule whatever comes before it, so each round takes all such pairs at once
-    and drops the edges they touch. Equal scores are ordered by a digest of the
-    pair, not by name: names would line ties up in chains that free only one
-    pair per round.
+    rule whatever comes before it, and a pair with one better neighbour only is
+    taken exactly if that one is not. So each round follows these waits to
+    their ends by pointer doubling, takes what they settle, and drops the edges
+    that it touches: a chain of falling scores takes a number of joins in the
+    logarithm of its length. No general bound on the rounds is known; in each
+    the best pair left is settled at least. Equal scores are ordered by a
+    digest of the pair, not by name.
     """
     edges = (
         t.where(F.col(a) != F.col(b))
@@ -169,19 +173,49 @@ def greedy_pairs(t: DataFrame, score: str = "bits", a: str = "query", b: str = "
         .withColumn("_tie", F.md5(F.concat_ws("|", "_lo", "_hi")))
     )
     edges = materialize(edges)
-    taken = None
+    taken: list[DataFrame] = []
     while not edges.isEmpty():
-        ends = edges.withColumn("_end", F.explode(F.array("_lo", "_hi")))
-        first = top_per_key(ends, "_end", [F.col("_score").desc(), F.col("_tie"), F.col("_lo"), F.col("_hi")])
-        mutual = first.groupBy("_lo", "_hi").agg(
-            F.count("*").alias("_n"), F.first("_score").alias("_score"), F.first("_a").alias("_a"), F.first("_b").alias("_b")
-        )
-        chosen = materialize(mutual.where(F.col("_n") == 2).drop("_n"))
-        taken = chosen if taken is None else taken.unionByName(chosen)
+        settled = _settled(_waits(edges))
+        chosen = materialize(settled.where(F.col("_odd") == 0).select("_lo", "_hi", "_score", "_a", "_b"))
+        discard(settled)
+        taken.append(chosen)
+        if len(taken) == 8:  # few tables, however many rounds
+            taken, old = [materialize(_union(taken))], taken
+            discard(*old)
         used = chosen.select(F.explode(F.array("_lo", "_hi")).alias("_used"))
-        edges = materialize(
-            edges.join(used, edges["_lo"] == used["_used"], "left_anti").join(used, edges["_hi"] == used["_used"], "left_anti")
-        )
-    if taken is None:
-        taken = edges.select("_lo", "_hi", "_score", "_a", "_b")
-    return taken.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("_score").alias(score))
+        left = edges.join(used, edges["_lo"] == used["_used"], "left_anti").join(used, edges["_hi"] == used["_used"], "left_anti")
+        edges, old = materialize(left), edges
+        discard(old)
+    found = _union(taken) if taken else edges.select("_lo", "_hi", "_score", "_a", "_b")
+    return found.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("_score").alias(score))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _waits(edges: DataFrame) -> DataFrame:
+    """Edges with no better neighbour (``_up`` null) or with one (``_up``); Spark keeps two rows a node before the shuffle."""
+    ends = edges.withColumn("_end", F.explode(F.array("_lo", "_hi")))
+    best = top_per_key(ends, "_end", [F.col("_score").desc(), F.col("_tie"), F.col("_lo"), F.col("_hi")], k=2)
+    order = Window.partitionBy("_end").orderBy(F.col("_score").desc(), "_tie", "_lo", "_hi")
+    best = best.withColumn("_better", F.lag(F.struct("_lo", "_hi")).over(order))
+    per_edge = best.groupBy("_lo", "_hi").agg(
+        F.count("*").alias("_ends"),
+        F.count("_better").alias("_waits"),
+        F.max("_better").alias("_up"),
+        *[F.first(c).alias(c) for c in ("_score", "_a", "_b")],
+    )
+    few = per_edge.where((F.col("_ends") == 2) & (F.col("_waits") <= 1))
+    return materialize(few.withColumn("_odd", F.col("_waits").cast("int")).drop("_ends", "_waits"))
+
+
+def _settled(state: DataFrame) -> DataFrame:
+    """Edges whose waits end at one without a better neighbour; ``_odd`` is 0 for those that are taken."""
+    while not state.where(F.col("_up").isNotNull()).isEmpty():
+        ahead = state.select(F.struct("_lo", "_hi").alias("_up"), F.col("_up").alias("_next"), F.col("_odd").alias("_more"))
+        waiting = state.where(F.col("_up").isNotNull()).join(ahead, "_up")  # one behind an open edge falls out here
+        waiting = waiting.withColumns({"_up": F.col("_next"), "_odd": (F.col("_odd") + F.col("_more")) % 2}).drop("_next", "_more")
+        state, old = materialize(state.where(F.col("_up").isNull()).unionByName(waiting)), state
+        discard(old)
+    return state

@@ -107,6 +107,10 @@ def unmask(library: DataFrame, chunks: DataFrame, size: int = CHUNK_SIZE, name:
     return library.join(fresh, name, "left").withColumn("residues", F.coalesce("_fresh", "residues")).drop("_fresh")
 
 
+def _end(span: Column) -> Column:
+    return span["at"] + span["n"] - 1
+
+
 def mask_intervals(chunks: DataFrame, intervals: DataFrame, size: int = CHUNK_SIZE, letter: str = "N") -> DataFrame:
     """Overwrite intervals with ``letter``, in cores and pads.
 
@@ -131,10 +135,15 @@ def mask_intervals(chunks: DataFrame, intervals: DataFrame, size: int = CHUNK_SI
     )
     per_chunk = clipped.groupBy("seq_id", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_spans"))
 
-    def overwrite(text: Column, span: Column) -> Column:
-        return F.overlay(text, F.repeat(F.lit(letter), span["n"]), span["at"], span["n"])
+    def piece(span: Column, i: Column) -> Column:
+        """What stands between this span and the one before it, and the span's letters."""
+        before = F.when(i == 0, F.lit(0)).otherwise(_end(F.get("_spans", i - 1)))
+        kept = F.substring(F.col("residues"), before + 1, span["at"] - before - 1)
+        return F.concat(kept, F.repeat(F.lit(letter), span["n"]))
 
-    masked = F.when(F.col("_spans").isNull(), F.col("residues")).otherwise(F.aggregate("_spans", F.col("residues"), overwrite))
+    rest = F.substring(F.col("residues"), _end(F.get("_spans", F.size("_spans") - 1)) + 1, F.length("residues"))
+    pieces = F.concat(F.array_join(F.transform("_spans", piece), ""), rest)
+    masked = F.when(F.col("_spans").isNull(), F.col("residues")).otherwise(pieces)
     return chunks.join(per_chunk, ["seq_id", "chunk_no"], "left").withColumn("residues", masked).drop("_spans")
 
 

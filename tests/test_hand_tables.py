@@ -190,3 +190,25 @@ def test_repeat_pairs_refuse_short_pads(spark):
     with pytest.raises(ValueError, match="pads"):
         repeat_pairs(sq.windows(t, 50, 10), k=20)
     assert repeat_pairs(sq.windows(t, 50, 20), k=20, min_dist=8, max_dist=8, min_length=20).count() == 1
+
+
+def test_greedy_pairs_on_a_long_chain(spark, monkeypatch):
+    """Ten thousand falling scores: every second edge, in few rounds."""
+    written = []
+    keep = h.materialize
+    monkeypatch.setattr(h, "materialize", lambda t: written.append(1) or keep(t))
+    n = 10_000
+    chain = spark.range(n).selectExpr("format_string('n%06d', id) AS query", "format_string('n%06d', id + 1) AS subject", f"double({n} - id) AS bits")
+    got = {(r["query"], r["subject"]) for r in h.greedy_pairs(chain).collect()}
+    assert got == {(f"n{i:06d}", f"n{i + 1:06d}") for i in range(0, n, 2)}
+    assert len(written) <= 20
+
+
+def test_masking_with_very_many_spans(spark):
+    text = "ACGT" * 500
+    spans = [("s", i, i) for i in range(3, 2000, 3)]
+    chunks = sq.windows(table(spark, [("s", text)], "seq_id string, residues string"), 300, 20)
+    got = sq.mask_intervals(chunks, table(spark, spans, "seq_id string, start bigint, end bigint"), 300)
+    want = "".join("N" if (i + 1) % 3 == 0 and i + 1 < 2000 else c for i, c in enumerate(text))
+    for r in got.collect():
+        assert r["residues"] == want[r["core_start"] - r["left_pad"] - 1 : r["core_end"] + r["right_pad"]]
