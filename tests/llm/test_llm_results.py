@@ -143,7 +143,7 @@ def test_spelling_probabilities_sum_to_one():
         model.sweep(n, step)
     for context in (b"  t", b"the", b"zzz", b"  a"):
         all_bytes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
-        assert model.of(all_bytes).sum() == pytest.approx(1.0)
+        assert model.of(all_bytes, *model.find(all_bytes)).sum() == pytest.approx(1.0)
 
 
 def test_document_restaurant_against_a_loop():
@@ -168,6 +168,11 @@ def test_seating_follows_the_chinese_restaurant():
     n, seeds = 50, np.arange(4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     got = lm.seat(np.full(4000, n), np.full(4000, 2.0), 0.0, seeds, 1).mean()
     assert got == pytest.approx(1 + sum(2.0 / (k + 2.0) for k in range(1, n)), rel=0.03)
+    n, a = 3000, 200.0  # more tables than exact jumps
+    got = lm.seat(np.full(2000, n), np.full(2000, a), 0.0, seeds[:2000], 2)
+    chances = np.array([a / (k + a) for k in range(1, n)])
+    assert got.mean() == pytest.approx(1 + chances.sum(), rel=0.01)
+    assert got.std() == pytest.approx(np.sqrt((chances * (1 - chances)).sum()), rel=0.1)
 
 
 def test_language_id_on_held_out_rows(spark, docs):
