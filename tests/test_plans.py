@@ -48,3 +48,30 @@ def test_no_python_rows_and_no_cross_joins(spark, name):
 
     text = plan(entry.queries()[name](spark, SF))
     assert "Python" not in text and "Cartesian" not in text
+
+
+@pytest.mark.parametrize(
+    ("name", "key"),
+    [
+        ("S4", lambda r: (-r["bits"], r["query"], r["subject"], r["s_start"], r["s_end"])),
+        ("T1", lambda r: (r["seq_id"], r["start"], -r["end"])),
+        ("T2", lambda r: (r["subject"], r["s_start"], r["s_end"], -r["bits"], r["query"])),
+    ],
+)
+def test_order_holds_across_written_files(spark, tmp_path, name, key):
+    """Rows of the part files, one file after another, never fall back."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    hits = h.normalize_hits(v.hits(spark, SF))
+    spans = v.intervals(spark, SF).select("seq_id", "start", "end", "id")
+    made = {"S4": lambda: h.order_hits(hits), "T1": lambda: iv.coordinate_sort(spans), "T2": lambda: h.order_hits(hits, "position")}[name]()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made.write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted(glob.glob(f"{tmp_path}/out/part-*"))
+    rows = [key(r) for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 1 and rows == sorted(rows)
