@@ -220,18 +220,19 @@ def _(spark, sf):
 @query(
     "C6_annotate_nonltr",
     ["doc_path", "sequences"],
-    f""", {TAXONOMY_SQL}, marked AS (SELECT *, max(CASE WHEN state = 0 THEN position END) OVER (PARTITION BY seq_id ORDER BY position
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM doc_path),
+    f""", {TAXONOMY_SQL}, both_paths AS (SELECT *, CASE WHEN position % 2 = 0 THEN '+' ELSE '-' END AS strand FROM doc_path),
+    marked AS (SELECT *, max(CASE WHEN state = 0 THEN position END) OVER (PARTITION BY seq_id, strand ORDER BY position
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM both_paths),
     nz AS (SELECT * FROM marked WHERE state <> 0 AND block IS NOT NULL),
-    chain(seq_id, block, first, p, s, k) AS (
-      SELECT seq_id, block, max(position), max(position), arg_max(state, position), 1 FROM nz GROUP BY seq_id, block
+    chain(seq_id, strand, block, first, p, s, k) AS (
+      SELECT seq_id, strand, block, max(position), max(position), arg_max(state, position), 1 FROM nz GROUP BY seq_id, strand, block
       UNION ALL
-      SELECT c.seq_id, c.block, c.first, max(n.position), c.s - 1, c.k + 1 FROM chain c JOIN nz n
-        ON n.seq_id = c.seq_id AND n.block = c.block AND n.state = c.s - 1 AND n.position < c.p GROUP BY c.seq_id, c.block, c.first, c.s, c.k),
-    ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, block ORDER BY k DESC) AS rn FROM chain) WHERE rn = 1 AND (k = 1 OR k = 3)),
-    paths AS (SELECT seq_id, block AS s, first AS e, CASE WHEN ends.s <= 3 THEN 'Jockey' ELSE 'CRE' END AS clade FROM ends),
+      SELECT c.seq_id, c.strand, c.block, c.first, max(n.position), c.s - 1, c.k + 1 FROM chain c JOIN nz n
+        ON n.seq_id = c.seq_id AND n.strand = c.strand AND n.block = c.block AND n.state = c.s - 1 AND n.position < c.p GROUP BY c.seq_id, c.strand, c.block, c.first, c.s, c.k),
+    ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, strand, block ORDER BY k DESC) AS rn FROM chain) WHERE rn = 1 AND (k = 1 OR k = 3)),
+    paths AS (SELECT seq_id, strand, block AS s, first AS e, CASE WHEN ends.s <= 3 THEN 'Jockey' ELSE 'CRE' END AS clade FROM ends),
     lens AS (SELECT seq_id, length(residues) AS len FROM sequences WHERE length(residues) > 0),
-    placed AS (SELECT seq_id, s, e, clade, '+' AS strand FROM paths UNION ALL SELECT seq_id, len - e, len - s, clade, '-' FROM paths JOIN lens USING (seq_id)),
+    placed AS (SELECT seq_id, s, e, clade, strand FROM paths WHERE strand = '+' UNION ALL SELECT seq_id, len - e, len - s, clade, strand FROM paths JOIN lens USING (seq_id) WHERE strand = '-'),
     clamped AS (SELECT seq_id, strand, clade, greatest(s - 5, 1) AS s, least(e + 5, len) AS e, seq_id || '_' || s || '_' || e || '_' || strand AS element_id FROM placed JOIN lens USING (seq_id)),
     cut AS (SELECT *, substring(residues, s, e - s + 1) AS r FROM clamped JOIN sequences USING (seq_id) WHERE e >= s AND s <= length(residues)),
     trim AS (SELECT *, length(regexp_extract(r, '(?i)^N+[ATCG]{{0,10}}?N+?')) AS h, length(regexp_extract(r, '(?i)N+?[ATCG]{{0,10}}?N+$')) AS t FROM cut),
@@ -245,7 +246,8 @@ def _(spark, sf):
     cut = chunks(spark, sf)
     from loci.operators.sequences import sequence_lengths
 
-    out = plans.annotate_nonltr(path, path, sequence_lengths(cut), cut, flank=5, min_length=100, size=SIZE)
+    even = F.col("position") % 2 == 0
+    out = plans.annotate_nonltr(path.where(even), path.where(~even), sequence_lengths(cut), cut, flank=5, min_length=100, size=SIZE)
     return out.select("element_id", "seq_id", "start", "end", "strand", "clade", "code", F.md5("residues").alias("digest"))
 
 
