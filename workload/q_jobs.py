@@ -29,24 +29,29 @@ def runs(spark, sf):
     return (strict, p), (e, p)
 
 
-LEFT_OUT = "(SELECT id FROM tested WHERE floor((length(r) - length(translate(r, 'Nn', '')))::DOUBLE / length(r) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE >= 0.12)"
+def refined_sql(longest: int, share: str, elements: str = "doc_elements") -> str:
+    """Elements left by the rules, the choice between the runs and the share of ambiguous letters."""
+    left_out = f"(SELECT id FROM tested WHERE floor((length(r) - length(translate(r, 'Nn', '')))::DOUBLE / length(r) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE >= {share})"
 
-REFINED_SQL = (
-    RULES_SQL.replace(" WHEN g IS NULL THEN 'coding_domain_filtered'", "").replace("FROM parts", "FROM doc_features").replace("FROM elements e", "FROM doc_elements e").replace("25000", "300")
-    + SCORE_SQL.replace("FROM parts", "FROM doc_features")
-    + """, all_scored AS (SELECT r.*, coalesce(score, 0) AS score FROM ruled r LEFT JOIN scored USING (element_id) WHERE rule IS NULL),
+    return (
+        RULES_SQL.replace(" WHEN g IS NULL THEN 'coding_domain_filtered'", "").replace("FROM parts", "FROM doc_features").replace("FROM elements e", f"FROM {elements} e").replace("25000", str(longest))
+        + SCORE_SQL.replace("FROM parts", "FROM doc_features")
+        + """, all_scored AS (SELECT r.*, coalesce(score, 0) AS score FROM ruled r LEFT JOIN scored USING (element_id) WHERE rule IS NULL),
     intervals AS (SELECT element_id || '_relaxed' AS id, seq_id, "start", "end", score, similarity FROM all_scored),
     strict_intervals AS (SELECT element_id || '_strict' AS id, seq_id, "start", "end", score, similarity FROM all_scored WHERE status = 'F')
 """
-    + BEST_SQL
-    + f""", used AS (SELECT DISTINCT sid FROM assigned),
+        + BEST_SQL
+        + f""", used AS (SELECT DISTINCT sid FROM assigned),
     combined AS (SELECT seq_id, "start", "end", id, 'best' AS origin FROM best WHERE anchor IN (SELECT sid FROM used)
       UNION ALL SELECT seq_id, "start", "end", id, 'relaxed' FROM intervals WHERE id NOT IN (SELECT rid FROM assigned)
       UNION ALL SELECT seq_id, "start", "end", id, 'strict' FROM strict_intervals WHERE id NOT IN (SELECT sid FROM used)),
     tested AS (SELECT id, substring(residues, "start", "end" - "start" + 1) AS r FROM combined c JOIN sequences s ON c.seq_id = s.seq_id WHERE "start" <= length(residues)),
-    kept AS (SELECT * FROM combined WHERE id NOT IN {LEFT_OUT})
+    kept AS (SELECT * FROM combined WHERE id NOT IN {left_out})
 """
-)
+    )
+
+
+REFINED_SQL = refined_sql(300, "0.12")
 
 
 @query(
@@ -417,11 +422,10 @@ def _(spark, sf):
     return plans.global_summary(pair_hits(spark, sf), m, ages)["similarity"]
 
 
-@query("C14_annotate_genome")
-def _(spark, sf):
+def whole_flow(spark, sf):
     strict, relaxed = runs(spark, sf)
     ltr = F.col("type") == "LTR_retrotransposon"
-    out = plans.annotate_genome(
+    return plans.annotate_genome(
         chunks(spark, sf),
         (strict[0].where(ltr), strict[1]),
         (relaxed[0].where(ltr), relaxed[1]),
@@ -432,5 +436,21 @@ def _(spark, sf):
         k=K,
         min_share=SHARE,
     )
-    return out["family_counts"]
+
+
+@query("C14_annotate_genome")
+def _(spark, sf):
+    return whole_flow(spark, sf)["family_counts"]
+
+
+@query(
+    "C14_ltr_elements",
+    ["doc_elements", "doc_features", "sequences"],
+    natural(
+        refined_sql(25000, "0.3", "(SELECT * FROM doc_elements WHERE type = 'LTR_retrotransposon')")
+        + """SELECT id AS element_id, seq_id, "start", "end" FROM kept"""
+    ),
+)
+def _(spark, sf):
+    return whole_flow(spark, sf)["ltr_elements"].select("element_id", "seq_id", "start", "end")
 
