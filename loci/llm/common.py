@@ -55,3 +55,9 @@ def packed(df: DataFrame, outputs: list[str], **more: Column) -> DataFrame:
     kept = without(df, outputs)
     own = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row")
     return kept.select(own, *[c.alias(n) for n, c in more.items()])
+
+
+def id_key(doc_id: Column | str) -> dict[str, Column]:
+    """An id as two columns that are never null: a join on them and a window by them share one shuffle."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return {"_id": F.coalesce(doc_id.cast("string"), F.lit("")), "_no_id": doc_id.isNull()}

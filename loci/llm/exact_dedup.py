@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialize
 from . import fuse
-from .common import SPACES, packed, text_or_empty
+from .common import SPACES, id_key, packed, text_or_empty
 
 KEYS_PER_FILTER = 1 << 15  # bounds what one task holds: keys of one shard
 FEWEST_SHARDS = 8
@@ -126,13 +126,14 @@ def exact_dedup(docs: DataFrame, generations: int = 2, id_col: str = "doc_id", t
     """
     slim = class_of_rows(docs.select(id_col, text_col), generations, id_col, text_col)
     # one row per id and digest: joined on both, so that no key is hotter than its id
-    per_key = slim.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(
+    key = ["_id", "_no_id", "text_sha256"]
+    per_key = slim.withColumns({**id_key("id"), "text_sha256": F.col("digest")}).groupBy(*key).agg(
         F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")
     )
-    rows = packed(docs, OUTPUTS, id=F.col(id_col), text_sha256=F.sha2(normalised(text_col), 256))
-    joined = rows.join(per_key, rows["id"].eqNullSafe(per_key["_id"]) & (rows["text_sha256"] == per_key["_digest"]))
-    first = F.row_number().over(Window.partitionBy("id", "text_sha256").orderBy(F.lit(1))) == 1
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & first
+    rows = packed(docs, OUTPUTS, **id_key(id_col), text_sha256=F.sha2(normalised(text_col), 256))
+    joined = rows.join(per_key, key)
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))) == 1
+    kept = F.col("_row").getField(id_col).eqNullSafe(F.col("keep_id")) & first
     return joined.select("_row", "keep_id", "group_size", kept.alias("kept"), "text_sha256").select("_row.*", *OUTPUTS)
 
 

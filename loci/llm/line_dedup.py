@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import packed, text_or_empty
+from .common import id_key, packed, text_or_empty
 
 MIN_WORDS = 10
 OUTPUTS = ["n_lines", "n_removed", "n_runs"]
@@ -30,10 +30,6 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _known(doc_id: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-
-
 def ranked(keys: DataFrame, *order: str) -> DataFrame:
     """Distinct ``keys`` with a number that rises in their order.
 
@@ -134,6 +130,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     found = materialize(found.select("doc", "start", "end", "length", "a", "b"))
     place = F.struct("doc", "start")
     first = found.groupBy("length", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    first = materialize(first)  # a stage of its own: the join can then split a run that very many documents share
     return found.join(first, ["length", "a", "b"]).where(place > F.col("first")).select("doc", "start", "end")
 
 
@@ -149,11 +146,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     """
     spans = later_copies(docs, min_words, id_col, text_col)
     gone = spans.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("end") - 1)))).alias("_gone"))
-    # plain columns that are never null: the join and the window below then share one shuffle of the texts
     key = ["_id", "_no_id", "_mark"]
-    gone = gone.select(_known("doc.id").alias("_id"), F.isnull("doc.id").alias("_no_id"), F.col("doc.mark").alias("_mark"), "_gone")
-    own = {"_id": _known(id_col), "_no_id": F.isnull(id_col), "_mark": F.xxhash64(text_or_empty(text_col))}
-    joined = packed(docs, OUTPUTS, **own).join(gone, key, "left")
+    gone = gone.withColumns({**id_key("doc.id"), "_mark": F.col("doc.mark")}).select(*key, "_gone")
+    joined = packed(docs, OUTPUTS, **id_key(id_col), _mark=F.xxhash64(text_or_empty(text_col))).join(gone, key, "left")
     text = F.col("_row").getField(text_col).cast("string")
     copy = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))) > 1
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))

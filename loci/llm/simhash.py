@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import packed, text_or_empty
+from .common import id_key, packed, text_or_empty
 from .components import components
 
 WORDS = 4
@@ -237,9 +237,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Other columns go through; columns named like the outputs are replaced.
     """
     near = near_dedup(docs.select(id_col, text_col), id_col, text_col)
+    key = ["_id", "_no_id"]
     stays = F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_stays")
-    kept = near.groupBy(F.col(id_col).alias("_id")).agg(stays, *[F.min(c).alias(c) for c in OUTPUTS]).where("_stays")
-    rows = packed(docs, OUTPUTS, id=F.col(id_col), at=F.xxhash64(text_col))
-    joined = rows.join(kept, rows["id"].eqNullSafe(kept["_id"]))
-    first = F.row_number().over(Window.partitionBy("id").orderBy("at"))
+    kept = near.withColumns(id_key(id_col)).groupBy(*key).agg(stays, *[F.min(c).alias(c) for c in OUTPUTS]).where("_stays")
+    joined = packed(docs, OUTPUTS, **id_key(id_col), _at=F.xxhash64(text_col)).join(kept, key)
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("_at"))
     return joined.withColumn("_n", first).where("_n = 1").select("_row.*", *OUTPUTS)

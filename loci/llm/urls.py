@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import UPPER, packed
 
 #: (verdict, host, path); a rule fits its host and all subdomains where the path starts alike.
@@ -27,6 +28,8 @@ RULES: list[Rule] = [
 
 #: Labelled URLs that the trees are fitted on, at most.
 MOST_LABELLED = 20_000
+#: Suffixes (some 50 bytes each) that are broadcast at most.
+MOST_BROADCAST = 100_000
 TREES, DEPTH, SEED = 20, 3, 7
 
 OUTPUTS = ["host", "path", "rule", "verdict", "p_block"]
@@ -90,6 +93,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str =
     labelled = lexical(labelled).withColumn("label", (F.col("by_rule") == "block").cast("double"))
     # counts of a suffix are summed before they are shuffled
     suffixes = labelled.groupBy("suffix").agg(F.sum("label").alias("_blocked"), F.count("*").alias("_seen"))
+    suffixes = materialize(suffixes)
+    if suffixes.count() <= MOST_BROADCAST:  # else a shuffle, whose large suffixes Spark splits
+        suffixes = F.broadcast(suffixes)
     seen, blocked = F.coalesce("_seen", F.lit(0)), F.coalesce("_blocked", F.lit(0.0))
 
     sample = labelled.orderBy(F.xxhash64("_url")).limit(MOST_LABELLED).join(suffixes, "suffix")
