@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -72,17 +72,20 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return bits.reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """Rows (id, fp); fp is the fingerprint as a signed 64-bit number."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, **more: Column
+) -> DataFrame:
+    """Rows (id, fp) and ``more`` columns of ``docs``; fp is the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["id", "fp", *names])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    names = list(more)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), *[c.alias(n) for n, c in more.items()])
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in ["id", *names]]
+    return rows.mapInArrow(run, ", ".join([kinds[0], "fp long", *kinds[1:]]))
 
 
 def _block_bounds() -> list[tuple[int, int]]:
@@ -207,9 +210,9 @@ def _forest(at: np.ndarray, fp: np.ndarray, table: np.ndarray) -> list[tuple[np.
     return found
 
 
-def near_classes(rows: DataFrame) -> DataFrame:
-    """(id, fp) with component_id, the smallest id that a row's fingerprint reaches."""
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
+def near_classes(rows: DataFrame, low: Column | str = "id") -> DataFrame:
+    """Rows (id, fp, ...) with component_id, the smallest ``low`` (an id) that a row's fingerprint reaches."""
+    nodes = rows.groupBy("fp").agg(F.min(low).alias("low"))
     roots = components(linked(nodes.select("fp")))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -232,14 +235,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of every component: the one with the smallest id (one of them, where ids repeat).
+    """``docs`` with one row of every component: the one with the smallest id.
 
+    Ids may repeat or be null: a row is told by its id and its text, of rows
+    that share an id the one with the smallest digest of its text stays, and of
+    rows that share both any one. A null id counts as larger than any other.
     Other columns go through; columns named like the outputs are replaced.
     """
-    near = near_dedup(docs.select(id_col, text_col), id_col, text_col)
-    key = ["_id", "_no_id"]
-    stays = F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_stays")
-    kept = near.withColumns(id_key(id_col)).groupBy(*key).agg(stays, *[F.min(c).alias(c) for c in OUTPUTS]).where("_stays")
-    joined = packed(docs, OUTPUTS, **id_key(id_col), _at=F.xxhash64(text_col)).join(kept, key)
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("_at"))
+    mark = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
+    rows = materialize(fingerprints(docs, id_col, text_col, mark=mark))
+    # components are told apart by their first row: several may have the same smallest id
+    low = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    near = near_classes(rows, low).withColumnRenamed("component_id", "first")
+    chosen = near.where(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))
+    key = ["_id", "_no_id", "_mark"]
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("id").alias("component_id")
+    kept = chosen.select(*[c.alias(n) for n, c in id_key("id").items()], F.col("mark").alias("_mark"), *shown).dropDuplicates(key)
+    joined = packed(docs, OUTPUTS, **id_key(id_col), _mark=mark).join(kept, key)
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
     return joined.withColumn("_n", first).where("_n = 1").select("_row.*", *OUTPUTS)

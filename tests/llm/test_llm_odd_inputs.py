@@ -96,6 +96,18 @@ def test_near_groups(spark):
     assert simhash.keep_one(odd(spark)).where("doc_id = 1").count() == 1
 
 
+def test_near_groups_of_rows_that_share_an_id(spark):
+    """Null and repeated ids do not tell rows apart: each text that is no near copy stays, once."""
+    other = lambda n: " ".join(sha(f"{n} {i}")[:8] for i in range(40))
+    unlike = [(None, other(0)), (None, other(1)), (None, other(2)), (5, other(3)), (5, other(4)), (5, other(5))]
+    copies = [(None, other(3)), (7, other(4)), (None, other(6)), (2, other(6)), (None, other(0)), (5, other(5))]
+    got = simhash.keep_one(odd(spark, [*unlike, *copies])).collect()
+    want = [*unlike, (2, other(6))]
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, t) for i, t in want)
+    assert all(r.component_id == r.doc_id for r in got)
+    assert len(corpus_pipeline.drop_near_copies(spark, odd(spark, unlike), SF).collect()) == len(unlike)
+
+
 def test_line_copies_in_repeated_rows(spark):
     got = line_dedup.line_dedup(odd(spark)).where("doc_id <= 3").orderBy("doc_id", "n_removed").collect()
     assert [(r.doc_id, r.n_removed) for r in got] == [(1, 0), (1, 2), (2, 2), (3, 0)]
