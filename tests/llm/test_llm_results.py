@@ -146,6 +146,13 @@ def test_spelling_probabilities_sum_to_one():
         assert model.of(all_bytes, *model.find(all_bytes)).sum() == pytest.approx(1.0)
 
 
+def test_spelling_contexts_are_as_long_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MOST_CODES", 10, raising=False)  # a limit there was, far above the given tables
+    words = spark.createDataFrame([(f"word{i}".encode(), 1 + i % 3, 1) for i in range(50)], "word binary, c long, t long")
+    model = lm.fit(words, 2, 1)
+    assert [s[0]["order"] for s in model.samples] == [lm.ORDER]
+
+
 def test_document_restaurant_against_a_loop():
     rng = np.random.default_rng(2)
     lengths = np.array([1, 7, 40])
