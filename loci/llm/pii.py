@@ -127,7 +127,7 @@ NAMES = {**DIGITS, "plus": "+", "dot": ".", "point": ".", "dash": "-"}
 
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 BRACKETED = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_OPEN}(at|dot){_CLOSE}(?=[A-Za-z0-9])")
-# "at" between words counts only where "dot" follows in the host
+# "at" between words counts where a dot, spelled or plain, follows in the host
 WORDED = re.compile(r"(?i)(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-])")
 WORDED_DOT = re.compile(r"(?i)(@[A-Za-z0-9.-]{1,253}?)\s{1,3}dot\s{1,3}(?=[A-Za-z0-9-])")
 
@@ -151,13 +151,13 @@ def deobfuscate(text: str) -> Tape | None:
         tape = tape.rewrite(SPELLED, _spelled)
     if b"at" in known or b"dot" in known:
         tape = tape.rewrite(BRACKETED, lambda m: "@" if m[1].lower() == "at" else ".")
-    if b"dot" in known:
+    if b"at" in known:
         tape = tape.rewrite(WORDED, lambda m: "@")
-        for _ in range(8):  # one further dot of each host a time
-            longer = tape.rewrite(WORDED_DOT, lambda m: m[1] + ".")
-            if longer is tape:
-                break
-            tape = longer
+    while b"dot" in known:  # one further dot of each host a time
+        longer = tape.rewrite(WORDED_DOT, lambda m: m[1] + ".")
+        if longer is tape:
+            break
+        tape = longer
     return None if tape is first else tape
 
 

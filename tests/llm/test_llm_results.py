@@ -105,6 +105,12 @@ def test_pii_disguises_map_back_to_the_source(text, kind, part):
     assert part not in pii.masked(text)
 
 
+@pytest.mark.parametrize("part", ["john at example.com", "john at example.co dot uk", "john at " + " dot ".join("abcdefghijklmn")])
+def test_pii_disguises_do_not_depend_on_the_rest_of_the_text(part):
+    for text in (f"write to: {part}!", f"write to: {part}! a dot far away"):
+        assert pii.inspect(text)[5] == f"email:10:{10 + len(part)}"
+
+
 def test_pii_leaves_plain_prose_alone():
     for text in ("one two buckle my shoe", "he was at home dot", "look at it. dot your letters", "été à l'heure dite"):
         assert pii.inspect(text)[5] == ""
