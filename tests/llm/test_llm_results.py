@@ -159,6 +159,11 @@ def test_spelling_contexts_are_as_long_at_every_size(spark, monkeypatch):
     assert [s[0]["order"] for s in model.samples] == [lm.ORDER]
 
 
+def test_two_sweeps_are_averaged_after_two_of_burn_in(spark):
+    words = spark.createDataFrame([(f"word{i}".encode(), 1 + i % 3, 1) for i in range(50)], "word binary, c long, t long")
+    assert [step for *_, step in lm.fit(words).samples] == [2, 3]
+
+
 def test_document_restaurant_against_a_loop():
     rng = np.random.default_rng(2)
     lengths = np.array([1, 7, 40])
