@@ -56,7 +56,8 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "d
         F.array().cast(keyed.schema["items"].dataType).alias("items"),
     )
     keyed = keyed.unionByName(start)
-    if sum(r["n"] for r in counted) <= MOST_BROADCAST:
+    few = sum(r["n"] for r in counted) <= MOST_BROADCAST
+    if few:
         keyed = F.broadcast(keyed)
 
     text = text_or_empty(text_col)
@@ -71,9 +72,13 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "d
         rows = rows.withColumn("own_key", F.coalesce(own[0][1], own[1][1]))
     else:
         rows = rows.withColumn("own_key", F.explode(F.array(*[k for _, k in own])))
-    met = rows.where(F.col("own_key").isNotNull()).join(keyed, F.col("own_key") == F.col("key"))
+    rows, first = rows.where(F.col("own_key").isNotNull()), F.greatest("at", F.lit(0)) + 1
+    if not few:  # every position is shuffled: with the words of its window, not all of its text
+        own = F.slice("w", first, max(lengths)).alias("own")
+        rows, first = rows.select("id", "mark", own, "n_words", "at", "own_key").withColumnRenamed("own", "w"), F.lit(1)
+    met = rows.join(keyed, F.col("own_key") == F.col("key"))
     # two comparisons keep this a check after the hash lookup instead of a second key made for every row
-    mine, theirs = F.concat_ws(" ", F.slice("w", F.greatest("at", F.lit(0)) + 1, F.col("length"))), F.concat_ws(" ", "words")
+    mine, theirs = F.concat_ws(" ", F.slice("w", first, F.col("length"))), F.concat_ws(" ", "words")
     met = met.where((mine <= theirs) & (mine >= theirs))
     span = F.when(F.col("length") > 0, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("length")).alias("end")))
     return (

@@ -123,6 +123,27 @@ def test_contaminated_words(spark):
     assert len(none) == len(TEXTS) and not any(r.contaminated for r in none)
 
 
+@pytest.mark.parametrize("few_lengths", [True, False])
+def test_shuffled_windows_give_the_same_and_carry_no_texts(spark, monkeypatch, few_lengths):
+    bench = items(spark, ((1, "one line of ten words stands here for all to see"),)) if few_lengths else items(spark)
+    as_rows = lambda df: sorted(map(str, df.collect()))
+    run = lambda: (as_rows(decontaminate.contamination(odd(spark), bench)), as_rows(decontaminate.decontaminate(odd(spark), bench, "spans")))
+    want = run()
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert run() == want
+        node = decontaminate.hits(odd(spark), bench)._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "Join":
+            node = node.children().apply(0)
+        left = node.children().apply(0)
+        while left.nodeName() != "Project":
+            left = left.children().apply(0)
+        assert "slice(" in left.simpleString(1000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_spans_are_cut_out(spark):
     got = decontaminate.decontaminate(odd(spark), items(spark), remove="spans")
     assert {r.text for r in got.where("doc_id = 8").collect()} == {"under the "}
