@@ -85,7 +85,7 @@ def annotate_genome(
     bin: int = 4096,
     **clustering,
 ) -> dict[str, DataFrame]:
-    """The whole flow over given predictions and hits (C14).
+    """The flow over given predictions and hits (C14), without the steps that README lists under "Not built".
 
     Refine and classify LTR elements, mask them, filter and classify inverted-
     repeat elements on what is left, pair the elements of other kinds, mask the
