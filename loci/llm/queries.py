@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, licenses, line_dedup, lm, pii, simhash, urls
+from . import bpe, decontaminate, exact_dedup, langid, licenses, line_dedup, lm, packing, periodic, pii, simhash, urls, whitening
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), items)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return whitening.by_component(whitening.whiten(vectors))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir).select("doc_id", "text"), with_ids=False)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looped = periodic.with_loops(documents(spark, sf_dir).select("doc_id", "text"))
+    return periodic.digests(periodic.periodic_runs(looped))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -70,6 +84,9 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_bpe,
         op10_decontaminate,
+        op11_whitening,
+        op12_packing,
+        op13_periodic_runs,
     )
 }
 
