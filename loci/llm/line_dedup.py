@@ -78,12 +78,13 @@ def windows(active: DataFrame, min_words: int) -> DataFrame:
     own = F.struct("at", "before", F.lit(False).alias("past"))
     ends = active.select("doc", "run", F.explode(F.when(F.col("last"), F.array(own, tail)).otherwise(F.array(own))).alias("e"))
     ends = ends.select("doc", "run", "e.*")
-    order = Window.partitionBy("doc", "run").orderBy("before")
+    # both read from one side on, so that a frame only grows and a long text takes linear time
+    stretch, frame = Window.partitionBy("doc", "run"), (Window.unboundedPreceding, -min_words)
     ends = ends.select(
         "doc",
         "at",
-        F.when(~F.col("past"), F.min("at").over(order.rangeBetween(min_words, Window.unboundedFollowing))).alias("to"),
-        F.max("at").over(order.rangeBetween(Window.unboundedPreceding, -min_words)).alias("since"),
+        F.when(~F.col("past"), F.min("at").over(stretch.orderBy(F.desc("before")).rangeBetween(*frame))).alias("to"),
+        F.max("at").over(stretch.orderBy("before").rangeBetween(*frame)).alias("since"),
     )
     onward = F.struct(F.col("at").alias("start"), F.col("to").alias("end"))
     back = F.struct(F.col("since").alias("start"), F.col("at").alias("end"))
@@ -134,6 +135,16 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     return found.join(first, ["length", "a", "b"]).where(place > F.col("first")).select("doc", "start", "end")
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """(doc, start, end) of the unions of spans that overlap or touch: together no longer than their document."""
+    order = Window.partitionBy("doc").orderBy("start")
+    spans = spans.groupBy("doc", "start").agg(F.max("end").alias("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("_open", F.when(reach.isNull() | (F.col("start") > reach), F.col("start")))
+    opened = opened.withColumn("_open", F.max("_open").over(order))
+    return opened.groupBy("doc", F.col("_open").alias("start")).agg(F.max("end").alias("end"))
+
+
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated runs of lines, with n_lines, n_removed and n_runs (removed stretches).
 
@@ -144,8 +155,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     of fewer words stay wherever they are. Other columns go through; columns
     named like the outputs are replaced.
     """
-    spans = later_copies(docs, min_words, id_col, text_col)
-    gone = spans.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("end") - 1)))).alias("_gone"))
+    spans = merged(later_copies(docs, min_words, id_col, text_col))
+    gone = spans.groupBy("doc").agg(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1))).alias("_gone"))
     key = ["_id", "_no_id", "_mark"]
     gone = gone.withColumns({**id_key("doc.id"), "_mark": F.col("doc.mark")}).select(*key, "_gone")
     joined = packed(docs, OUTPUTS, **id_key(id_col), _mark=F.xxhash64(text_or_empty(text_col))).join(gone, key, "left")

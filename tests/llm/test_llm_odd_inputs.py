@@ -114,6 +114,15 @@ def test_line_copies_in_repeated_rows(spark):
     assert [r.text for r in got][1:] == ["", "", None]
 
 
+def test_line_copies_in_very_many_empty_lines(spark):
+    """Windows of empty lines share their ends; what they cover is written out once."""
+    n = 200_000
+    blank, line = "\n" * n, "one line of ten words stands here for all to see"
+    got = line_dedup.line_dedup(odd(spark, [(1, blank + line), (2, blank + line), (3, "\n" * 50_000 + line), (4, line + blank)])).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_lines, r.n_removed, r.n_runs) for r in got] == [(1, n + 1, 0, 0), (2, n + 1, n + 1, 1), (3, 50_001, 50_001, 1), (4, n + 1, 1, 1)]
+    assert [len(r.text) for r in got] == [n + len(line), 0, 0, n - 1]
+
+
 def test_contaminated_words(spark):
     got = {(r.doc_id, r.n_words): r for r in decontaminate.contamination(odd(spark), items(spark)).collect()}
     assert (got[2, 12].n_hit, got[2, 12].n_items) == (11, 1) and got[8, 4].n_hit == 2
