@@ -16,6 +16,7 @@ ids go on into the next block.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -54,6 +55,9 @@ TOGETHER = 1 << 20
 #: Numbers of sequences that one partition can give.
 NUMBERS = 1 << 40
 
+# Letters whose lower case and normal form concern one character alone, between marks that cannot start a contraction.
+PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-į]+)([!-/:-@\[-`{-~]*)")
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -67,9 +71,9 @@ class Words:
     """Ids of each word as packed 32-bit numbers, looked up in the tokenizer once.
 
     The tokenizer removes white space and looks at nothing across it, so a
-    text's ids are those of its words. New words of several texts go through it
-    in one call, kept apart by an added token, which is cut out before anything
-    else.
+    text's ids are those of its words. A word of plain Latin letters between
+    punctuation marks falls into these three parts, each of which goes to the
+    tokenizer's merges at once; all other new words go through all its steps.
     """
 
     def __init__(self, spec: str):
@@ -78,25 +82,36 @@ class Words:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = [t for t in json.loads(spec)["added_tokens"] if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
-        self.fence, self.fence_id = added[-1]["content"], added[-1]["id"]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
 
+    def _part(self, part: str) -> bytes:
+        ids = self.known.get(part)
+        if ids is None:
+            raw = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            ids = self.known[part] = np.array([t.id for t in self.model.tokenize(raw)], dtype="<u4").tobytes()
+        return ids
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        plain = [w for w in words if self.fence not in w]
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.fence.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.fence_id).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(some, ends, strict=True):
-                self.known[word] = raw[4 * start : 4 * end]
-                start = end + 1
+        """Remember ``words``; what was known before goes if there are too many."""
+        known = self.known
+        if len(known) + len(words) > REMEMBERED:
+            known.clear()
+        hard = []
         for word in words:
-            if self.fence in word:
-                self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            parts = PLAIN.fullmatch(word)
+            if parts is None or "<|" in word:
+                hard.append(word)
+                continue
+            lead, core, tail = parts.groups()
+            ids = self._part(core.lower())
+            if lead or tail:
+                ids = (self._part(lead) if lead else b"") + ids + (self._part(tail) if tail else b"")
+            known[word] = ids
+        for i in range(0, len(hard), 4096):
+            some = hard[i : i + 4096]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[word] = np.array(found.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end id behind them."""

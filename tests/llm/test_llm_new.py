@@ -340,3 +340,15 @@ def test_many_distinct_words_do_not_matter(monkeypatch):
     texts = [" ".join(f"w{i % (2 + n)}" for i in range(30)) for n in range(9)] + [" ".join(map(str, range(50)))]
     got = list(periodic.scan_texts(iter(texts), periodic.Words()))
     assert [r for r, _ in got] == [plain_runs(t.split()) for t in texts]
+
+
+def test_words_have_the_ids_of_the_whole_text(tokenizer, monkeypatch):
+    rng = random.Random(4)
+    letters = "abcXYZÀÉßöøįİıŉσΣς中é́ 　\x1c\x85 \n\t.,'’!?<|>-_0129²½ｆﬁ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["'s it's 'S It'S (that's) o'clock' ''ve", "<|endoftext|> a<|startoftext|>b <|endoftext|", "ÀÉ, (öø) İstanbul. straße! ﬁn _a_ a_b", "!!' 'll' \"Don't\" x²"]
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    words = packing.Words(open(packing.vocabulary_path(), encoding="utf-8").read())
+    for i in range(0, len(texts), 40):
+        for text, ids in zip(texts[i : i + 40], words.encode(texts[i : i + 40])):
+            assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
