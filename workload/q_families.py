@@ -78,10 +78,13 @@ def _(spark, sf):
     "P19_cap_families",
     ["members"],
     """SELECT element_id, family FROM members WHERE family IN (SELECT family FROM members GROUP BY family
-    HAVING count(*) <= 100 AND max(length) <= 12000)""",
+    HAVING count(*) <= (SELECT count(*) / count(DISTINCT family) FROM members) AND max(length) <= 15000)""",
 )
 def _(spark, sf):
-    return fam.cap_families(v.members(spark, sf), 100, 12_000).select("element_id", "family")
+    """Families of average size at most: the bound follows the table, so it parts the families at every scale."""
+    members = v.members(spark, sf)
+    mean = members.agg(F.count("*") / F.count_distinct("family")).scalar()
+    return fam.cap_families(members, mean, 15_000).select("element_id", "family")
 
 
 SIGNATURES_SQL = """, smallest AS (SELECT element_id, part, min(cluster_id) AS c FROM cluster_members GROUP BY ALL),

@@ -333,7 +333,7 @@ def tir_facts(spark, sf):
     )
     two = p.where((F.col("type") == "target_site_duplication") & (F.col("end") - F.col("start") + 1 == 2))
     ta = two.select("element_id", "start").join(on_doc, "element_id").select(
-        "element_id", F.substring(F.col("text"), (F.col("start") % 50 + 1).cast("int"), F.lit(2)).alias("residues")
+        "element_id", F.substring(F.col("text"), (F.col("start") % F.greatest(F.length("text"), F.lit(1)) + 1).cast("int"), F.lit(2)).alias("residues")
     )
     return hi.tir_evidence(e, p, ta, residues)
 
@@ -344,7 +344,7 @@ TIR_SQL = """, docs AS (SELECT doc_id, lower(text) AS text FROM documents),
     on_doc AS (SELECT element_id, text FROM placed JOIN docs USING (doc_id)),
     tsd AS (SELECT element_id, "start", "end" - "start" + 1 AS len FROM parts WHERE type = 'target_site_duplication'),
     lens AS (SELECT element_id, bool_or(len = 8) AS t8, bool_or(len BETWEEN 8 AND 11) AS t811 FROM tsd GROUP BY 1),
-    ta AS (SELECT element_id, bool_or(regexp_matches(substring(text, CAST("start" % 50 + 1 AS INTEGER), 2), '(?i)ta')) AS ta
+    ta AS (SELECT element_id, bool_or(regexp_matches(substring(text, CAST("start" % greatest(length(text), 1) + 1 AS INTEGER), 2), '(?i)ta')) AS ta
         FROM tsd JOIN on_doc USING (element_id) WHERE len = 2 GROUP BY 1),
     cact AS (SELECT element_id, regexp_matches(translate(text, 'eionur', 'cacact'), '(?i)^cact(?:a|g)?|cact(?:a|g)?$') AS c FROM on_doc),
     dom AS (SELECT element_id, count(*) AS domains FROM parts WHERE type = 'protein_match' GROUP BY 1),

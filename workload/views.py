@@ -215,14 +215,13 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Intervals of V1 laid on the documents (part key taken as document id, modulo their number)."""
-    # the document count is a property of the table, read as a scalar subquery
-    n = table(spark, sf, "documents").agg(F.count("*")).scalar()
-    start = _days("l_shipdate")
-    return table(spark, sf, "lineitem").select(
-        F.concat(F.lit("doc"), F.col("l_partkey") % n).alias("seq_id"),
+    """Intervals of line items laid on whole documents (part key taken as document id, modulo their number)."""
+    size = _big("l_quantity")
+    start = _spread(_days("l_shipdate") * 2689 + F.col("l_orderkey") * 40503, size)
+    return _on_documents(spark, sf, table(spark, sf, "lineitem"), "l_partkey").select(
+        "seq_id",
         start.alias("start"),
-        (start + _big("l_quantity") - 1).alias("end"),
+        (start + size - 1).alias("end"),
         F.concat_ws("_", F.lit("e"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _cents()).alias("id"),
     )
 
@@ -266,17 +265,35 @@ def aligned_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_count(spark: SparkSession, sf: str) -> Column:
+    """A property of the table, read as a scalar subquery."""
     return table(spark, sf, "documents").agg(F.count("*")).scalar()
 
 
+def document_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select(F.concat(F.lit("doc"), "doc_id").alias("seq_id"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("doc_length"))
+
+
+def _on_documents(spark: SparkSession, sf: str, t: DataFrame, key: str) -> DataFrame:
+    """Rows with the document that ``key`` falls on and its length."""
+    placed = t.withColumn("seq_id", F.concat(F.lit("doc"), F.col(key) % document_count(spark, sf)))
+    return placed.join(document_lengths(spark, sf), "seq_id")
+
+
+def _spread(number: Column, size: Column) -> Column:
+    """A start anywhere in the document that leaves room for ``size`` letters; 1 where there is none."""
+    return 1 + number % F.greatest(F.col("doc_length") - size + 1, F.lit(1))
+
+
 def doc_elements(spark: SparkSession, sf: str) -> DataFrame:
-    """V3 on the documents: one short element per order on a document."""
+    """V3 on the documents: one short element per order, anywhere on a document."""
     key = F.col("o_orderkey")
-    start = 1 + key % 300
-    return table(spark, sf, "orders").select(
-        F.concat(F.lit("doc"), key % document_count(spark, sf)).alias("seq_id"),
+    size = 20 + F.floor(F.col("o_totalprice") / 1500).cast("bigint")
+    start = _spread(key * 40503, size)
+    return _on_documents(spark, sf, table(spark, sf, "orders"), "o_orderkey").select(
+        "seq_id",
         start.alias("start"),
-        (start + 19 + F.floor(F.col("o_totalprice") / 1500).cast("bigint")).alias("end"),
+        (start + size - 1).alias("end"),
         F.when(key % 3 == 0, "+").when(key % 3 == 1, "-").otherwise("?").alias("strand"),
         F.when(F.col("o_orderpriority") < "3", "LTR_retrotransposon").otherwise("terminal_inverted_repeat_element").alias("type"),
         F.concat(F.lit("element"), key).alias("element_id"),
@@ -310,13 +327,13 @@ def doc_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_hits(spark: SparkSession, sf: str) -> DataFrame:
     """V2 on the documents: library entries with a code against the text of a document."""
-    h = table(spark, sf, "lineitem")
-    first = _days("l_shipdate")
-    last = first + _big("l_quantity") * 4 - 1
+    size = _big("l_quantity") * 4
+    first = _spread(_days("l_shipdate") * 2689 + F.col("l_orderkey") * 40503, size)
+    last = first + size - 1
     reverse = F.col("l_linestatus") == "F"
-    return h.select(
+    return _on_documents(spark, sf, table(spark, sf, "lineitem"), "l_partkey").select(
         F.concat_ws("_", _code(), F.concat(F.lit("family"), F.col("l_suppkey"))).alias("query"),
-        F.concat(F.lit("doc"), F.col("l_partkey") % document_count(spark, sf)).alias("subject"),
+        F.col("seq_id").alias("subject"),
         F.round(F.lit(100.0) - F.col("l_discount") * 500.0, 0).alias("identity"),
         (_big("l_quantity") * 4).alias("length"),
         F.when(reverse, last).otherwise(first).alias("s_start"),
@@ -347,6 +364,13 @@ def _days_sql(c: str) -> str:
     return f"(date_diff('day', DATE '1995-01-01', CAST({c} AS DATE)) + 1)"
 
 
+def _spread_sql(number: str, size: str) -> str:
+    return f"(1 + ({number}) % greatest(doc_length - ({size}) + 1, 1))"
+
+
+_LINE_PLACE = f"{_days_sql('l_shipdate')} * 2689 + l_orderkey * 40503"
+
+
 def _list_sql(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -423,10 +447,23 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
     FROM events""",
     ),
     "sequences": ([], "SELECT 'doc'||doc_id AS seq_id, text AS residues FROM documents"),
-    "document_spans": (
+    "document_lengths": (
         [],
-        f"""SELECT 'doc'||(l_partkey % (SELECT count(*) FROM documents)) AS seq_id, {_days_sql('l_shipdate')} AS "start",
-      {_days_sql('l_shipdate')} + CAST(l_quantity AS BIGINT) - 1 AS "end", 'e_'||{_ID_SQL} AS id FROM lineitem""",
+        """SELECT 'doc'||doc_id AS seq_id, coalesce(length(text), 0) AS doc_length FROM documents""",
+    ),
+    "line_places": (
+        ["document_lengths"],
+        """SELECT * FROM (SELECT *, 'doc'||(l_partkey % (SELECT count(*) FROM documents)) AS seq_id FROM lineitem) JOIN document_lengths USING (seq_id)""",
+    ),
+    "order_places": (
+        ["document_lengths"],
+        """SELECT *, 20 + CAST(floor(o_totalprice/1500) AS BIGINT) AS size
+    FROM (SELECT *, 'doc'||(o_orderkey % (SELECT count(*) FROM documents)) AS seq_id FROM orders) JOIN document_lengths USING (seq_id)""",
+    ),
+    "document_spans": (
+        ["line_places"],
+        f"""SELECT seq_id, "start", "start" + CAST(l_quantity AS BIGINT) - 1 AS "end", 'e_'||{_ID_SQL} AS id
+    FROM (SELECT *, {_spread_sql(_LINE_PLACE, 'CAST(l_quantity AS BIGINT)')} AS "start" FROM line_places)""",
     ),
     "members": (
         [],
@@ -441,13 +478,13 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
     UNION ALL SELECT 'rvt', length(p_name), 's'||p_partkey FROM part WHERE p_partkey % 7 = 0""",
     ),
     "doc_elements": (
-        [],
-        """SELECT 'doc'||(o_orderkey % (SELECT count(*) FROM documents)) AS seq_id, 1 + o_orderkey % 300 AS "start",
-      20 + o_orderkey % 300 + CAST(floor(o_totalprice/1500) AS BIGINT) AS "end",
+        ["order_places"],
+        f"""SELECT seq_id, "start", "start" + size - 1 AS "end",
       CASE o_orderkey % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '?' END AS strand,
       CASE WHEN o_orderpriority < '3' THEN 'LTR_retrotransposon' ELSE 'terminal_inverted_repeat_element' END AS type,
       'element'||o_orderkey AS element_id, 'repeat_region'||o_orderkey AS region_id, o_orderkey AS orderkey,
-      80 + CAST(floor(o_totalprice) AS BIGINT) % 20 AS similarity, o_orderstatus AS status FROM orders""",
+      80 + CAST(floor(o_totalprice) AS BIGINT) % 20 AS similarity, o_orderstatus AS status
+    FROM (SELECT *, {_spread_sql('o_orderkey * 40503', 'size')} AS "start" FROM order_places)""",
     ),
     "doc_features": (
         ["doc_elements"],
@@ -463,11 +500,12 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         FROM lineitem JOIN doc_elements e ON l_orderkey = e.orderkey))""",
     ),
     "doc_hits": (
-        [],
-        f"""SELECT {_CODE_SQL} || '_family' || l_suppkey AS query, 'doc'||(l_partkey % (SELECT count(*) FROM documents)) AS subject,
-      round(100.0 - l_discount*500.0) AS identity, CAST(l_quantity AS BIGINT)*4 AS length, {_days_sql('l_shipdate')} AS s_start,
-      {_days_sql('l_shipdate')} + CAST(l_quantity AS BIGINT)*4 - 1 AS s_end, CASE WHEN l_linestatus='F' THEN '-' ELSE '+' END AS strand,
-      l_tax AS evalue, l_extendedprice AS bits FROM lineitem""",
+        ["line_places"],
+        f"""SELECT {_CODE_SQL} || '_family' || l_suppkey AS query, seq_id AS subject,
+      round(100.0 - l_discount*500.0) AS identity, CAST(l_quantity AS BIGINT)*4 AS length, first AS s_start,
+      first + CAST(l_quantity AS BIGINT)*4 - 1 AS s_end, CASE WHEN l_linestatus='F' THEN '-' ELSE '+' END AS strand,
+      l_tax AS evalue, l_extendedprice AS bits
+    FROM (SELECT *, {_spread_sql(_LINE_PLACE, 'CAST(l_quantity AS BIGINT) * 4')} AS first FROM line_places)""",
     ),
     "doc_path": (
         [],
