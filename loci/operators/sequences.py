@@ -80,6 +80,13 @@ def stitch(chunks: DataFrame) -> DataFrame:
     return whole.select("seq_id", checked.alias("residues"))
 
 
+def touched_chunks(elements: DataFrame, chunks: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """Chunks whose core holds a letter of any of the intervals; the others are not read any further."""
+    first, last = (F.floor((F.col(c) - 1) / size).cast("bigint") for c in ("start", "end"))
+    touched = elements.select("seq_id", F.explode(F.sequence(first, F.greatest(first, last))).alias("chunk_no"))
+    return chunks.join(touched.distinct(), ["seq_id", "chunk_no"], "left_semi")
+
+
 def _pieces(elements: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """One row per (element, chunk core it touches) with the letters inside."""
     first, last = (F.floor((F.col(c) - 1) / size).cast("bigint") for c in ("start", "end"))

@@ -1,13 +1,15 @@
 """Ready-made annotation jobs: functions from tables to tables, composed of the operators."""
 
 from .classification import assign_families, classify_ltr, classify_tir, pair_families
-from .evolution import element_ages, paired_repeats, recombination, solo_repeats
-from .genome import annotate_genome, annotate_nonltr, global_summary, transfer_annotations
+from .evolution import age_of_repeats, element_ages, paired_repeats, recombination, solo_repeats
+from .flow import GenomeFlow
+from .genome import annotate_nonltr, global_summary, transfer_annotations
 from .masking import find_fragments, fragment_residues, mask_genome, write_fragments
 from .refinement import filter_tir_predictions, refine_predictions
 
 __all__ = [
-    "annotate_genome",
+    "GenomeFlow",
+    "age_of_repeats",
     "annotate_nonltr",
     "assign_families",
     "classify_ltr",

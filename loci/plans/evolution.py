@@ -71,6 +71,39 @@ def element_ages(aligned: DataFrame, rate: float = 1e-8, key: str = "element_id"
     return aged.select(key, "identity", zero("divergence"), zero("age"), zero("ts_tv"))
 
 
+def age_of_repeats(
+    parts: DataFrame,
+    chunks: DataFrame,
+    families: DataFrame | None = None,
+    exemplars: DataFrame | None = None,
+    alignments: DataFrame | None = None,
+    all_elements: bool = True,
+    kind: str = "long_terminal_repeat",
+    rate: float = 1e-8,
+    size: int = sq.CHUNK_SIZE,
+) -> DataFrame:
+    """Ages from features in one call (C10): the two repeats of each element, aligned, and their distance.
+
+    With ``families`` and ``exemplars``, and not ``all_elements``, only the
+    exemplars of families are aged, and all elements of a superfamily without
+    one (J13). ``alignments`` (element_id, left, right) are taken where they
+    exist; the other pairs are compared place by place over the shorter one.
+    """
+    used = parts.where(F.col("type") == kind)
+    if families is not None and exemplars is not None:
+        named = fam.select_repeats(used.select("element_id").distinct(), exemplars, families, all_elements)
+        used = used.join(named.select("element_id"), "element_id", "left_semi")
+    pairs = paired_repeats(used, chunks, kind, size)
+    n = F.least(F.length("left"), F.length("right"))
+    cut = pairs.select("element_id", *[F.substring(F.col(c), F.lit(1), n).alias(c) for c in ("left", "right")]).where(n > 0)
+    if alignments is not None:
+        given = alignments.select("element_id", F.col("left").alias("_l"), F.col("right").alias("_r"))
+        cut = cut.join(given, "element_id", "left").select(
+            "element_id", F.coalesce("_l", "left").alias("left"), F.coalesce("_r", "right").alias("right")
+        )
+    return element_ages(cut, rate)
+
+
 def recombination(
     aligned: DataFrame,
     gap: str = "-",

@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import families as fam
 from ..operators import hits as h
 from ..operators.intervals import flip_strand, slop
-from ..operators.ordering import concatenate
 from ..operators.paths import segment_states
-from ..operators.sequences import CHUNK_SIZE, filter_ambiguous, mask_intervals, slice_sequences, trim_terminal_gaps
+from ..operators.sequences import CHUNK_SIZE, slice_sequences, trim_terminal_gaps
 from ..operators.summary import code_of
 from ..schema import taxonomy
 from ..session import materialize
-from .classification import classify_ltr, classify_tir, pair_families
-from .masking import find_fragments, mask_genome
-from .refinement import filter_tir_predictions, refine_predictions
 
 
 def annotate_nonltr(
     forward: DataFrame,
     backward: DataFrame,
     lengths: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | Callable[[DataFrame], DataFrame],
     votes: DataFrame | None = None,
     flank: int = 0,
     min_length: int = 300,
@@ -33,7 +31,8 @@ def annotate_nonltr(
 ) -> DataFrame:
     """Elements from the state paths of both strands, with clade, code and trimmed residues.
 
-    ``votes`` (key = seq_start_end, vote, evalue) may overrule the clade of the path.
+    ``votes`` (key = seq_start_end, vote, evalue) may overrule the clade of the
+    path. ``chunks`` may be a function that gives the chunks near the elements.
     """
     plus = segment_states(forward, tile).withColumn("strand", F.lit("+"))
     minus = flip_strand(segment_states(backward, tile), lengths).withColumn("strand", F.lit("-"))
@@ -43,7 +42,8 @@ def annotate_nonltr(
         found = found.join(best, "element_id", "left").withColumn("clade", F.coalesce("_vote", "clade")).drop("_vote")
     found = code_of(slop(found.drop("length"), lengths, flank), "clade")
     found = materialize(found.withColumn("code", F.coalesce("code", F.lit("RIX"))))
-    cut = slice_sequences(found, chunks, ["element_id"], size).select("element_id", "residues")
+    near = chunks(found) if callable(chunks) else chunks
+    cut = slice_sequences(found, near, ["element_id"], size).select("element_id", "residues")
     return trim_terminal_gaps(found.join(cut, "element_id"), max_ambiguous, min_length)
 
 
@@ -72,57 +72,3 @@ def global_summary(hits: DataFrame, members: DataFrame, ages: DataFrame) -> dict
         "similarity": fam.family_similarity(hits, members),
         "ages": fam.age_summary(ages, members, taxonomy(members.sparkSession)),
     }
-
-
-def annotate_genome(
-    chunks: DataFrame,
-    strict: tuple[DataFrame, DataFrame],
-    relaxed: tuple[DataFrame, DataFrame],
-    tirs: tuple[DataFrame, DataFrame],
-    library_hits: DataFrame,
-    others: tuple[DataFrame, DataFrame] | None = None,
-    size: int = CHUNK_SIZE,
-    bin: int = 4096,
-    **clustering,
-) -> dict[str, DataFrame]:
-    """The flow over given predictions and hits (C14), without the steps that README lists under "Not built".
-
-    Refine and classify LTR elements, mask them, filter and classify inverted-
-    repeat elements on what is left, pair the elements of other kinds, mask the
-    original genome by the library hits, and list the fragments. Masked chunk
-    tables are written out, since every later step reads them.
-    """
-    refined, ledger = refine_predictions(strict, relaxed, chunks, size=size, bin=bin)
-    # the runs number their elements apart: an id means something with the name of its run only
-    refined = materialize(refined.withColumn("element_id", F.col("id")))
-    named = lambda t, run: t.withColumn("element_id", F.concat_ws("_", "element_id", F.lit(run)))
-    parts = named(strict[1], "strict").unionByName(named(relaxed[1], "relaxed"))
-    known = named(strict[0], "strict").unionByName(named(relaxed[0], "relaxed")).select("element_id", "strand", "type")
-    ltr_elements = refined.join(known, "element_id").select("seq_id", "start", "end", "strand", "type", "element_id")
-    ltr = classify_ltr(ltr_elements, parts, chunks, size=size, **clustering)
-    masked = materialize(mask_intervals(chunks, refined.select("seq_id", "start", "end"), size))
-
-    tir_elements = filter_tir_predictions(*tirs)
-    # an inverted-repeat call inside a masked element is all N and cannot be told apart: it goes
-    tir_elements = materialize(filter_ambiguous(tir_elements, masked, ["element_id"], 0.30, size))
-    tir = classify_tir(tir_elements, tirs[1], masked, size=size, **clustering)
-    masked = materialize(mask_intervals(masked, tir_elements.select("seq_id", "start", "end"), size))
-
-    out = {
-        "ledger": ledger,
-        "ltr_elements": ltr["elements"],
-        "ltr_families": ltr["families"],
-        "tir_elements": tir["elements"],
-        "tir_families": tir["families"],
-        "masked": masked,
-    }
-    families = [ltr["families"], tir["families"]]
-    if others is not None:
-        paired = pair_families(*others)
-        out["other_families"] = paired["families"]
-        families.append(paired["families"])
-    out["families"] = concatenate(*families)
-    out["family_counts"] = fam.family_counts(out["families"])
-    _, out["coverage"] = mask_genome(chunks, library_hits, size=size)
-    out["fragments"] = find_fragments(library_hits)
-    return out

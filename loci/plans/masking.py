@@ -22,11 +22,13 @@ def mask_genome(
     min_length: int = h.MASKING[1],
     size: int = CHUNK_SIZE,
     lengths: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
+    spans_only: bool = False,
+) -> tuple[DataFrame, DataFrame] | DataFrame:
     """Masked chunks and the coverage summary of a set of hits.
 
     Hits have the library name as ``query`` and the sequence as ``subject``;
-    the code in front of the name decides the class.
+    the code in front of the name decides the class. With ``spans_only`` the
+    places to mask are returned and no residues are read.
     """
     good = h.filter_hits(hits, min_identity, min_length)
     placed = good.select(
@@ -35,6 +37,8 @@ def mask_genome(
         F.col("s_end").alias("end"),
         F.regexp_extract("query", r"^([A-Z]{3})_?-?", 1).alias("code"),
     )
+    if spans_only:
+        return placed.select("seq_id", "start", "end")
     merged = merge_intervals(placed, label="code")
     masked = mask_intervals(chunks, placed, size)
     return masked, coverage_summary(merged, sequence_lengths(chunks) if lengths is None else lengths)

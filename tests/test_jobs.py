@@ -27,15 +27,48 @@ def test_equal_ids_in_both_runs_are_different_elements(spark):
     strict = renamed((strict[0].where(ltr), strict[1]), "seq_id", "start", "element_id")
     relaxed = renamed((relaxed[0].where(ltr), relaxed[1]), F.col("end").desc(), "element_id")
     chunks = jobs.chunks(spark, SF)
-    out = plans.annotate_genome(
-        chunks, strict, relaxed, jobs.tir_inputs(spark, SF), h.normalize_hits(v.doc_hits(spark, SF)), size=jobs.SIZE, bin=64, k=jobs.K, min_share=jobs.SHARE
-    )
+    out = plans.GenomeFlow(chunks, (strict, relaxed), size=jobs.SIZE, bin=64, k=jobs.K, min_share=jobs.SHARE)
     refined, _ = plans.refine_predictions(strict, relaxed, chunks, size=jobs.SIZE, bin=64)
     place = lambda t: sorted((r["seq_id"], r["start"], r["end"]) for r in t.select("seq_id", "start", "end").collect())
     got = place(out["ltr_elements"])
     assert got and got == place(refined)
 
 
+def test_flow_has_no_dangling_parents_and_asks_for_its_inputs(spark):
+    """Every Parent names an ID of the same table (LARDs, MITEs and TRIMs included); IDs are unique."""
+    import pytest
+
+    from workload import q_flow
+
+    flow = q_flow.whole_flow(spark, SF)
+    one = lambda k: F.try_element_at(F.try_element_at("attributes", F.lit(k)), F.lit(1))
+    rows = flow["features"].select("type", one("ID").alias("id"), one("Parent").alias("parent")).collect()
+    ids = [r["id"] for r in rows if r["id"]]
+    assert len(ids) == len(set(ids))
+    assert {r["parent"] for r in rows if r["parent"]} <= set(ids)
+    assert {"LARD", "MITE", "TRIM_retrotransposon", "helitron", "solo_LTR"} <= {r["type"] for r in rows}
+    with pytest.raises(KeyError):
+        flow["recombination"]
+    assert set(flow) >= {"library", "masked", "ages"}
+
+
+def test_flow_steps_read_the_newest_mask(spark):
+    """What an earlier step found is gone for the later ones: no two kinds of complete elements share most of their letters."""
+    from workload import q_flow
+
+    flow = q_flow.whole_flow(spark, SF)
+    place = lambda t: [(r["seq_id"], r["start"], r["end"]) for r in t.select("seq_id", "start", "end").collect()]
+    before: dict[str, set[int]] = {}
+    for name in ("ltr_elements", "trim_elements", "helitrons", "tir_elements"):
+        rows = place(flow[name])
+        assert rows
+        for seq, a, b in rows:
+            covered = before.get(seq, set())
+            assert sum(x in covered for x in range(a, b + 1)) <= 0.3 * (b - a + 1)
+        for seq, a, b in rows:
+            before.setdefault(seq, set()).update(range(a, b + 1))
+
+
 def test_relaxed_alone_goes_on_unrefined(spark):
     strict, relaxed = jobs.runs(spark, SF)
     out, ledger = plans.refine_predictions((strict[0].limit(0), strict[1]), relaxed, jobs.chunks(spark, SF), size=jobs.SIZE, bin=64, relaxed_alone=True)

@@ -92,6 +92,7 @@ def _(spark, sf):
 
 def families_sql(kind: str) -> str:
     """From ``called`` (element_id, superfamily, ...) and ``own`` (parts) to families."""
+    number = "(regexp_extract(element_id, '^(.*?)[0-9]+$', 1), CAST(regexp_extract(element_id, '([0-9]+)$', 1) AS BIGINT))"
     return (
         MERGED_DOMAINS_SQL.replace("FROM parts", "FROM own")
         + f""", ends AS (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY "start", "end", strand) AS rn,
@@ -119,8 +120,8 @@ def families_sql(kind: str) -> str:
       WHERE cluster IN (SELECT cluster FROM clustered GROUP BY cluster HAVING count(*) >= 2)),
     signed AS (SELECT element_id, string_agg(part || '=' || cluster, '|' ORDER BY part || '=' || cluster) AS signature FROM members GROUP BY element_id),
     keyed AS (SELECT c.element_id, superfamily, coalesce(signature, c.element_id) AS signature FROM called c LEFT JOIN signed USING (element_id)),
-    keyed_k AS (SELECT *, min(CAST(substring(element_id, 8) AS BIGINT)) OVER (PARTITION BY signature) AS k FROM keyed),
-    fams AS (SELECT superfamily, k, count(*) AS n, min(CAST(substring(element_id, 8) AS BIGINT)) AS first FROM keyed_k GROUP BY superfamily, k),
+    keyed_k AS (SELECT *, min({number}) OVER (PARTITION BY signature) AS k FROM keyed),
+    fams AS (SELECT superfamily, k, count(*) AS n, min({number}) AS first FROM keyed_k GROUP BY superfamily, k),
     fam_no AS (SELECT *, row_number() OVER (PARTITION BY superfamily, n = 1 ORDER BY n DESC, first) - 1 AS no FROM fams)
     SELECT element_id, superfamily, CASE WHEN n = 1 THEN 'singleton_' ELSE '' END || 'family' || no AS family, n = 1 AS is_singleton
     FROM keyed_k JOIN fam_no USING (superfamily, k)"""
@@ -420,37 +421,3 @@ def _(spark, sf):
     m = v.members(spark, sf).select("element_id", F.col("superfamily").alias("type"), "family", "length")
     ages = m.select("element_id", "type", "family", (F.col("length") / 1e6).alias("divergence"))
     return plans.global_summary(pair_hits(spark, sf), m, ages)["similarity"]
-
-
-def whole_flow(spark, sf):
-    strict, relaxed = runs(spark, sf)
-    ltr = F.col("type") == "LTR_retrotransposon"
-    return plans.annotate_genome(
-        chunks(spark, sf),
-        (strict[0].where(ltr), strict[1]),
-        (relaxed[0].where(ltr), relaxed[1]),
-        tir_inputs(spark, sf),
-        h.normalize_hits(v.doc_hits(spark, sf)),
-        size=SIZE,
-        bin=64,
-        k=K,
-        min_share=SHARE,
-    )
-
-
-@query("C14_annotate_genome")
-def _(spark, sf):
-    return whole_flow(spark, sf)["family_counts"]
-
-
-@query(
-    "C14_ltr_elements",
-    ["doc_elements", "doc_features", "sequences"],
-    natural(
-        refined_sql(25000, "0.3", "(SELECT * FROM doc_elements WHERE type = 'LTR_retrotransposon')")
-        + """SELECT id AS element_id, seq_id, "start", "end" FROM kept"""
-    ),
-)
-def _(spark, sf):
-    return whole_flow(spark, sf)["ltr_elements"].select("element_id", "seq_id", "start", "end")
-

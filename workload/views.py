@@ -343,6 +343,18 @@ def doc_hits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def element_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """V2 between the elements on the documents: one hit per line item of every other order, to an order further on."""
+    key = F.col("l_orderkey")
+    return table(spark, sf, "lineitem").where(F.expr("l_orderkey DIV 5") % 2 == 0).select(
+        F.concat(F.lit("element"), key).alias("query"),
+        F.concat(F.lit("element"), key + 5 * (1 + 2 * (F.col("l_suppkey") % 3))).alias("subject"),
+        F.round(F.lit(100.0) - F.col("l_discount") * 500.0, 0).alias("identity"),
+        (_big("l_quantity") * 4).alias("length"),
+        F.col("l_extendedprice").alias("bits"),
+    )
+
+
 def doc_path(spark: SparkSession, sf: str) -> DataFrame:
     """V4 on the documents: the path of a user on the document of the same number."""
     events = table(spark, sf, "events")
@@ -507,6 +519,11 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
       l_tax AS evalue, l_extendedprice AS bits
     FROM (SELECT *, {_spread_sql(_LINE_PLACE, 'CAST(l_quantity AS BIGINT) * 4')} AS first FROM line_places)""",
     ),
+    "element_hits": (
+        [],
+        """SELECT 'element'||l_orderkey AS query, 'element'||(l_orderkey + 5*(1 + 2*(l_suppkey % 3))) AS subject, round(100.0 - l_discount*500.0) AS identity,
+      CAST(l_quantity AS BIGINT)*4 AS length, l_extendedprice AS bits FROM lineitem WHERE (l_orderkey // 5) % 2 = 0""",
+    ),
     "doc_path": (
         [],
         """SELECT 'doc'||(user_id % (SELECT count(*) FROM documents)) AS seq_id, event_id + 1 AS position,
