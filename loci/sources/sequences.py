@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import carry_over_tiles
 from ..operators.sequences import CHUNK_PAD, CHUNK_SIZE
+from .ranges import PIECE, read_range_lines
 
 
 def _id(header: Column) -> Column:
@@ -36,19 +37,32 @@ def parse_sequences(records: DataFrame) -> DataFrame:
     )
 
 
-def read_sequence_chunks(spark: SparkSession, path: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_PAD) -> DataFrame:
+def read_sequence_chunks(
+    spark: SparkSession, path: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_PAD, range_bytes: int | None = None
+) -> DataFrame:
     """Padded chunks straight from a sequence file, without ever holding a record whole (S2 + F3).
 
     The file is read by line in its natural splits. Each split passes on the
     open record and how much of it has been read; a line then knows its place
     and is sent to the chunks it touches. Identifiers must be unique per file.
+
+    With ``range_bytes`` the files are read by ranges of bytes instead, which
+    cuts records written as one long line, and reads compressed files as
+    streams of pieces (:mod:`.ranges`).
     """
+    if range_bytes is not None:
+        return chunks_of_lines(read_range_lines(spark, path, range_bytes, min(size, PIECE)), size, overlap)
     lines = spark.read.text(path).select(
         F.regexp_replace("value", r"\s+$", "").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_tile"),
         F.monotonically_increasing_id().alias("_at"),
     )
+    return chunks_of_lines(lines, size, overlap)
+
+
+def chunks_of_lines(lines: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_PAD) -> DataFrame:
+    """Padded chunks from headers and residues as rows (line, file, _tile, _at), in the order of _tile and _at."""
     opens = F.when(F.col("line").startswith(">"), _id(F.substring(F.col("line"), F.lit(2), F.length("line"))))
     lines = lines.withColumn("_opens", opens)
     last_open = F.max_by("_opens", F.when(F.col("_opens").isNotNull(), F.col("_at")))

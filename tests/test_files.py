@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from loci import sources as src
@@ -101,6 +102,44 @@ def test_chunks_do_not_depend_on_file_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("range_bytes", [23, 1000, 1 << 20])
+def test_chunks_from_byte_ranges(spark, tmp_path, range_bytes):
+    """Ranges may begin anywhere: in headers, at line ends, inside records of one line."""
+    from loci.operators.sequences import windows
+
+    letters = "ACGTTGCATTAGC"
+    records = {f"r{i}": (letters * 200)[i : i + 97 * i] for i in range(1, 9)}
+    body = "".join(f">{k} a description of some length\n{s}\n" if i % 2 else f">{k}\r\n" + "\r\n".join(s[j : j + 30] for j in range(0, len(s), 30)) + "\r\n\r\n" for i, (k, s) in enumerate(records.items()))
+    (tmp_path / "x.fa").write_bytes(body.encode()[:-1])  # the last line is open
+    with gzip.open(tmp_path / "y.fa.gz", "wb") as f:
+        f.write(body.replace(">r", ">z").encode())
+    both = records | {k.replace("r", "z"): s for k, s in records.items()}
+    want = windows(spark.createDataFrame(list(both.items()), "seq_id string, residues string"), 100, 20)
+    got = src.read_sequence_chunks(spark, str(tmp_path / "*"), 100, 20, range_bytes=range_bytes).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("kind", ["plain", "gz"])
+def test_a_long_record_of_one_line_is_never_in_one_row(spark, tmp_path, kind):
+    from loci.sources.ranges import read_range_lines
+
+    n, path = 250_000_000 if kind == "plain" else 50_000_000, str(tmp_path / ("long.fa" if kind == "plain" else "long.fa.gz"))
+    opened = open(path, "wb") if kind == "plain" else gzip.open(path, "wb", compresslevel=1)
+    with opened as f:
+        f.write(b">one\n")
+        for _ in range(n // 1_000_000):
+            f.write(b"ACGTTGCATA" * 100_000)
+        f.write(b"\n>two\nACGT\n")
+    rows = read_range_lines(spark, path, 8 << 20)
+    longest, total, tasks = rows.select(F.max(F.length("line")), F.sum(F.length("line")), F.count_distinct("_tile")).first()
+    assert longest <= 1 << 16 and total == n + 4 + len(">one>two") and tasks > n // (9 << 20)
+    if kind == "plain":
+        assert rows.rdd.getNumPartitions() > 25
+    chunks = src.read_sequence_chunks(spark, path, range_bytes=8 << 20)
+    sizes = chunks.groupBy("seq_id").agg(F.max("core_end"), F.max(F.length("residues")), F.sum(F.length("residues") - F.col("left_pad") - F.col("right_pad"))).collect()
+    assert sorted(map(tuple, sizes)) == [("one", n, 50_200, n), ("two", 4, 4, 4)]
+
+
 HITS = "q\ts\t90.0\t100\t1\t0\t1\t100\t200\t101\t1e-9\t55.5\n# comment\nq\ts\t90.0\t100\t1\t0\t1\t100\t5\t104\t1e-9\n"
 
 
