@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import natural_key, round_half_up
 from ..session import materialize
-from .intervals import merge_intervals, overlap_join
+from .intervals import TILE, carry_over_tiles, contain_join, merge_intervals, overlap_join
 from .ordering import top_per_key
 
 # Domain-name patterns, matched without regard to case.
@@ -303,6 +303,44 @@ def without(t: DataFrame, used: DataFrame, key: str | Sequence[str] = "region_id
     return t.join(used.select(*keys), keys, "left_anti")
 
 
+def element_flanks(elements: DataFrame, lengths: DataFrame, size: int = 1000, tile: int = TILE) -> DataFrame:
+    """Up to ``size`` letters on both sides of each element that belong to no element.
+
+    Elements that overlap or touch are one stretch; its flanks end at the next
+    stretch or at the end of the sequence. Rows have ``flank_id`` (the element
+    and its side), ``element_id``, ``seq_id``, ``start``, ``end``, ``length``;
+    a side without room has no row. Neighbouring stretches are found tile by
+    tile, so a sequence with very many elements is cut over many tasks.
+    """
+    stretches = merge_intervals(elements.select("seq_id", "start", "end"), gap=1, tile=tile)
+    stretches = materialize(stretches.select("seq_id", "start", "end", F.floor((F.col("start") - 1) / tile).cast("bigint").alias("_tile")))
+    before = carry_over_tiles(stretches, ["seq_id"], F.max("end"), "max", name="_left")
+    both = carry_over_tiles(before, ["seq_id"], F.min("start"), "last", name="_right", descending=True)
+    w = Window.partitionBy("seq_id", "_tile").orderBy("start")
+    room = both.select(
+        "seq_id",
+        "start",
+        "end",
+        F.coalesce(F.lag("end").over(w), F.col("_left"), F.lit(0)).alias("left"),
+        F.coalesce(F.lead("start").over(w), F.col("_right")).alias("right"),
+    )
+    placed = contain_join(elements.select("seq_id", "start", "end", "element_id"), room).join(lengths.select("seq_id", F.col("length").alias("_len")), "seq_id")
+    right = F.coalesce("r_right", F.col("_len") + 1)
+    sides = F.array(
+        F.struct(F.lit("left").alias("side"), F.greatest(F.col("r_left") + 1, F.col("r_start") - size).alias("start"), (F.col("r_start") - 1).alias("end")),
+        F.struct(F.lit("right").alias("side"), (F.col("r_end") + 1).alias("start"), F.least(right - 1, F.col("r_end") + size).alias("end")),
+    )
+    rows = placed.select("seq_id", "element_id", F.explode(sides).alias("f")).where(F.col("f.end") >= F.col("f.start"))
+    return rows.select(
+        F.concat_ws("_", "element_id", "f.side").alias("flank_id"),
+        "element_id",
+        "seq_id",
+        F.col("f.start").alias("start"),
+        F.col("f.end").alias("end"),
+        (F.col("f.end") - F.col("f.start") + 1).alias("length"),
+    )
+
+
 def flank_matches(flanks: DataFrame, hits: DataFrame, coverage: float = 0.5, min_identity: float | None = None) -> DataFrame:
     """Flanks with whether one hit covers enough of them (first half of J9)."""
     found = hits if min_identity is None else hits.where(F.col("identity") >= min_identity)

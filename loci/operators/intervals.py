@@ -50,28 +50,63 @@ def carry_over_tiles(
     return rows.join(carried, [*by, "_tile"])
 
 
+def _local_islands(points: DataFrame, by: Sequence[str], gap: int, tile: int, previous_only: bool) -> DataFrame:
+    """Add ``_tile`` and ``_local``, the start of the row's island as its own tile sees it."""
+    tiled = points.withColumn("_tile", _tile("start", tile))
+    w = Window.partitionBy(*by, "_tile").orderBy("start")
+    before = F.lag("end").over(w) if previous_only else F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = tiled.withColumn("_before", before)
+    opened = opened.withColumn("_open", F.when(F.col("_before").isNull() | (F.col("start") - F.col("_before") > gap), F.col("start")))
+    return opened.withColumn("_local", F.max("_open").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_open")
+
+
+def _joined_islands(local: DataFrame, by: Sequence[str], gap: int, previous_only: bool) -> DataFrame:
+    """Add ``island``: the local island, or the one that reaches in from earlier tiles.
+
+    ``local`` has rows or whole local islands (``_last_end``: the end of an
+    island's last row). One summary a tile suffices: its first and last local
+    island and where it ends. A local island joins what comes before it iff it
+    starts within ``gap`` of the end handed on (with ``previous_only`` the
+    tile's first island alone can); so the running end and the island still
+    open are two running values over the summaries. Rows keep the partitions
+    of their tiles.
+    """
+    end = F.max_by("_last_end", "start") if previous_only else F.max("end")
+    tiles = local.groupBy(*by, "_tile").agg(F.min("_local").alias("_first"), F.max("_local").alias("_last"), end.alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.last("_end").over(earlier) if previous_only else F.max("_end").over(earlier)
+
+    def joins(start: Column) -> Column:
+        near = F.col("_reach").isNotNull() & (start - F.col("_reach") <= gap)
+        return near & (start == F.col("_first")) if previous_only else near
+
+    tiles = tiles.withColumn("_reach", reach).withColumn("_opens", F.when(~joins(F.col("_last")), F.col("_last")))
+    carried = tiles.select(*by, "_tile", "_first", "_reach", F.last("_opens", ignorenulls=True).over(earlier).alias("_open"))
+    joined = local.join(carried, [*by, "_tile"])
+    return joined.withColumn("island", F.when(joins(F.col("_local")), F.col("_open")).otherwise(F.col("_local"))).drop("_first", "_reach", "_open")
+
+
 def _islands(points: DataFrame, by: Sequence[str], gap: int, tile: int, previous_only: bool) -> DataFrame:
     """Add ``island`` (the start of its first row) to rows unique on (by, start).
 
     A row opens an island when it starts more than ``gap`` after the furthest
     earlier end (or, with ``previous_only``, after the end of the row before).
     """
-    tiled = points.withColumn("_tile", _tile("start", tile))
-    if previous_only:
-        tiled = carry_over_tiles(tiled, by, F.max_by("end", "start"), "last")
-    else:
-        tiled = carry_over_tiles(tiled, by, F.max("end"), "max")
-    w = Window.partitionBy(*by, "_tile").orderBy("start")
-    if previous_only:
-        before = F.coalesce(F.lag("end").over(w), F.col("_carry"))
-    else:
-        before = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
-    opened = tiled.withColumn("_before", before).withColumn(
-        "_open", F.when(F.col("_before").isNull() | (F.col("start") - F.col("_before") > gap), F.col("start"))
+    local = _local_islands(points, by, gap, tile, previous_only).withColumn("_last_end", F.col("end"))
+    return _joined_islands(local, by, gap, previous_only).drop("_tile", "_local", "_last_end")
+
+
+def _island_rows(points: DataFrame, by: Sequence[str], gap: int, tile: int, previous_only: bool, **folds: Column) -> DataFrame:
+    """One row an island: ``start``, ``end`` (the furthest) and ``folds``, aggregates that may be applied twice.
+
+    Each tile folds its islands before anything crosses tiles.
+    """
+    local = _local_islands(points, by, gap, tile, previous_only)
+    local = local.groupBy(*by, "_tile", "_local").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("end", "start").alias("_last_end"), *[f.alias(c) for c, f in folds.items()]
     )
-    opened = carry_over_tiles(opened.drop("_carry"), by, F.max("_open"), "last")
-    running = F.max("_open").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return opened.withColumn("island", F.coalesce(running, F.col("_carry"))).drop("_carry", "_before", "_open", "_tile")
+    joined = _joined_islands(local, by, gap, previous_only)
+    return joined.groupBy(*by, "island").agg(F.max("end").alias("end"), *[f.alias(c) for c, f in folds.items()]).withColumnRenamed("island", "start")
 
 
 # --------------------------------------------------------------------------
@@ -171,13 +206,9 @@ def merge_intervals(
     points = t.groupBy(*keys, "start").agg(
         F.max("end").alias("end"), F.count("*").alias("n"), *([F.max(last).alias("_last")] if label else [])
     )
-    marked = _islands(points, keys, gap, tile, previous_only=False)
-    out = marked.groupBy(*keys, "island").agg(
-        F.max("end").alias("end"),
-        F.sum("n").alias("n"),
-        *([F.max("_last")[label].alias(label)] if label else []),
-    )
-    return out.withColumnRenamed("island", "start")
+    folds = {"n": F.sum("n"), **({"_last": F.max("_last")} if label else {})}
+    out = _island_rows(points, keys, gap, tile, previous_only=False, **folds)
+    return out.withColumn(label, F.col("_last")[label]).drop("_last") if label else out
 
 
 def _first_per_start(t: DataFrame, by: Sequence[str], ties: Sequence[Column]) -> DataFrame:
@@ -299,16 +330,13 @@ def chain_signals(
         F.sum(log_e).alias("log_evalue"),
         F.max(F.struct("end", "score")).alias("_last"),
     )
-    marked = _islands(points, keys, max_gap - 1, tile, previous_only=True)
-    out = marked.groupBy(*keys, "island").agg(
-        F.max(F.struct("start", "end", F.col("_last")["score"].alias("score"))).alias("_l"),
-        F.sum("n").alias("n"),
-        F.sum("log_evalue").alias("log_evalue"),
-    )
+    points = points.withColumn("_l", F.struct("start", "end", F.col("_last")["score"].alias("score"))).drop("_last")
+    folds = {"_l": F.max("_l"), "n": F.sum("n"), "log_evalue": F.sum("log_evalue")}
+    out = _island_rows(points, keys, max_gap - 1, tile, previous_only=True, **folds)
     kept = (
         out.select(
             *keys,
-            F.col("island").alias("start"),
+            "start",
             F.col("_l")["end"].alias("end"),
             F.col("_l")["score"].alias("score"),
             "n",

@@ -39,56 +39,108 @@ def copies(t: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     return marked.join(first, ["_digest", *within]).select("id", "representative")
 
 
-def similar_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8, within: Sequence[str] = ()) -> DataFrame:
-    """Pairs of different texts whose k-mer sets have a Jaccard share of at least ``min_share`` (G1).
-
-    ``t`` has ``id`` and ``residues``; identical texts are represented by their
-    smallest id (see :func:`copies`). The result is exact. A pair above the
-    threshold must agree on one of the few rarest k-mers of each side, so only
-    that prefix is joined; k-mers found in a single text count for the prefix
-    but are not carried along. Frequent k-mers, which would make large groups,
-    come last in the order and so stay out of the prefix. ``within`` names
-    columns both sides must agree on.
-    """
+def _sets(t: DataFrame, k: int, within: Sequence[str]) -> DataFrame:
+    """Distinct texts with their k-mers: (no, id, kmers, n). Numbers are shorter to carry than ids; written, so that they stay."""
     same = copies(t, within)
     reps = same.where(F.col("id") == F.col("representative")).select("id")
-    sets = materialize(
-        t.join(reps, "id", "left_semi").select("id", kmers("residues", k, within).alias("kmers")).withColumn("n", F.size("kmers"))
-    ).where(F.col("n") > 0)
+    sets = t.join(reps, "id", "left_semi").select("id", kmers("residues", k, within).alias("kmers")).withColumn("n", F.size("kmers"))
+    return materialize(sets.where(F.col("n") > 0).withColumn("no", F.monotonically_increasing_id()))
+
 
-    tokens = sets.select("id", "n", F.explode("kmers").alias("kmer"))
+def _prefixes(sets: DataFrame, min_share: float) -> DataFrame:
+    """The rarest k-mers of each text (kmer, no, n, place): two texts above the threshold agree on one of them.
+
+    ``place`` counts a text's k-mers from the rarest on. K-mers found in a
+    single text take their places but are not carried along; frequent ones,
+    which would make large groups, come last and so stay out.
+    """
+    tokens = sets.select("no", "n", F.explode("kmers").alias("kmer"))
     shared = tokens.groupBy("kmer").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     carried = tokens.join(shared, "kmer")
-    of_text = Window.partitionBy("id")
-    ranked = carried.withColumns(
-        {
-            "_alone": F.col("n") - F.count("*").over(of_text),
-            "_rank": F.row_number().over(of_text.orderBy("df", "kmer")),
-        }
-    )
+    of_text = Window.partitionBy("no")
+    ranked = carried.withColumn("place", F.col("n") - F.count("*").over(of_text) + F.row_number().over(of_text.orderBy("df", "kmer")))
     # n - ceil(share * n) + 1 rarest k-mers; the small term guards the ceiling against rounding
     depth = F.col("n") - F.ceil(F.col("n") * min_share - 1e-9) + 1
-    prefix = ranked.where(F.col("_alone") + F.col("_rank") <= depth).select("kmer", "id", "n")
-    other = prefix.select("kmer", F.col("id").alias("b"), F.col("n").alias("_nb"))
-    candidates = (
-        prefix.select("kmer", F.col("id").alias("a"), F.col("n").alias("_na"))
-        .join(other, "kmer")
-        .where(
-            (F.col("a") < F.col("b"))
-            & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * min_share - 1e-9)
-        )
-        .select("a", "b")
-        .distinct()
+    return ranked.where(F.col("place") <= depth).select("kmer", "no", "n", "place")
+
+
+def _candidates(left: DataFrame, right: DataFrame, min_share: float, condition: Column) -> DataFrame:
+    """Pairs (a, b) of ``left`` and ``right`` prefixes that length and position do not rule out.
+
+    With c k-mers met in the prefixes, the last at places i and j, a pair has
+    c + min(n_a - i, n_b - j) in common at most; it needs share / (1 + share)
+    of n_a + n_b.
+    """
+    side = lambda t, x: t.select("kmer", *[F.col(c).alias(f"{x}{c}") for c in t.columns if c != "kmer"])
+    met = side(left, "a_").join(side(right, "b_"), "kmer").where(
+        condition & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * min_share - 1e-9)
     )
-    left = sets.select(F.col("id").alias("a"), F.col("kmers").alias("_ka"), F.col("n").alias("_na"))
-    right = sets.select(F.col("id").alias("b"), F.col("kmers").alias("_kb"), F.col("n").alias("_nb"))
-    counted = (
-        candidates.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("_ka", "_kb")).cast("bigint"))
+    pairs = met.groupBy(F.col("a_no").alias("a"), F.col("b_no").alias("b"), "a_n", "b_n").agg(
+        F.count("*").alias("c"), F.max("a_place").alias("i"), F.max("b_place").alias("j")
     )
+    most = F.col("c") + F.least(F.col("a_n") - F.col("i"), F.col("b_n") - F.col("j"))
+    needed = (F.col("a_n") + F.col("b_n")) * (min_share / (1 + min_share))
+    return pairs.where(most >= needed - 1e-6).select("a", "b")
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, min_share: float) -> DataFrame:
+    """Candidates whose share reaches the threshold, with ``shared`` and ``share``."""
+    left = sets.select(F.col("no").alias("a"), F.col("kmers").alias("_ka"), F.col("n").alias("_na"))
+    right = sets.select(F.col("no").alias("b"), F.col("kmers").alias("_kb"), F.col("n").alias("_nb"))
+    counted = candidates.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("_ka", "_kb")).cast("bigint"))
     share = F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))
     return counted.select("a", "b", "shared", share.alias("share")).where(F.col("share") >= min_share)
 
 
+def _named(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of numbers as pairs of ids, the smaller one first."""
+    a = sets.select(F.col("no").alias("a"), F.col("id").alias("_a"))
+    b = sets.select(F.col("no").alias("b"), F.col("id").alias("_b"))
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    return pairs.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), *rest)
+
+
+def similar_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8, within: Sequence[str] = ()) -> DataFrame:
+    """Pairs of different texts whose k-mer sets have a Jaccard share of at least ``min_share`` (G1).
+
+    ``t`` has ``id`` and ``residues``; identical texts are represented by their
+    smallest id (see :func:`copies`). The result is exact: the rarest k-mers of
+    each text are joined, and candidates that pass the filters of length and
+    position are counted. ``within`` names columns both sides must agree on.
+    All pairs are the result here, so near copies of one text make a square of
+    them; clusters need fewer (:func:`linking_pairs`).
+    """
+    sets = _sets(t, k, within)
+    prefix = _prefixes(sets, min_share)
+    return _named(_verified(_candidates(prefix, prefix, min_share, F.col("a_no") < F.col("b_no")), sets, min_share), sets)
+
+
+def linking_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8, within: Sequence[str] = ()) -> DataFrame:
+    """Enough of the similar pairs (a, b) to link the same clusters as all of them.
+
+    First every text of a prefix group is compared with the group's smallest
+    one alone: n texts make n candidates, and near copies become one cluster.
+    Only pairs of a group that lie in different clusters then are still open;
+    they are all compared, so no link is lost.
+    """
+    sets = _sets(t, k, within)
+    prefix = materialize(_prefixes(sets, min_share))
+    smallest = F.min(F.struct("n", "no", "place"))
+    centres = prefix.groupBy("kmer").agg(smallest.alias("c"), F.count("*").alias("m")).where(F.col("m") > 1)
+    centres = centres.select("kmer", "c.no", "c.n", "c.place")
+    stars = materialize(_verified(_candidates(centres, prefix, min_share, F.col("a_no") != F.col("b_no")), sets, min_share).select("a", "b"))
+
+    # two rounds of smallest labels reach from every text over its centre to the centre's texts: parts of clusters suffice here
+    both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    once = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("of"))
+    twice = both.join(once.withColumnRenamed("a", "b"), "b").groupBy(F.col("a").alias("no")).agg(F.min("of").alias("of"))
+    placed = prefix.join(twice, "no", "left").withColumn("of", F.coalesce("of", "no"))
+    mixed = placed.groupBy("kmer").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where(F.col("lo") < F.col("hi")).select("kmer")
+    still = materialize(placed.join(mixed, "kmer"))
+    across = _candidates(still, still, min_share, (F.col("a_no") < F.col("b_no")) & (F.col("a_of") != F.col("b_of")))
+    return _named(stars.unionByName(_verified(across, sets, min_share).select("a", "b")), sets)
+
+
 def link_copies(t: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """One link from each copy to the representative of its text: all that linkage needs."""
     return copies(t, within).where(F.col("id") != F.col("representative")).select(F.col("representative").alias("a"), F.col("id").alias("b"))
@@ -131,7 +183,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def cluster_sequences(t: DataFrame, k: int = 16, min_share: float = 0.8, within: Sequence[str] = ()) -> DataFrame:
     """Clusters of a sequence table: similar pairs, copies, linkage (G1 + G2)."""
-    links = similar_pairs(t, k, min_share, within).select("a", "b").unionByName(link_copies(t, within))
+    links = linking_pairs(t, k, min_share, within).unionByName(link_copies(t, within))
     return cluster(links, t.select("id"))
 
 

@@ -36,6 +36,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_comment" not in text and "l_shipdate" not in text
 
 
+@pytest.mark.parametrize("made", [lambda t: iv.merge_intervals(t), lambda t: iv.chain_signals(t.withColumns({"evalue": F.col("tax"), "score": F.col("score")}))])
+def test_tile_passes_shuffle_rows_twice(spark, made):
+    """Rows go to their start and to their tile; behind that only summaries of tiles and folded islands move."""
+    df = made(v.intervals(spark, SF).select("seq_id", "start", "end", "score", "tax"))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in final.splitlines() if " Exchange hashpartitioning(" in line]
+    assert len(moved) <= 5 and final.count("FileScan") == 1
+    assert sum("_tile" in line or "start" in line for line in moved) <= 3
+
+
 def names():
     import __spark_entry__ as entry
 

@@ -233,3 +233,48 @@ def test_repeat_pairs_in_tandem_and_random_text(spark, size):
     got = sim.repeat_pairs(chunks, k, lo, hi, min_length=shortest)
     cols = ["seq_id", "left_start", "left_end", "right_start", "right_end", "length"]
     assert {tuple(x) for x in got.select(*cols).collect()} == want
+
+
+def test_near_copies_make_few_candidates(spark, monkeypatch):
+    """Copies with a change each are all similar to one another; clusters need a number of comparisons in line with them."""
+    r = random.Random(7)
+    n, base = 400, "".join(r.choice("acgt") for _ in range(600))
+    rows = [(f"c{i}", base[:i] + "x" + base[i + 1 :]) for i in range(n)]
+    far = ["".join(r.choice("acgt") for _ in range(600)) for _ in range(3)]
+    rows += [(f"d{i}", x) for i, x in enumerate(far)] + [("e", far[0][:590])]
+    t = spark.createDataFrame(rows, "id string, residues string")
+    counts = []
+    verified = sim._verified
+
+    def counted(candidates, sets, share):
+        counts.append(candidates.count())
+        return verified(candidates, sets, share)
+
+    monkeypatch.setattr(sim, "_verified", counted)
+    got = {x["id"]: x["cluster"] for x in sim.cluster_sequences(t, 12, 0.8).collect()}
+    assert {got[f"c{i}"] for i in range(n)} == {"c0"} and got["e"] == got["d0"] and len({got[f"d{i}"] for i in range(3)}) == 3
+    assert sum(counts) < 12 * n
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.8])
+@pytest.mark.parametrize("seed", range(3))
+def test_linking_pairs_link_what_all_similar_pairs_link(spark, seed, share):
+    r = random.Random(seed)
+    roots = ["".join(r.choice("ab") for _ in range(60)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        x = list(r.choice(roots))
+        for _ in range(r.randrange(7)):
+            x[r.randrange(60)] = r.choice("abc")
+        rows.append((f"t{i:02}", "".join(x)))
+    t = spark.createDataFrame(rows, "id string, residues string")
+    grams = {i: {x[j : j + 6] for j in range(55)} for i, x in rows}
+    like = [(a, b) for a, b in itertools.combinations(sorted(grams), 2) if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= share]
+    texts = dict(rows)
+    got = {(p["a"], p["b"]) for p in sim.similar_pairs(t, 6, share).collect()}
+    first = {x: min(i for i in texts if texts[i] == x) for x in texts.values()}
+    assert got == {(a, b) for a, b in like if first[texts[a]] == a and first[texts[b]] == b and texts[a] != texts[b]}
+    of = {i: i for i in grams}
+    for a, b in like * 60:
+        of[a] = of[b] = min(of[a], of[b])
+    assert {x["id"]: x["cluster"] for x in sim.cluster_sequences(t, 6, share).collect()} == of

@@ -322,6 +322,27 @@ def _(spark, sf):
     return hi.gene_filter_totals(v.elements(spark, sf), gene_kept(spark, sf))
 
 
+FLANK = 60
+DOC_FLANKS_SQL = f""", ordered AS (SELECT *, max("end") OVER (PARTITION BY seq_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM doc_elements),
+    opened AS (SELECT *, sum(CASE WHEN before IS NULL OR "start" > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM ordered),
+    stretches AS (SELECT seq_id, g, min("start") AS s, max("end") AS e FROM opened GROUP BY ALL),
+    room AS (SELECT *, coalesce(lag(e) OVER w, 0) AS l, lead(s) OVER w AS r FROM stretches WINDOW w AS (PARTITION BY seq_id ORDER BY s)),
+    sided AS (SELECT o.element_id, o.seq_id, 'left' AS side, greatest(l + 1, s - {FLANK}) AS "start", s - 1 AS "end" FROM opened o JOIN room USING (seq_id, g)
+      UNION ALL SELECT o.element_id, o.seq_id, 'right', e + 1, least(coalesce(r, doc_length + 1) - 1, e + {FLANK}) FROM opened o JOIN room USING (seq_id, g) JOIN document_lengths USING (seq_id)),
+    doc_flanks AS (SELECT element_id || '_' || side AS flank_id, element_id, seq_id, "start", "end", "end" - "start" + 1 AS length FROM sided WHERE "end" >= "start")
+"""
+
+
+def doc_flanks(spark, sf):
+    lengths = v.document_lengths(spark, sf).withColumnRenamed("doc_length", "length")
+    return hi.element_flanks(v.doc_elements(spark, sf), lengths, FLANK, tile=512)
+
+
+@query("J9_element_flanks", ["doc_elements", "document_lengths"], DOC_FLANKS_SQL + "SELECT * FROM doc_flanks")
+def _(spark, sf):
+    return doc_flanks(spark, sf)
+
+
 def tir_facts(spark, sf):
     """Element and duplication residues: the text of the document the element falls on."""
     e, p = v.elements(spark, sf), v.parts(spark, sf)

@@ -10,7 +10,7 @@ from loci.operators.sequences import windows
 
 from . import views as v
 from .q_families import SIMILARITY_SQL, pair_hits
-from .q_hierarchy import BEST_SQL, MERGED_DOMAINS_SQL, RETRO, RULES_SQL, SCORE_SQL, natural
+from .q_hierarchy import BEST_SQL, DOC_FLANKS_SQL, MERGED_DOMAINS_SQL, RETRO, RULES_SQL, SCORE_SQL, doc_flanks, natural
 from .q_intervals import MERGE_SQL, TAXONOMY_SQL
 from .registry import query
 
@@ -90,6 +90,30 @@ def _(spark, sf):
     return report
 
 
+# elements whose flanks are all covered to half their length by a gene hit
+GENE_LIKE_SQL = """, covered AS (SELECT query AS flank_id, max(length) AS hit FROM flank_genes GROUP BY 1),
+    gene_like AS (SELECT element_id FROM doc_flanks LEFT JOIN covered USING (flank_id) GROUP BY 1 HAVING bool_and(coalesce(hit / length::DOUBLE >= 0.5, false)))
+"""
+
+
+@query(
+    "C1_refine_without_gene_copies",
+    ["doc_elements", "doc_features", "sequences", "document_lengths", "flank_genes"],
+    natural(
+        DOC_FLANKS_SQL
+        + GENE_LIKE_SQL
+        + refined_sql(300, "0.12", "(SELECT * FROM doc_elements WHERE element_id NOT IN (SELECT element_id FROM gene_like))")
+        + """SELECT id, seq_id, "start", "end", origin, 'LTR_retrotransposon' || row_number() OVER (ORDER BY CAST(substring(seq_id, 4) AS BIGINT), "start", "end",
+        natural_key(id), id) AS new_id FROM kept"""
+    ),
+)
+def _(spark, sf):
+    strict, relaxed = runs(spark, sf)
+    genes = (doc_flanks(spark, sf), v.flank_genes(spark, sf))
+    out, _ = plans.refine_predictions(strict, relaxed, chunks(spark, sf), genes=genes, max_ambiguous=0.12, size=SIZE, bin=64, max_length=300)
+    return out.select("id", "seq_id", "start", "end", "origin", "new_id")
+
+
 def families_sql(kind: str) -> str:
     """From ``called`` (element_id, superfamily, ...) and ``own`` (parts) to families."""
     number = "(regexp_extract(element_id, '^(.*?)[0-9]+$', 1), CAST(regexp_extract(element_id, '([0-9]+)$', 1) AS BIGINT))"
@@ -194,6 +218,21 @@ def _(spark, sf):
     return plans.filter_tir_predictions(*tir_inputs(spark, sf)).select("element_id", "seq_id", "start", "end")
 
 
+@query(
+    "C4_filter_tir_gene_copies",
+    ["doc_elements", "doc_features", "document_lengths", "flank_genes"],
+    DOC_FLANKS_SQL
+    + GENE_LIKE_SQL
+    + f"""SELECT element_id, seq_id, "start", "end" FROM doc_elements WHERE type = 'terminal_inverted_repeat_element' AND element_id NOT IN (SELECT element_id FROM gene_like)
+    AND element_id NOT IN (SELECT element_id FROM doc_features WHERE type = 'protein_match' AND regexp_matches(name, '{RETRO}'))
+    AND element_id NOT IN (SELECT p.element_id FROM doc_features p JOIN doc_elements e USING (element_id)
+      WHERE p.type = 'terminal_inverted_repeat' AND p."start" = e."start" AND p."end" = e."end" GROUP BY p.element_id HAVING count(*) = 2)""",
+)
+def _(spark, sf):
+    genes = (doc_flanks(spark, sf), v.flank_genes(spark, sf))
+    return plans.filter_tir_predictions(*tir_inputs(spark, sf), genes=genes).select("element_id", "seq_id", "start", "end")
+
+
 @query(
     "C5_pair_families",
     ["hits", "query_lengths", "subject_lengths"],
@@ -333,6 +372,27 @@ def _(spark, sf):
     return plans.solo_repeats(h.normalize_hits(v.doc_hits(spark, sf))).select("seq_id", "start", "end", "query", "id")
 
 
+@query(
+    "C9_solo_repeats_of_top_families",
+    ["doc_hits", "document_lengths"],
+    """, models AS (SELECT DISTINCT query, left(query, 3) AS family FROM doc_hits),
+    top AS (SELECT family FROM models GROUP BY family ORDER BY count(*) DESC, family LIMIT 3),
+    thin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, s_start ORDER BY s_end - s_start DESC, identity DESC, query, bits DESC) AS rn
+        FROM doc_hits WHERE identity >= 80 AND length >= 80 AND left(query, 3) IN (SELECT family FROM top)
+          AND length >= (100 + length(query) * 10) * 0.6::DOUBLE) WHERE rn = 1),
+    seen AS (SELECT *, lag(s_end) OVER (PARTITION BY subject ORDER BY s_start) AS before FROM thin)
+    SELECT subject AS seq_id, s_start AS "start", s_end AS "end", query,
+      'solo_LTR' || row_number() OVER (ORDER BY CAST(substring(subject, 4) AS BIGINT), s_start, s_end) AS id FROM seen WHERE before IS NULL OR s_start > before""",
+)
+def _(spark, sf):
+    """Models of the three largest families only, each to be covered to six tenths."""
+    hits = h.normalize_hits(v.doc_hits(spark, sf))
+    models = hits.select(F.col("query").alias("element_id"), F.substring("query", 1, 3).alias("family")).distinct()
+    lengths = models.select(F.col("element_id").alias("id"), (100 + F.length("element_id") * 10).alias("length"))
+    found = plans.solo_repeats(hits, query_lengths=lengths, min_coverage=0.6, families=models, top=3)
+    return found.select("seq_id", "start", "end", "query", "id")
+
+
 @query(
     "C10_paired_repeats",
     ["doc_features", "sequences"],

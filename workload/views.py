@@ -355,6 +355,16 @@ def element_hits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def flank_genes(spark: SparkSession, sf: str) -> DataFrame:
+    """V2 between gene models and the flanks of the elements: one hit per line item, to either side of its order's element."""
+    side = F.when(F.col("l_suppkey") % 2 == 0, "left").otherwise("right")
+    return table(spark, sf, "lineitem").select(
+        F.concat_ws("_", F.concat(F.lit("element"), F.col("l_orderkey")), side).alias("query"),
+        F.round(F.lit(100.0) - F.col("l_discount") * 500.0, 0).alias("identity"),
+        _big("l_quantity").alias("length"),
+    )
+
+
 def doc_path(spark: SparkSession, sf: str) -> DataFrame:
     """V4 on the documents: the path of a user on the document of the same number."""
     events = table(spark, sf, "events")
@@ -524,6 +534,11 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         """SELECT 'element'||l_orderkey AS query, 'element'||(l_orderkey + 5*(1 + 2*(l_suppkey % 3))) AS subject, round(100.0 - l_discount*500.0) AS identity,
       CAST(l_quantity AS BIGINT)*4 AS length, l_extendedprice AS bits FROM lineitem WHERE (l_orderkey // 5) % 2 = 0""",
     ),
+    "flank_genes": (
+        [],
+        """SELECT 'element'||l_orderkey||'_'||CASE WHEN l_suppkey % 2 = 0 THEN 'left' ELSE 'right' END AS query, round(100.0 - l_discount*500.0) AS identity,
+      CAST(l_quantity AS BIGINT) AS length FROM lineitem""",
+    ),
     "doc_path": (
         [],
         """SELECT 'doc'||(user_id % (SELECT count(*) FROM documents)) AS seq_id, event_id + 1 AS position,
