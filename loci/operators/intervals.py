@@ -53,6 +53,8 @@ def carry_over_tiles(
 def _local_islands(points: DataFrame, by: Sequence[str], gap: int, tile: int, previous_only: bool) -> DataFrame:
     """Add ``_tile`` and ``_local``, the start of the row's island as its own tile sees it."""
     tiled = points.withColumn("_tile", _tile("start", tile))
+    # what the join of summaries with rows asks for anyway; said here, it holds on both its sides
+    tiled = tiled.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, "_tile"]))
     w = Window.partitionBy(*by, "_tile").orderBy("start")
     before = F.lag("end").over(w) if previous_only else F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = tiled.withColumn("_before", before)
@@ -71,7 +73,7 @@ def _joined_islands(local: DataFrame, by: Sequence[str], gap: int, previous_only
     open are two running values over the summaries. Rows keep the partitions
     of their tiles.
     """
-    end = F.max_by("_last_end", "start") if previous_only else F.max("end")
+    end = _closing_end(local, by, previous_only)
     tiles = local.groupBy(*by, "_tile").agg(F.min("_local").alias("_first"), F.max("_local").alias("_last"), end.alias("_end"))
     earlier = Window.partitionBy(*by).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.last("_end").over(earlier) if previous_only else F.max("_end").over(earlier)
@@ -86,6 +88,17 @@ def _joined_islands(local: DataFrame, by: Sequence[str], gap: int, previous_only
     return joined.withColumn("island", F.when(joins(F.col("_local")), F.col("_open")).otherwise(F.col("_local"))).drop("_first", "_reach", "_open")
 
 
+def _closing_end(local: DataFrame, by: Sequence[str], previous_only: bool) -> Column:
+    """The end that is handed on: the furthest, or that of the last row.
+
+    Taken out of a structure of all columns: both sides of the join of summaries
+    with rows then read the same ones, so Spark scans and shuffles them once.
+    """
+    field, lead = ("_last_end", ["start", "_last_end"]) if previous_only else ("end", ["end"])
+    rest = [c for c in local.columns if c not in {*by, "_tile", *lead}]
+    return F.max(F.struct(*lead, *rest))[field]
+
+
 def _islands(points: DataFrame, by: Sequence[str], gap: int, tile: int, previous_only: bool) -> DataFrame:
     """Add ``island`` (the start of its first row) to rows unique on (by, start).
 
@@ -97,7 +110,7 @@ def _islands(points: DataFrame, by: Sequence[str], gap: int, tile: int, previous
 
 
 def _island_rows(points: DataFrame, by: Sequence[str], gap: int, tile: int, previous_only: bool, **folds: Column) -> DataFrame:
-    """One row an island: ``start``, ``end`` (the furthest) and ``folds``, aggregates that may be applied twice.
+    """One row an island: ``start``, ``end`` (the furthest, or that of the last row) and ``folds``, aggregates that may be applied twice.
 
     Each tile folds its islands before anything crosses tiles.
     """
@@ -106,7 +119,8 @@ def _island_rows(points: DataFrame, by: Sequence[str], gap: int, tile: int, prev
         F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("end", "start").alias("_last_end"), *[f.alias(c) for c, f in folds.items()]
     )
     joined = _joined_islands(local, by, gap, previous_only)
-    return joined.groupBy(*by, "island").agg(F.max("end").alias("end"), *[f.alias(c) for c, f in folds.items()]).withColumnRenamed("island", "start")
+    end = _closing_end(local, by, previous_only).alias("end")
+    return joined.groupBy(*by, "island").agg(end, *[f.alias(c) for c, f in folds.items()]).withColumnRenamed("island", "start")
 
 
 # --------------------------------------------------------------------------
@@ -337,7 +351,7 @@ def chain_signals(
         out.select(
             *keys,
             "start",
-            F.col("_l")["end"].alias("end"),
+            "end",
             F.col("_l")["score"].alias("score"),
             "n",
             F.exp("log_evalue").alias("evalue"),
