@@ -15,9 +15,10 @@ from .intervals import merge_intervals
 CHUNK_SIZE = 50_000
 CHUNK_PAD = 100
 
-# Ambiguous runs at the ends, with up to ten bases between two of them.
-GAP_HEAD = "(?i)^N+[ATCG]{0,10}?N+?"
-GAP_TAIL = "(?i)N+?[ATCG]{0,10}?N+$"
+# Ambiguous runs at the ends, with up to ten bases between two of them; the tail is read backwards.
+# A run is never given back, so long masked stretches are read once.
+GAP_HEAD = "(?i)^(?:N++[ATCG]{1,10}N|NN++)"
+GAP_TAIL = "(?i)^(?:N++[ATCG]{1,10}N++|NN++)"
 
 
 def _bound(value: Column, body) -> Column:
@@ -200,7 +201,7 @@ def filter_ambiguous(
 def trim_terminal_gaps(t: DataFrame, max_ambiguous: float = 0.30, min_length: int = 300) -> DataFrame:
     """Strip ambiguous ends, move the coordinates, keep what is long and clean enough."""
     head = F.length(F.regexp_extract("residues", GAP_HEAD, 0))
-    tail = F.length(F.regexp_extract("residues", GAP_TAIL, 0))
+    tail = F.length(F.regexp_extract(F.reverse("residues"), GAP_TAIL, 0))
     rest = F.greatest(F.length("residues") - F.col("_h") - F.col("_t"), F.lit(0))
     return (
         t.withColumns({"_h": head, "_t": tail})
@@ -406,6 +407,24 @@ def pair_identity(t: DataFrame, left: str = "left", right: str = "right") -> Dat
     )
 
 
+def match_identity(t: DataFrame, match: str = "match", model_length: str = "model_length", start: str = "start", end: str = "end") -> DataFrame:
+    """Identity and coverage of a hit to a model, from the line between the two rows of its alignment.
+
+    A letter in the line marks an equal column; both measures are shares of the
+    model's length, in percent with two decimals. A model without length gives
+    NULLs; a missing line counts as no equal column.
+    """
+    equal = F.regexp_count(F.coalesce(match, F.lit("")), F.lit("[A-Za-z]")).cast("bigint")
+    length = F.when(F.col(model_length) > 0, F.col(model_length))
+    return t.withColumns(
+        {
+            "equal": equal,
+            "identity": round_half_up(100.0 * equal / length, 2),
+            "coverage": round_half_up(100.0 * (F.col(end) - F.col(start) + 1) / length, 2),
+        }
+    )
+
+
 def substitution_distance(t: DataFrame, rate: float = 1e-8, left: str = "left", right: str = "right") -> DataFrame:
     """Two-parameter distance, transition:transversion ratio and age of an aligned pair.
 

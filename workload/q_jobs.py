@@ -12,6 +12,7 @@ from . import views as v
 from .q_families import SIMILARITY_SQL, pair_hits
 from .q_hierarchy import BEST_SQL, DOC_FLANKS_SQL, MERGED_DOMAINS_SQL, RETRO, RULES_SQL, SCORE_SQL, doc_flanks, natural
 from .q_intervals import MERGE_SQL, TAXONOMY_SQL
+from .q_sequences import FLANK_REPEATS_SQL, GAP_MEASURES, GAP_STATS_SQL
 from .registry import query
 
 SIZE = 1000
@@ -440,6 +441,41 @@ def _(spark, sf):
     return plans.recombination(t, gap="e")["per_family"].select("family", "members", "total_gap_length")
 
 
+USED_SQL = """, src AS (SELECT 'doc' || doc_id AS seq_id, lang || '_' || source AS family, text AS residues FROM documents),
+    used AS (SELECT * FROM src WHERE family IN (SELECT family FROM src GROUP BY family HAVING count(*) >= 2))
+"""
+
+
+def recombined(spark, sf):
+    d = v.table(spark, sf, "documents")
+    t = d.select(F.concat(F.lit("doc"), "doc_id").alias("seq_id"), F.concat_ws("_", "lang", "source").alias("family"), F.col("text").alias("residues"))
+    return plans.recombination(t, gap="e", min_gap=2)
+
+
+@query("C11_recombination_sequences", ["sequences"], GAP_STATS_SQL + USED_SQL + "SELECT f.*, family FROM full_stats f JOIN used USING (seq_id)")
+def _(spark, sf):
+    return recombined(spark, sf)["per_sequence"]
+
+
+@query(
+    "C11_recombination_families",
+    ["sequences"],
+    GAP_STATS_SQL
+    + USED_SQL
+    + """SELECT family, count(*) AS members, CAST(sum(sum_run) AS BIGINT) AS total_gap_length, """
+    + ", ".join(f"round(avg({m}) + 1e-9, 4) AS {m}_mean, round(stddev_samp({m}) + 1e-9, 4) AS {m}_sd" for m in GAP_MEASURES)
+    + " FROM full_stats JOIN used USING (seq_id) GROUP BY family",
+)
+def _(spark, sf):
+    rounded = [F.round(F.col(f"{m}_{x}") + 1e-9, 4).alias(f"{m}_{x}") for m in GAP_MEASURES for x in ("mean", "sd")]
+    return recombined(spark, sf)["per_family"].select("family", "members", "total_gap_length", *rounded)
+
+
+@query("C11_recombination_repeats", ["sequences"], FLANK_REPEATS_SQL + USED_SQL + "SELECT r.*, family FROM flank_repeats r JOIN used USING (seq_id)")
+def _(spark, sf):
+    return recombined(spark, sf)["repeats"]
+
+
 @query(
     "C12_transfer_annotations",
     ["norm_hits", "query_lengths"],

@@ -233,17 +233,19 @@ def _(spark, sf):
     return t.select("family", "members", "total_gap_length", *rounded)
 
 
-@query(
-    "F8_flank_repeats",
-    ["sequences"],
+FLANK_REPEATS_SQL = (
     RUNS_SQL.format(gap="e")
     + """, flank AS (SELECT r.*, substring(s.residues, r."start" - 20, 20) AS up, substring(s.residues, r."end" + 1, 20) AS down
       FROM runs r JOIN sequences s USING (seq_id) WHERE run_length >= 2 AND r."start" - 20 >= 1 AND r."end" + 20 <= length(s.residues)),
     cand AS (SELECT f.*, n, off, pos, substring(up, 21 - off - n, n) AS u, substring(down, pos, n) AS d FROM flank f,
       (SELECT unnest(range(3, 21)) AS n), (SELECT unnest([0, 1, 2]) AS off), (SELECT unnest([1, 2]) AS pos) WHERE 21 - off - n >= 1 AND pos + n - 1 <= 20),
     good AS (SELECT *, row_number() OVER (PARTITION BY seq_id, "start" ORDER BY n DESC, off, pos) AS rn FROM cand WHERE u = d AND NOT contains(u, 'e'))
-    SELECT seq_id, run_length, "start", "end", u AS repeat, n AS repeat_length, off AS before_gap, pos AS after_gap FROM good WHERE rn = 1""",
+    , flank_repeats AS (SELECT seq_id, run_length, "start", "end", u AS repeat, n AS repeat_length, off AS before_gap, pos AS after_gap FROM good WHERE rn = 1)
+"""
 )
+
+
+@query("F8_flank_repeats", ["sequences"], FLANK_REPEATS_SQL + "SELECT * FROM flank_repeats")
 def _(spark, sf):
     return sq.flank_repeats(v.sequences(spark, sf), gap="e", min_gap=2)
 
@@ -260,6 +262,24 @@ def _(spark, sf):
     return sq.pair_identity(v.aligned_pairs(spark, sf)).drop("left", "right")
 
 
+@query(
+    "A15_match_identity",
+    ["aligned_pairs"],
+    """, sized AS (SELECT pair_id, "left", "right", length("left") AS n, 1 + length("left") // 3 AS s FROM aligned_pairs),
+    cols AS (SELECT pair_id, unnest(string_split("left", '')) AS a, unnest(string_split("right", '')) AS b FROM sized WHERE n > 0),
+    sums AS (SELECT pair_id, CAST(sum(CASE WHEN a = b AND regexp_matches(a, '[A-Za-z]') THEN 1 ELSE 0 END) AS BIGINT) AS equal FROM cols GROUP BY pair_id)
+    SELECT pair_id, coalesce(equal, 0) AS equal, CASE WHEN n > 0 THEN floor(100.0::DOUBLE * coalesce(equal, 0) / n * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE END AS identity,
+      CASE WHEN n > 0 THEN floor(100.0::DOUBLE * (n - s + 1) / n * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE END AS coverage FROM sized LEFT JOIN sums USING (pair_id)""",
+)
+def _(spark, sf):
+    """Match lines made from the aligned pairs: the letter where both are equal, a blank elsewhere."""
+    t = v.aligned_pairs(spark, sf)
+    line = F.array_join(F.zip_with(F.split("left", ""), F.split("right", ""), lambda a, b: F.when(a == b, a).otherwise(" ")), "")
+    n = F.length("left").cast("bigint")
+    hits = t.select("pair_id", line.alias("match"), n.alias("model_length"), (1 + F.floor(n / 3)).alias("start"), n.alias("end"))
+    return sq.match_identity(hits).select("pair_id", "equal", "identity", "coverage")
+
+
 AGES_SQL = """, cols AS (SELECT pair_id, unnest(string_split(translate("left", 'acgt', 'ACGT'), '')) AS a, unnest(string_split(translate("right", 'acgt', 'ACGT'), '')) AS b FROM aligned_pairs),
     known AS (SELECT pair_id, a, b, (a IN ('A','G') AND b IN ('A','G')) OR (a IN ('C','T') AND b IN ('C','T')) AS near FROM cols
       WHERE a IN ('A','C','G','T') AND b IN ('A','C','G','T')),
