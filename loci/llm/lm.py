@@ -1,30 +1,33 @@
 """LM scoring with a hierarchical Pitman-Yor model (operator 5).
 
-Three kinds of restaurants share parents. Every document is a context of its
-own, whose restaurant orders new tables from the corpus; the restaurant of the
-corpus has the training tokens as customers and orders new tables from a
-spelling model; that has one restaurant for every context of ORDER bytes,
-whose tables are customers of the context shorter by one byte, down to the
-empty context over a uniform choice of bytes. Seating is sampled by Gibbs
-sweeps, all customers of one dish at a time, each in turn opening a table or
-joining one; predictive probabilities are averaged over the sweeps after
-burn-in. A document's restaurant fills while the document is read, one table
-for each of its words.
+Four kinds of restaurants share parents. Every document is a context of its
+own, whose restaurant fills while the document is read, one table for each of
+its words, and orders new tables from the restaurant of the preceding word's
+ending: there is one for every two bytes that a word can end with, and one for
+the start of a text. These have the training tokens as customers. Their tables
+are the customers of the restaurant of the corpus, which orders from a spelling
+model; that has one restaurant for every context of ORDER bytes, whose tables
+are customers of the context shorter by one byte, down to the empty context
+over a uniform choice of bytes. Seating is sampled by Gibbs sweeps, all
+customers of one dish at a time, each in turn opening a table or joining one;
+predictive probabilities are averaged over the sweeps after burn-in.
 
 Words meet counts by chunks of documents. Each chunk asks for its own distinct
-words only, dealt into shards of the vocabulary, and gets back how often each
-was seen; so no vocabulary is held whole anywhere, and what is shuffled is far
-less than a row a token. Seating depends on a word's count and on its hash
-alone, and so a chunk finds the tables that the sweeps have sampled again. The spelling model goes
-to the driver and is broadcast. It has contexts of ORDER bytes at every size of
-the input, so its memory grows with the number of different spellings.
+pairs of a word and an ending before it, dealt into shards of the vocabulary,
+and gets back the probability of each, so no vocabulary is held whole anywhere.
+A word is one row with the counts and tables of its endings, 65536 at most;
+customers and tables of all words after an ending are two vectors of that
+length, the only state of these restaurants that is sent around. The spelling
+model goes to the driver and is broadcast. It has contexts of ORDER bytes at
+every size of the input, so its memory grows with the number of different
+spellings.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +44,7 @@ from .common import id_remainder, text_or_empty
 LETTERS_PER_CHUNK = 6_000_000  # text that one task holds, besides a single longer document
 SWEEPS, BURN_IN = 4, 2
 WORD_STRENGTH = 10.0
+ENDINGS, ENDING_STRENGTH = 1 << 16, 20.0  # of preceding words: their last two bytes
 SPELL_DISCOUNT, SPELL_STRENGTH = 0.5, 2.0
 DOCUMENT_DISCOUNT, DOCUMENT_STRENGTH = 0.6, 300.0
 ORDER = 4  # bytes of the longest spelling contexts
@@ -225,39 +229,71 @@ def codes_of(spelled: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Sampled sweeps: spelling restaurants, pull and weight of new tables; counts stay distributed."""
+    """Sampled sweeps of the restaurants; what they say of single words stays distributed.
 
-    samples: list[tuple[dict, float, float, int]]  # spelling state, factor of the pull, weight of new tables, step
-    discount: float
+    A sample is the spelling state, the weight of new tables of the corpus, and
+    for each ending the weight of its new tables; ``seated`` has each ending's
+    customers and strength.
+    """
+
+    samples: list[tuple[dict, float, np.ndarray, int]]
+    discounts: tuple[float, float]  # of the endings and of the corpus
+    seated: np.ndarray
     tokens: int
     distinct: int
 
-    def log_p(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
-        """log10 of the predictive probability of each word, averaged over the samples."""
+    def unseen(self, words: list[bytes]) -> np.ndarray:
+        """Probability in the corpus of words that have no customer, a row a sample."""
         if not words:
-            return np.zeros(0)
-        p, seed = np.zeros(len(words)), seeds_of(words)
+            return np.zeros((len(self.samples), 0))
         first = Spelling.restored(self.samples[0][0])
         codes, lengths = codes_of(words, first.order)
         found = first.find(codes)
-        for state, factor, weight, step in self.samples:
-            spelled = 10.0 ** _per_word(Spelling.restored(state).of(codes, *found), lengths)
-            t = seat(c, factor * spelled, self.discount, seed, 1000 + step)
-            p += (c - self.discount * t) / (WORD_STRENGTH + self.tokens) + weight * spelled
-        return np.log10(np.maximum(p / len(self.samples), 1e-300))
+        spelled = [Spelling.restored(state).of(codes, *found) for state, *_ in self.samples]
+        return np.array([w * 10.0 ** _per_word(p, lengths) for p, (_, w, _, _) in zip(spelled, self.samples)])
 
 
 def seeds_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def by_shard(words: set[bytes], shards: int) -> dict[int, list[bytes]]:
-    """Words in order, by shard of the vocabulary; the same wherever the same words are dealt."""
-    out: list[list[bytes]] = [[] for _ in range(shards)]
-    crc = zlib.crc32
-    for w in sorted(words):
-        out[crc(w) % shards].append(w)
-    return {i: w for i, w in enumerate(out) if w}
+def endings(words: list[bytes]) -> np.ndarray:
+    """The last two bytes of each word as a number; 0 for the end of a text, behind which the next one starts."""
+    return np.fromiter((int.from_bytes(w[-2:], "big") for w in words), np.int64, len(words))
+
+
+@dataclass
+class Read:
+    """Texts as numbers of words, in an order that depends on the words alone."""
+
+    words: list[bytes]  # by shard, then by spelling
+    first: np.ndarray  # place of each shard's first word, and the number of words
+    pairs: np.ndarray  # word * ENDINGS + ending before it, distinct, in order
+    at: np.ndarray  # word of each token
+    pair: np.ndarray  # place of each token's pair
+    lengths: np.ndarray  # tokens of each text
+
+    @classmethod
+    def of(cls, texts: list[str], shards: int) -> Read:
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        at, lengths = [], []
+        for text in texts:
+            before = len(at)
+            at.extend(map(ids.__getitem__, tokens(text)))
+            at.append(ids[END])
+            lengths.append(len(at) - before)
+        words = list(ids)
+        shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = order[np.argsort(shard[order], kind="stable")]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        words, number = [words[i] for i in order], place[np.array(at, np.int64)]
+        before = np.r_[0, endings(words)[number[:-1]]]
+        pairs, pair = np.unique(number * ENDINGS + before, return_inverse=True)
+        first = np.searchsorted(shard[order], np.arange(shards + 1))
+        return cls(words, first, pairs, number, pair, np.array(lengths, np.int64))
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, held_out: int, modulus: int) -> tuple[DataFrame, int]:
@@ -270,59 +306,103 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, held_out: int, modulus:
 
 
 def chunk_words(rows: DataFrame, shards: int) -> DataFrame:
-    """(shard, chunk, words, n): a chunk's distinct words in order, joined by spaces, and their training counts."""
+    """What a chunk asks of a shard: its distinct words in order, joined by spaces, for each the number of endings
+    before it, these endings, and the training count of each pair."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        learn, rest, texts = Counter(), set(), 0
-        for text, held in zip(pdf["text"], pdf["held_out"]):
-            if held:
-                rest.update(tokens(text))
-            else:
-                learn.update(tokens(text))
-                texts += 1
-        learn[END] = texts
-        parts = by_shard(rest | learn.keys(), shards)
+        got = Read.of(pdf["text"].tolist(), shards)
+        learn = np.repeat(~pdf["held_out"].to_numpy(bool), got.lengths)
+        n = np.bincount(got.pair[learn], minlength=len(got.pairs)).astype(np.int32)
+        ending, word = (got.pairs % ENDINGS).astype(np.uint16), got.pairs // ENDINGS
+        sizes = np.bincount(word, minlength=len(got.words)).astype(np.int32)
+        cut = np.searchsorted(word, got.first)
+        asked = [(s, a, b, x, y) for s, (a, b, x, y) in enumerate(zip(got.first, got.first[1:], cut, cut[1:])) if b > a]
         return pd.DataFrame({
-            "shard": list(parts), "chunk": pdf["chunk"].iloc[0],
-            "words": [b" ".join(p) for p in parts.values()],
-            "n": [np.fromiter((learn[w] for w in p), np.int32, len(p)).tobytes() for p in parts.values()],
+            "shard": [s for s, *_ in asked], "chunk": pdf["chunk"].iloc[0],
+            "words": [b" ".join(got.words[a:b]) for _, a, b, _, _ in asked],
+            "sizes": [sizes[a:b].tobytes() for _, a, b, _, _ in asked],
+            "endings": [ending[x:y].tobytes() for *_, x, y in asked],
+            "n": [n[x:y].tobytes() for *_, x, y in asked],
         })
 
-    return rows.groupBy("chunk").applyInPandas(count, "shard int, chunk int, words binary, n binary")
-
+    return rows.groupBy("chunk").applyInPandas(count, "shard int, chunk int, words binary, sizes binary, endings binary, n binary")
 
-def _split(pdf: pd.DataFrame) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    for words, n in zip(pdf["words"], pdf["n"]):
-        yield words.split(b" "), np.frombuffer(n, np.int32)
 
+def _joined(column: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
 
-def _total(pdf: pd.DataFrame) -> dict[bytes, int]:
-    total: dict[bytes, int] = {}
-    for words, n in _split(pdf):
-        for w, k in zip(words, n.tolist()):
-            total[w] = total.get(w, 0) + k
-    return total
 
+class Asked:
+    """All that chunks ask of one shard: its words, the distinct pairs with their training counts, and who asked."""
 
-def vocabulary(wanted: DataFrame) -> DataFrame:
-    """(word, c, t): words of the training rows with their counts, each with one table."""
+    def __init__(self, pdf: pd.DataFrame):
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        self.of_word = [np.fromiter(map(ids.__getitem__, w.split(b" ")), np.int64) for w in pdf["words"]]
+        word = np.concatenate(self.of_word)
+        code = np.repeat(word, _joined(pdf["sizes"], np.int32)) * ENDINGS + _joined(pdf["endings"], np.uint16)
+        self.ids, self.words = ids, list(ids)
+        self.pairs, of_pair = np.unique(code, return_inverse=True)
+        self.n = np.bincount(of_pair, weights=_joined(pdf["n"], np.int32), minlength=len(self.pairs)).astype(np.int64)
+        self.word = self.pairs // ENDINGS
+        self.c = np.bincount(self.word, weights=self.n, minlength=len(self.words)).astype(np.int64)
+        self.of_pair = np.split(of_pair, np.cumsum([len(n) // 4 for n in pdf["n"]])[:-1])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = {w: c for w, c in _total(pdf).items() if c}
-        return pd.DataFrame({"word": list(total), "c": list(total.values()), "t": 1})
 
-    return wanted.groupBy("shard").applyInPandas(run, "word binary, c long, t long")
+VOCABULARY = "shard int, word binary, c long, endings binary, k binary, tables binary, customers long, t long, sum binary, p binary"
 
 
-def answered(wanted: DataFrame) -> DataFrame:
-    """(chunk, shard, c): counts over all chunks, in the order in which a chunk asked."""
+def vocabulary(wanted: DataFrame) -> DataFrame:
+    """Words of the training rows: count, the endings before them with their counts, each pair with one table, and
+    these tables as customers at one table of the corpus; nothing sampled yet."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = _total(pdf)
-        c = [np.fromiter(map(total.__getitem__, words), np.int64, len(words)).tobytes() for words, _ in _split(pdf)]
-        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "c": c})
+        got = Asked(pdf)
+        seen = got.n > 0
+        pairs, n, word = got.pairs[seen], got.n[seen], got.word[seen]
+        own, first, size = np.unique(word, return_index=True, return_counts=True)
+        ending, ones = (pairs % ENDINGS).astype(np.uint16), np.ones(len(pairs), np.int32)
+        cut = list(zip(first, first + size))
+        return pd.DataFrame({
+            "shard": int(pdf["shard"].iloc[0]), "word": [got.words[w] for w in own], "c": got.c[own],
+            "endings": [ending[a:b].tobytes() for a, b in cut], "k": [n[a:b].tobytes() for a, b in cut],
+            "tables": [ones[a:b].tobytes() for a, b in cut], "customers": size, "t": 1,
+            "sum": [bytes(4 * (b - a)) for a, b in cut], "p": b"",
+        })
 
-    return wanted.groupBy("shard").applyInPandas(run, "chunk int, shard int, c binary")
+    return wanted.groupBy("shard").applyInPandas(run, VOCABULARY)
+
+
+def answered(wanted: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """(chunk, shard, c, p): count of each word and log10 probability of each pair, in the order in which a chunk asked."""
+    shared = wanted.sparkSession.sparkContext.broadcast(vars(model))
+
+    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"chunk": [], "shard": [], "c": [], "p": []})
+        model, got = Model(**shared.value), Asked(pdf)
+        size = len(model.samples)
+        own = np.fromiter(map(got.ids.__getitem__, known["word"]), np.int64, len(known))
+        parent = np.zeros((size, len(got.words)))
+        parent[:, own] = _joined(known["p"], np.float64).reshape(-1, size).T
+        new = np.flatnonzero(got.c == 0)
+        parent[:, new] = model.unseen([got.words[i] for i in new])
+        # pairs with customers are those of the vocabulary
+        code = np.repeat(own, known["customers_of"].to_numpy(np.int64)) * ENDINGS + _joined(known["endings"], np.uint16)
+        tables = np.zeros(len(got.pairs))
+        tables[np.searchsorted(got.pairs, code)] = _joined(known["sum"], np.int32)
+        ending = got.pairs % ENDINGS
+        p = (size * got.n - model.discounts[0] * tables) / model.seated[ending]
+        for (_, _, back, _), above in zip(model.samples, parent):
+            p += back[ending] * above[got.word]
+        log_p = np.log10(np.maximum(p / size, 1e-300)).astype(np.float32)
+        return pd.DataFrame({
+            "chunk": pdf["chunk"], "shard": pdf["shard"],
+            "c": [got.c[w].tobytes() for w in got.of_word], "p": [log_p[x].tobytes() for x in got.of_pair],
+        })
+
+    known = words.select("shard", "word", "endings", "sum", "p", (F.octet_length("endings") / 2).cast("long").alias("customers_of"))
+    return wanted.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(run, "chunk int, shard int, c binary, p binary")
 
 
 def _customers(words: DataFrame, order: int) -> DataFrame:
@@ -338,44 +418,108 @@ def _customers(words: DataFrame, order: int) -> DataFrame:
     return words.select("word", "t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def fit(words: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Model:
-    """Sample the seating of a vocabulary (word, c, t)."""
+def _by_ending(words: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Customers and tables of every ending, ENDINGS rows at most, and how many pairs have one and two customers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, t, few = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64), np.zeros((2, ENDINGS), np.int64)
+        for b in batches:
+            at, k, own = (_joined(b.column(i).to_pylist(), kind) for i, kind in enumerate((np.uint16, np.int64, np.int32)))
+            n += np.bincount(at, weights=k, minlength=ENDINGS).astype(np.int64)
+            t += np.bincount(at, weights=own, minlength=ENDINGS).astype(np.int64)
+            few += [np.bincount(at[k == i], minlength=ENDINGS) for i in (1, 2)]
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (np.arange(ENDINGS), n, t, *few)], ["ending", "n", "t", "one", "two"])
+
+    parts = words.select("endings", "k", "tables").mapInArrow(run, "ending long, n long, t long, one long, two long")
+    found = parts.groupBy("ending").agg(*[F.sum(c).alias(c) for c in ("n", "t", "one", "two")]).toArrow()
+    at, n, t, one, two = (found.column(c).to_numpy().astype(np.int64) for c in ("ending", "n", "t", "one", "two"))
+    customers, tables = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+    customers[at], tables[at] = n, t
+    return customers, tables, int(one.sum()), int(two.sum())
+
+
+def _discount(once: int, twice: int) -> float:
+    """The usual estimate from dishes with one customer and with two."""
+    return min(0.95, max(0.05, (once + 1) / (once + 2 * twice + 2)))
+
+
+def fit(words: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[Model, DataFrame]:
+    """Sample the seating of a vocabulary; the model and the vocabulary with what was sampled, in the shared folder."""
     spark = words.sparkSession
     words = materialize(words)
-    once, twice = F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))
-    n, v, n1, n2 = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), once, twice).first()
-    discount = min(0.95, max(0.05, (n1 + 1) / (n1 + 2 * n2 + 2)))  # the usual estimate from words seen once and twice
+    once, twice = F.count(F.when(F.col("customers") == 1, 1)), F.count(F.when(F.col("customers") == 2, 1))
+    n, v, m, n1, n2 = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("customers"), F.lit(0)), once, twice).first()
+    seated, tables, k1, k2 = _by_ending(words)
+    seated = seated + ENDING_STRENGTH
+    d1, d0 = _discount(k1, k2), _discount(n1, n2)
     codes = materialize(_customers(words, ORDER))
-    spelling, total, samples = None, v, []
+    spelling, samples = None, []
+    total = v  # tables of the corpus; m are its customers
     for step in range(sweeps):
         found = (_customers(words, ORDER) if step else codes).orderBy("code").toArrow()
         spelling = spelling or Spelling(found.column("code").to_numpy(), ORDER)
         spelling.sweep(found.column("n").to_numpy(), step)
-        shared = spark.sparkContext.broadcast(spelling.state())
-        factor = WORD_STRENGTH + discount * total
+        pull1 = ENDING_STRENGTH + d1 * tables
+        shared = spark.sparkContext.broadcast((spelling.state(), pull1))
+        pull0, customers0 = WORD_STRENGTH + d0 * total, WORD_STRENGTH + m
 
-        def sweep(batches: Iterator[pa.RecordBatch], shared=shared, factor=factor, step=step) -> Iterator[pa.RecordBatch]:
-            spelling = Spelling.restored(shared.value)
+        def sweep(batches: Iterator[pa.RecordBatch], shared=shared, pull0=pull0, customers0=customers0, step=step) -> Iterator[pa.RecordBatch]:
+            state, pull1 = shared.value
+            spelling = Spelling.restored(state)
             for b in batches:
-                spelled, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-                t = seat(c, factor * 10.0 ** spelling.words(spelled), discount, seeds_of(spelled), 1000 + step)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t)], ["word", "c", "t"])
-
-        before, words = words, materialize(words.mapInArrow(sweep, "word binary, c long, t long"))
+                if not b.num_rows:
+                    continue
+                word = b.column("word").to_pylist()
+                at, k = _joined(b.column("endings").to_pylist(), np.uint16), _joined(b.column("k").to_pylist(), np.int64)
+                size = np.fromiter(map(len, b.column("endings").to_pylist()), np.int64, len(word)) // 2
+                c, t = (b.column(x).to_numpy(zero_copy_only=False) for x in ("customers", "t"))
+                spelled, seeds = 10.0 ** spelling.words(word), seeds_of(word)
+                parent = (c - d0 * t + pull0 * spelled) / customers0
+                own = (np.repeat(seeds, size) ^ at) * np.uint64(0x2545F4914F6CDD1D)
+                tables = seat(k, pull1[at] * np.repeat(parent, size), d1, own, 2000 + step).astype(np.int32)
+                first = np.cumsum(size) - size
+                c = np.add.reduceat(tables.astype(np.int64), first)
+                t = seat(c, pull0 * spelled, d0, seeds, 1000 + step)
+                cut, raw = list(zip(4 * first, 4 * (first + size))), tables.tobytes()
+                done = {"tables": pa.array([raw[x:y] for x, y in cut], pa.binary()), "customers": pa.array(c), "t": pa.array(t)}
+                yield pa.RecordBatch.from_arrays([done.get(x, b.column(x)) for x in b.schema.names], b.schema.names)
+
+        before, words = words, materialize(words.mapInArrow(sweep, VOCABULARY))
         discard(before)
-        shared.destroy()
-        total = words.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+        _, tables, _, _ = _by_ending(words)
+        total, m = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("customers"), F.lit(0))).first()
         if step >= burn_in:
-            samples.append((spelling.state(), factor, (WORD_STRENGTH + discount * total) / (WORD_STRENGTH + n), step))
-    discard(words, codes)
-    return Model(samples, discount, n, v)
+            weight, customers0 = (WORD_STRENGTH + d0 * total) / (WORD_STRENGTH + m), WORD_STRENGTH + m
+            samples.append((spelling.state(), weight, (ENDING_STRENGTH + d1 * tables) / seated, step))
+
+            def keep(batches: Iterator[pa.RecordBatch], shared=shared, weight=weight, customers0=customers0) -> Iterator[pa.RecordBatch]:
+                spelling = Spelling.restored(shared.value[0])
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    c, t = (b.column(x).to_numpy(zero_copy_only=False) for x in ("customers", "t"))
+                    p = (c - d0 * t) / customers0 + weight * 10.0 ** spelling.words(b.column("word").to_pylist())
+                    raw = zip(b.column("p").to_pylist(), p)
+                    both = zip(b.column("sum").to_pylist(), b.column("tables").to_pylist())
+                    done = {
+                        "p": pa.array([old + x.tobytes() for old, x in raw], pa.binary()),
+                        "sum": pa.array([(np.frombuffer(x, np.int32) + np.frombuffer(y, np.int32)).tobytes() for x, y in both], pa.binary()),
+                    }
+                    yield pa.RecordBatch.from_arrays([done.get(x, b.column(x)) for x in b.schema.names], b.schema.names)
+
+            before, words = words, materialize(words.mapInArrow(keep, VOCABULARY))
+            discard(before)
+        shared.destroy()
+    discard(codes)
+    return Model(samples, (d1, d0), seated, n, v), words
 
 
 def in_document(at: np.ndarray, lengths: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Predictive probability of each token in its document's restaurant, given the tokens before it.
 
     ``at`` numbers the words of all documents' tokens in order, ``parent`` has
-    their probabilities in the corpus. Each word seen has one table.
+    their probabilities behind the words before them. Each word seen has one table.
     """
     d, s = DOCUMENT_DISCOUNT, DOCUMENT_STRENGTH
     document = np.repeat(np.arange(len(lengths)), lengths)
@@ -403,25 +547,20 @@ def score(docs: DataFrame, held_out: int = 0, modulus: int = 10, id_col: str = "
     """
     rows, shards = chunked(docs, id_col, text_col, held_out, modulus)
     wanted = materialize(chunk_words(rows, shards))
-    model = fit(vocabulary(wanted))
+    model, words = fit(vocabulary(wanted))
+    found = answered(wanted, words, model)
     n, v = model.tokens, model.distinct
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts = [[*tokens(t), END] for t in part["text"]]
-        mine = by_shard({w for t in texts for w in t} | {END}, shards)
-        counts = dict(zip(found["shard"], found["c"]))
-        words = [w for s in mine for w in mine[s]]
-        c = np.concatenate([np.frombuffer(counts[s], np.int64) for s in mine])
-        where = {w: i for i, w in enumerate(words)}
-        log_p = Model(**shared.value).log_p(words, c)
+        got = Read.of(part["text"].tolist(), shards)
+        found = found.sort_values("shard")  # as the words are
+        c, log_p = _joined(found["c"], np.int64), _joined(found["p"], np.float32)
         log_base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        at = np.fromiter((where[w] for t in texts for w in t), np.int64, lengths.sum())
+        at, lengths = got.at, got.lengths
         first = np.cumsum(lengths) - lengths
         known, base = c[at] > 0, log_base[at]
-        own = np.log10(in_document(at, lengths, 10.0 ** log_p[at]))
+        own = np.log10(in_document(at, lengths, 10.0 ** log_p.astype(np.float64)[got.pair]))
         done = pd.DataFrame({
             "n_tokens": lengths, "n_known": np.add.reduceat(known.astype(np.int64), first),
             "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(own, first),
@@ -432,4 +571,4 @@ def score(docs: DataFrame, held_out: int = 0, modulus: int = 10, id_col: str = "
         })
 
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(answered(wanted).groupBy("chunk")).applyInPandas(run, schema)
+    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,16 +153,104 @@ def test_spelling_probabilities_sum_to_one():
         assert model.of(all_bytes, *model.find(all_bytes)).sum() == pytest.approx(1.0)
 
 
+def small_vocabulary(spark):
+    rows = [(0, f"text{i}", " ".join(f"word{(i * j) % 50}" for j in range(1, 12)), False) for i in range(40)]
+    rows = spark.createDataFrame(rows, "chunk int, id string, text string, held_out boolean")
+    return lm.vocabulary(lm.chunk_words(rows, 3))
+
+
 def test_spelling_contexts_are_as_long_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(lm, "MOST_CODES", 10, raising=False)  # a limit there was, far above the given tables
-    words = spark.createDataFrame([(f"word{i}".encode(), 1 + i % 3, 1) for i in range(50)], "word binary, c long, t long")
-    model = lm.fit(words, 2, 1)
+    model, _ = lm.fit(small_vocabulary(spark), 2, 1)
     assert [s[0]["order"] for s in model.samples] == [lm.ORDER]
 
 
 def test_two_sweeps_are_averaged_after_two_of_burn_in(spark):
-    words = spark.createDataFrame([(f"word{i}".encode(), 1 + i % 3, 1) for i in range(50)], "word binary, c long, t long")
-    assert [step for *_, step in lm.fit(words).samples] == [2, 3]
+    assert [step for *_, step in lm.fit(small_vocabulary(spark))[0].samples] == [2, 3]
+
+
+def test_words_are_read_in_one_order_and_behind_their_endings():
+    texts = ["The cat the  CAT", "", "a cat"]
+    got = lm.Read.of(texts, 4)
+    assert sorted(got.words) == [b"", b"a", b"cat", b"the"] and got.lengths.tolist() == [5, 1, 3]
+    assert [got.words[i] for i in got.at] == [b"the", b"cat", b"the", b"cat", b"", b"", b"a", b"cat", b""]
+    before = [0, "he", "at", "he", "at", 0, 0, "a", "at"]
+    before = [int.from_bytes(x.encode(), "big") if x else 0 for x in before]
+    assert (got.pairs[got.pair] % lm.ENDINGS).tolist() == before
+    assert (got.pairs[got.pair] // lm.ENDINGS).tolist() == got.at.tolist()
+    assert lm.Read.of(texts[::-1], 4).words == got.words and np.array_equal(lm.Read.of(texts[::-1], 4).pairs, got.pairs)
+
+
+def test_counts_of_a_vocabulary_against_a_loop(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "LETTERS_PER_CHUNK", 40_000)
+    rows, shards = lm.chunked(docs, "doc_id", "text", 0, 10)
+    assert shards > 3
+    want, tokens = Counter(), Counter()
+    for r in rows.collect():
+        if not r.held_out:
+            words = [b"", *lm.tokens(r.text), b""]
+            want.update((w, int.from_bytes(v[-2:], "big")) for v, w in zip(words, words[1:]))
+            tokens.update(words[1:])
+    found, counts = {}, {}
+    for r in lm.vocabulary(lm.chunk_words(rows, shards)).collect():
+        counts[bytes(r.word)] = r.c
+        ends, k = np.frombuffer(r.endings, np.uint16), np.frombuffer(r.k, np.int64)
+        assert r.customers == len(ends) and r.t == 1
+        found.update({(bytes(r.word), int(e)): int(n) for e, n in zip(ends, k)})
+    assert found == want and counts == tokens
+
+
+def test_lm_scores_against_a_loop_over_tokens(spark, docs, monkeypatch):
+    """Scores through chunks and shards against one model in plain Python with the same seating."""
+    monkeypatch.setattr(lm, "LETTERS_PER_CHUNK", 40_000)
+    kept = {}
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda words: kept.setdefault("fit", fit(words)))
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    model, words = kept["fit"]
+    table = {bytes(r.word): r for r in words.collect()}
+    size = len(model.samples)
+
+    def corpus(w, e):
+        p = 0.0
+        if w in table:
+            r = table[w]
+            above = np.frombuffer(r.p, np.float64)
+            at = np.flatnonzero(np.frombuffer(r.endings, np.uint16) == e)
+            if at.size:
+                k, t = np.frombuffer(r.k, np.int64)[at[0]], np.frombuffer(r.sum, np.int32)[at[0]]
+                p = (size * k - model.discounts[0] * t) / model.seated[e]
+        else:
+            above = model.unseen([w])[:, 0]
+        return (p + sum(s[2][e] * a for s, a in zip(model.samples, above))) / size
+
+    for r in docs.where("doc_id % 40 = 0").collect():
+        seen, total, last = {}, 0.0, b""
+        for i, w in enumerate([*lm.tokens(r.text or ""), b""]):
+            parent = corpus(w, int.from_bytes(last[-2:], "big"))
+            own = max(seen.get(w, 0) - lm.DOCUMENT_DISCOUNT, 0) + (lm.DOCUMENT_STRENGTH + lm.DOCUMENT_DISCOUNT * len(seen)) * parent
+            total += np.log10(own / (lm.DOCUMENT_STRENGTH + i))
+            seen[w], last = seen.get(w, 0) + 1, w
+        assert got[r.doc_id] == pytest.approx(total, rel=1e-5)
+    # behind one ending: what all words of the vocabulary share leaves room for others
+    for e in (0, int.from_bytes(b"he", "big"), 65535):
+        assert 0 < sum(corpus(w, e) for w in table) <= 1 + 1e-9
+
+
+def test_shuffled_words_score_lower(spark, docs):
+    """Texts without a word twice, so that only the order of words can tell."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(dict.fromkeys((r.text or "").lower().split())) for r in docs.collect()]
+    mixed = [" ".join(rng.permutation(t.split())) for t in texts]
+    held = [i for i in range(10_000) if remainder(i, 10) == 0][: len(texts)]
+    learn = [i for i in range(100_000, 110_000) if remainder(i, 10) != 0]
+    rows = [(learn[i], r.text) for i, r in enumerate(docs.collect())]
+    for name, part in (("plain", texts), ("mixed", mixed)):
+        table = spark.createDataFrame(rows + list(zip(held, part)), "doc_id long, text string")
+        got = lm.score(table).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s").first().s
+        if name == "plain":
+            plain = got
+    assert plain > got + 0.05
 
 
 def test_document_restaurant_against_a_loop():
