@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         links = materialize(small.where(F.col("u") != F.col("v")).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
