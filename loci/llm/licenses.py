@@ -17,59 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, text_or_empty
+from .license_texts import TEMPLATES
 
 OUTPUTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Wording of the licenses and of usual references to them. <<opt>>...<</opt>> may be
-# missing; <<any;n>> stands for at most n words of any kind.
-TEMPLATES = [
-    ("mit-reference", "<<opt>>this work is<</opt>> released under the <<opt>>terms of the<</opt>> mit license"),
-    ("mit-reference", "licensed under the <<opt>>terms of the<</opt>> mit license"),
-    ("apache-2.0-reference", "licensed under the apache license <<opt>>version<</opt>> 2.0"),
-    (
-        "gpl-3.0-reference",
-        "licensed under the <<opt>>terms of the<</opt>> gnu general public license "
-        "<<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 3",
-    ),
-    (
-        "gpl-2.0-reference",
-        "licensed under the <<opt>>terms of the<</opt>> gnu general public license "
-        "<<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 2",
-    ),
-    (
-        "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-        "associated documentation files the software to deal in the software without restriction including "
-        "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
-        "of the software and to permit persons to whom the software is furnished to do so subject to the following "
-        "conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> "
-        "shall be included in all copies or substantial portions of the software the software is provided as is "
-        "without warranty of any kind express or implied including but not limited to the warranties of "
-        "merchantability fitness for a particular purpose and noninfringement in no event shall <<any;10>> be liable "
-        "for any claim damages or other liability whether in an action of contract tort or otherwise arising from "
-        "out of or in connection with the software or the use or other dealings in the software",
-    ),
-    (
-        "isc-text",
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
-        "granted provided that the above copyright notice and this permission notice appear in all copies",
-    ),
-    (
-        "apache-2.0-header",
-        "licensed under the apache license version 2.0 the license you may not use <<any;6>> except in compliance "
-        "with the license <<opt>>you may obtain a copy of the license at <<any;12>><</opt>> unless required by "
-        "applicable law or agreed to in writing software distributed under the license is distributed on an as is "
-        "basis without warranties or conditions of any kind either express or implied",
-    ),
-    (
-        "gpl-header",
-        "<<any;6>> free software you can redistribute it and or modify it under the terms of the gnu general public "
-        "license as published by the free software foundation <<opt>>either<</opt>> version <<any;12>> any later version",
-    ),
-]
+#: Templates that a catalogue has at most; every task holds their automata.
+MOST_TEMPLATES = 5000
 
 #: A byte that belongs to no word as a space; the two halves of UTF-8 beyond ASCII belong to words.
 _SEPARATORS = bytes(
@@ -89,7 +45,7 @@ class Automaton:
         self.word: list[bytes | None] = []  # wanted by the state; None takes any word
         self.skip: list[list[int]] = []  # states reachable without a word
         opened: list[int] = []
-        mandatory: list[bytes] = []
+        mandatory: set[bytes] = set()
         for token in re.findall(r"<<[^>]*>>|[^\s<]+", template):
             if token == "<<opt>>":
                 opened.append(self._state(None))
@@ -108,12 +64,14 @@ class Automaton:
                 for w in words(token):
                     self._state(w)
                     if not opened:
-                        mandatory.append(w)
+                        mandatory.add(w)
+        if opened:
+            raise ValueError(f"a region of this template is not closed: {template}")
         self.end = len(self.word)
         self.skip.append([])
         self.closed = [self._closure(i) for i in range(self.end + 1)]
         self.start = self.closed[0]
-        self.longest = max(mandatory, key=len, default=None)  # a text without it needs no run
+        self.mandatory = frozenset(mandatory)  # a text that lacks one of them needs no run
 
     def _state(self, word: bytes | None) -> int:
         self.word.append(word)
@@ -167,7 +125,7 @@ class Scanner:
                     places.append(at)
                     base.add(label)
         for automaton, label in self.templates:
-            if label not in labels and (automaton.longest is None or automaton.longest in known) and automaton.accepts(found):
+            if label not in labels and known.issuperset(automaton.mandatory) and automaton.accepts(found):
                 labels.add(label)
         score = 1.0 if labels else 0.5 if base else 0.0
         first, last = (min(places), max(places)) if places else (None, None)
@@ -175,6 +133,17 @@ class Scanner:
         return len(found), len(places), first, last, join(base), join(base | labels), score
 
 
+def templates_of(table: DataFrame, most: int = MOST_TEMPLATES) -> list[tuple[str, str]]:
+    """The catalogue of a table with columns label and template, in order; rows with a null are left out.
+
+    A catalogue is read by the driver and sent to all tasks, so one of more than ``most`` rows is an error.
+    """
+    rows = table.select("label", "template").dropna().distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a catalogue has at most {most} templates")
+    return sorted((r["label"], r["template"]) for r in rows)
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
