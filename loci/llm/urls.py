@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import UPPER, packed
 
 #: (verdict, host, path); a rule fits its host and all subdomains where the path starts alike.
@@ -101,6 +101,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str =
     sample = labelled.orderBy(F.xxhash64("_url")).limit(MOST_LABELLED).join(suffixes, "suffix")
     # a labelled URL's suffix figures leave out the URL itself
     sample = sample.withColumns({"suffix_rate": (blocked - F.col("label") + 1.0) / (seen + 1.0), "suffix_log_n": F.log2(seen.cast("double"))})
+    sample = materialize(sample)  # MOST_LABELLED rows, which every pass of the fit reads
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}  # two rows at most
     if len(classes) < 2:
         judged_rows = rows.withColumn("p_block", F.lit(1.0 if 1.0 in classes else 0.0))
@@ -112,5 +113,6 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str =
             {"suffix_rate": (blocked + 1.0) / (seen + 2.0), "suffix_log_n": F.log2(seen + 1.0)}
         )
         judged_rows = model.transform(assembler.transform(full)).withColumn("p_block", vector_to_array("probability")[1])
+    discard(sample)
     verdict = F.coalesce("by_rule", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
     return judged_rows.withColumn("verdict", verdict).select("_row.*", *OUTPUTS)

@@ -282,6 +282,19 @@ def test_seating_follows_the_chinese_restaurant():
     assert got.std() == pytest.approx(np.sqrt((chances * (1 - chances)).sum()), rel=0.1)
 
 
+@pytest.mark.parametrize("discount", [0.0, 0.7])
+def test_customers_of_crowded_dishes_sit_down_one_after_another(monkeypatch, discount):
+    """Blocks against a loop over customers with the same numbers."""
+    key, n, a, step = np.uint64(77), 5000, 300.0, 9
+    t, seated = 40.0, 100
+    for i in range(seated, n):
+        drawn = lm.uniform(key ^ (np.array([i], np.uint64) * np.uint64(0xD1342543DE82EF95)), step)
+        t += drawn[0] < a / (i - discount * t + a)
+    for block in (7, 1 << 16):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        assert lm._seat_rest(float(n), a, 40.0, 100.0, key, discount, step) == t
+
+
 def test_language_id_on_held_out_rows(spark, docs):
     lang = {r.doc_id: r.lang for r in docs.collect()}
     got = queries.op6_language_id(spark, SF).collect()
@@ -316,6 +329,70 @@ def test_template_regions():
         assert (scan(text)[5] == "x") is ok, text
 
 
+COPYRIGHT = "Copyright (c) 2020 Some One\n\n"
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY {who} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL {who} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = """3. Neither the name of Some One nor the names of its contributors may be used to endorse or promote
+   products derived from this software without specific prior written permission."""
+
+
+def test_whole_license_texts():
+    scan = lambda text: set(filter(None, licenses.Scanner().scan(text)[5].split(",")))
+    who = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+    two, three = BSD.format(third="", who=who), BSD.format(third=THIRD, who="the Regents of the University")
+    assert scan(COPYRIGHT + two) == {"bsd-2-clause"} and scan(three) == {"bsd-3-clause"}
+    assert scan(two.replace("1. ", "* ").replace("2. ", "* ")) == {"bsd-2-clause"}  # bullets may be replaced
+    assert scan(two.replace("must retain", "may retain")) == set() == scan(two[: len(two) // 2])  # mandatory wording
+    assert scan("so " * 5000 + two + " so" * 5000) == {"bsd-2-clause"}
+    for label, template in licenses.TEMPLATES:  # the wording itself, without and with what may be missing
+        plain = re.sub(r"<<any;\d+>>", "", template)
+        assert label in scan(re.sub(r"<<opt>>.*?<</opt>>", "", plain)), label
+        assert label in scan(re.sub(r"<<.*?>>", "", re.sub(r"<<any;(\d+)>>", lambda m: "x " * int(m[1]), template))), label
+        gone = re.sub(r"<<opt>>.*?<</opt>>", "", plain).split()
+        assert label not in scan(" ".join(gone[: len(gone) // 2] + gone[len(gone) // 2 + 1 :])), label
+
+
+def test_templates_from_a_table(spark):
+    table = spark.createDataFrame([("x", "alpha <<any;1>> omega"), (None, "beta"), ("y", None)], "label string, template string")
+    docs = spark.createDataFrame([(1, "alpha or omega"), (2, "beta"), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(docs, templates=licenses.templates_of(table)).collect()}
+    assert got == {1: "x", 2: "", 3: ""}
+    with pytest.raises(ValueError):
+        licenses.templates_of(table.selectExpr("'x' AS label", "template"), most=1)
+    with pytest.raises(ValueError):
+        licenses.Automaton("alpha <<opt>> beta")
+
+
+def test_urls_are_scanned_three_times(spark, tmp_path):
+    """Suffixes, sample and verdicts; the trees are fitted on rows that are written once."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    counted = pages.select("page_id", "url").mapInArrow(count, "page_id long, url string")
+    urls.filter_urls(counted).write.format("noop").mode("overwrite").save()
+    assert read.value <= 3 * pages.count()
+
+
 def test_urls(spark):
     got = queries.op8_url_filter(spark, SF).collect()
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
