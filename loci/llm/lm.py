@@ -12,9 +12,11 @@ over a uniform choice of bytes. Seating is sampled by Gibbs sweeps, all
 customers of one dish at a time, each in turn opening a table or joining one;
 predictive probabilities are averaged over the sweeps after burn-in.
 
-Words meet counts by chunks of documents. Each chunk asks for its own distinct
-pairs of a word and an ending before it, dealt into shards of the vocabulary,
-and gets back the probability of each, so no vocabulary is held whole anywhere.
+Words meet counts by chunks of documents, cut where the documents are read. Each
+chunk asks for its own distinct pairs of a word and an ending before it, dealt
+into shards of the vocabulary, and keeps its documents as places in these pairs.
+It gets back the probability of each pair, so texts are read once and never
+shuffled, and no vocabulary is held whole anywhere.
 A word is one row with the counts and tables of its endings, 65536 at most;
 customers and tables of all words after an ending are two vectors of that
 length, the only state of these restaurants that is sent around. The spelling
@@ -34,7 +36,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +47,14 @@ from ..session import discard, materialize
 from .common import id_remainder, text_or_empty
 
 LETTERS_PER_CHUNK = 6_000_000  # text that one task holds, besides a single longer document
+CHUNKS_PER_SHARD = 2  # of the vocabulary
 SWEEPS, BURN_IN = 4, 2
 WORD_STRENGTH = 10.0
 ENDINGS, ENDING_STRENGTH = 1 << 16, 20.0  # of preceding words: their last two bytes
 SPELL_DISCOUNT, SPELL_STRENGTH = 0.5, 2.0
 DOCUMENT_DISCOUNT, DOCUMENT_STRENGTH = 0.6, 300.0
 ORDER = 4  # bytes of the longest spelling contexts
-EXACT_JUMPS = 48  # of a dish; the tables of one with more come from the limit law
+JUMPS, BLOCK = 48, 1 << 16  # openings of a dish that are jumped to; customers seated at once after them
 SMOOTH = 0.1  # of the base score
 END = b""  # the end of a text, counted as a token; no word is empty
 
@@ -73,10 +79,9 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, seed: np.ndar
     A customer opens a table with odds ``pull`` (strength and tables of the
     restaurant times the dish's parent probability) against the customers
     seated less ``discount`` a table. The chance falls from customer to
-    customer, so the next opening is drawn by thinning a geometric jump; that
-    is exact and takes steps in the number of tables, not of customers. A dish
-    that is not done after EXACT_JUMPS gets the rest of its tables from the
-    normal limit of a sum of many such chances.
+    customer, so the next opening is drawn by thinning a geometric jump. A dish
+    that is not done after JUMPS opens tables often, and the rest of its
+    customers sit down in blocks. Both are exact at every size.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     at = np.flatnonzero(customers > 1)
@@ -84,7 +89,7 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, seed: np.ndar
     n, a, key = customers[at].astype(float), pull[at], seed[at]
     t = np.ones(at.size)
     step *= 1 << 20
-    for _ in range(EXACT_JUMPS):
+    for _ in range(JUMPS):
         if not at.size:
             break
         p = a / (seated - discount * t + a)
@@ -97,25 +102,30 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, seed: np.ndar
         tables[at[opened]] = t[opened].astype(np.int64)
         at, n, a, key, t, seated = at[inside], n[inside], a[inside], key[inside], t[inside], arrive[inside]
         step += 2
-    if at.size:
-        tables[at] = _many(n, a, discount, t, seated, key, step)
+    for i, *dish in zip(at, n, a, t, seated, key):
+        tables[i] = _seat_rest(*dish, discount, step)
     return tables
 
 
-def _many(n: np.ndarray, a: np.ndarray, d: float, t: np.ndarray, seated: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
-    """Tables when all have sat down: mean and variance of the openings to come, followed along the logarithm of the
-    customers, and one normal number a dish."""
-    rest, steps = np.log((n + a) / (seated + a)), 64
-    x, mean, variance = seated + a, t.copy(), np.zeros(len(t))
-    for _ in range(steps):
-        y = x * np.exp(rest / steps)
-        p = np.minimum(a / (x - d * mean), 1.0)
-        half = np.minimum(a / (np.sqrt(x * y) - d * (mean + p * (np.sqrt(x * y) - x))), 1.0)
-        mean += half * (y - x)
-        variance += half * (1 - half) * (y - x)
-        x = y
-    normal = np.sqrt(-2 * np.log(uniform(key, step))) * np.cos(2 * np.pi * uniform(key, step + 1))
-    return np.clip(np.rint(mean + np.sqrt(variance) * normal), t, n).astype(np.int64)
+def _seat_rest(n: float, a: float, t: float, seated: float, key: np.uint64, d: float, step: int) -> int:
+    """Tables of one dish when all its customers have sat down.
+
+    Who opens a table of a block depends on the openings before, which only make
+    later ones likelier. Starting from none and counting anew until the count
+    stands still gives what seating one by one gives with the same numbers.
+    """
+    while seated < n:
+        before = seated + np.arange(min(BLOCK, int(n - seated)))
+        drawn = uniform(key ^ (before.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), step)
+        opened, tables = -1, np.full(len(before), t)
+        while True:
+            opens = drawn < a / (before - d * tables + a)
+            if opens.sum() == opened:
+                break
+            opened = opens.sum()
+            tables = t + np.cumsum(opens) - opens
+        t, seated = t + opened, seated + len(before)
+    return int(t)
 
 
 class Spelling:
@@ -231,12 +241,12 @@ def codes_of(spelled: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Sampled sweeps of the restaurants; what they say of single words stays distributed.
 
-    A sample is the spelling state, the weight of new tables of the corpus, and
-    for each ending the weight of its new tables; ``seated`` has each ending's
-    customers and strength.
+    A sample is the spelling state, the weight of new tables of the corpus, for
+    each ending the weight of its new tables, customers and strength of the
+    corpus, and the sweep; ``seated`` has each ending's customers and strength.
     """
 
-    samples: list[tuple[dict, float, np.ndarray, int]]
+    samples: list[tuple[dict, float, np.ndarray, float, int]]
     discounts: tuple[float, float]  # of the endings and of the corpus
     seated: np.ndarray
     tokens: int
@@ -250,7 +260,7 @@ class Model:
         codes, lengths = codes_of(words, first.order)
         found = first.find(codes)
         spelled = [Spelling.restored(state).of(codes, *found) for state, *_ in self.samples]
-        return np.array([w * 10.0 ** _per_word(p, lengths) for p, (_, w, _, _) in zip(spelled, self.samples)])
+        return np.array([w * 10.0 ** _per_word(p, lengths) for p, (_, w, *_) in zip(spelled, self.samples)])
 
 
 def seeds_of(words: list[bytes]) -> np.ndarray:
@@ -262,6 +272,15 @@ def endings(words: list[bytes]) -> np.ndarray:
     return np.fromiter((int.from_bytes(w[-2:], "big") for w in words), np.int64, len(words))
 
 
+def squeezed(raw: np.ndarray | bytes) -> bytes:
+    """What chunks and shards exchange, compressed: most counts and sizes are small."""
+    return zstandard.compress(raw if isinstance(raw, bytes) else raw.tobytes(), 3)
+
+
+def _released(column: pa.ChunkedArray | pd.Series, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.decompress(x), kind) for x in (column.to_pylist() if isinstance(column, pa.ChunkedArray) else column)]
+
+
 @dataclass
 class Read:
     """Texts as numbers of words, in an order that depends on the words alone."""
@@ -297,35 +316,77 @@ class Read:
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, held_out: int, modulus: int) -> tuple[DataFrame, int]:
-    """Rows (id, text, held_out, chunk), dealt by what a row holds, and the number of chunks."""
+    """Rows (id, text, held_out), and the number of shards of the vocabulary."""
     text = text_or_empty(text_col)
     letters = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    chunks = max(1, math.ceil(letters / LETTERS_PER_CHUNK))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (id_remainder(id_col, modulus) == held_out).alias("held_out"))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")), chunks
+    return rows, max(1, math.ceil(letters / (LETTERS_PER_CHUNK * CHUNKS_PER_SHARD)))
+
+
+ASKED = ["shard", "chunk", "words", "sizes", "endings", "n"]
+KEPT = ["chunk", "ids", "held_out", "lengths", "pair", "sizes"]
 
 
 def chunk_words(rows: DataFrame, shards: int) -> DataFrame:
-    """What a chunk asks of a shard: its distinct words in order, joined by spaces, for each the number of endings
-    before it, these endings, and the training count of each pair."""
+    """Rows of two kinds, for each chunk, which is what a task reads until it has LETTERS_PER_CHUNK.
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = Read.of(pdf["text"].tolist(), shards)
-        learn = np.repeat(~pdf["held_out"].to_numpy(bool), got.lengths)
-        n = np.bincount(got.pair[learn], minlength=len(got.pairs)).astype(np.int32)
+    What it asks of a shard: its distinct words in order, joined by spaces, for
+    each the number of endings before it, these endings, and the training count
+    of each pair. And, without a shard, its documents: ids, which are held out,
+    tokens of each, the place of each token's pair, and the sizes of all words.
+    """
+    limit, kind = LETTERS_PER_CHUNK, rows.schema["id"].dataType.simpleString()
+
+    def batch(columns: dict[str, list], ids: pa.Array) -> pa.RecordBatch:
+        size = len(columns["chunk"])
+        kinds = {"shard": pa.int32(), "chunk": pa.int64(), "ids": pa.list_(ids.type)}
+        names = ["shard", "chunk", "words", "sizes", "endings", "n", "ids", "held_out", "lengths", "pair"]
+        made = [columns[x] if x == "ids" and x in columns else pa.array(columns.get(x, [None] * size), kinds.get(x, pa.binary())) for x in names]
+        return pa.RecordBatch.from_arrays(made, names)
+
+    def read(chunk: int, docs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(docs).combine_chunks()
+        ids = pa.concat_arrays(table.column("id").chunks)
+        held_out = table.column("held_out").to_numpy().astype(bool)
+        got = Read.of(table.column("text").to_pylist(), shards)
+        n = np.bincount(got.pair[np.repeat(~held_out, got.lengths)], minlength=len(got.pairs)).astype(np.int32)
         ending, word = (got.pairs % ENDINGS).astype(np.uint16), got.pairs // ENDINGS
         sizes = np.bincount(word, minlength=len(got.words)).astype(np.int32)
         cut = np.searchsorted(word, got.first)
         asked = [(s, a, b, x, y) for s, (a, b, x, y) in enumerate(zip(got.first, got.first[1:], cut, cut[1:])) if b > a]
-        return pd.DataFrame({
-            "shard": [s for s, *_ in asked], "chunk": pdf["chunk"].iloc[0],
-            "words": [b" ".join(got.words[a:b]) for _, a, b, _, _ in asked],
-            "sizes": [sizes[a:b].tobytes() for _, a, b, _, _ in asked],
-            "endings": [ending[x:y].tobytes() for *_, x, y in asked],
-            "n": [n[x:y].tobytes() for *_, x, y in asked],
-        })
+        yield batch({
+            "shard": [s for s, *_ in asked], "chunk": [chunk] * len(asked),
+            "words": [squeezed(b" ".join(got.words[a:b])) for _, a, b, _, _ in asked],
+            "sizes": [squeezed(sizes[a:b]) for _, a, b, _, _ in asked],
+            "endings": [squeezed(ending[x:y]) for *_, x, y in asked],
+            "n": [squeezed(n[x:y]) for *_, x, y in asked],
+        }, ids)
+        yield batch({
+            "chunk": [chunk], "sizes": [squeezed(sizes)], "ids": pa.ListArray.from_arrays([0, len(ids)], ids),
+            "held_out": [squeezed(held_out)], "lengths": [squeezed(got.lengths)], "pair": [squeezed(got.pair.astype(np.int32))],
+        }, ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, letters, docs = TaskContext.get().partitionId() << 32, 0, []
+        for b in batches:
+            first = 0
+            for i, size in enumerate(pc.utf8_length(b.column("text")).to_pylist()):
+                letters += size
+                if letters >= limit:
+                    yield from read(chunk, [*docs, b.slice(first, i + 1 - first)])
+                    chunk, letters, docs, first = chunk + 1, 0, [], i + 1
+            if first < b.num_rows:
+                docs.append(b.slice(first))
+        if docs:
+            yield from read(chunk, docs)
+
+    columns = f"ids array<{kind}>, held_out binary, lengths binary, pair binary"
+    asked = "shard int, chunk long, words binary, sizes binary, endings binary, n binary"
+    return rows.select("id", "text", "held_out").mapInArrow(run, f"{asked}, {columns}")
 
-    return rows.groupBy("chunk").applyInPandas(count, "shard int, chunk int, words binary, sizes binary, endings binary, n binary")
+
+def asked_of_shards(chunks: DataFrame) -> DataFrame:
+    return chunks.where("shard IS NOT NULL").select(*ASKED)
 
 
 def _joined(column: list[bytes], kind: type) -> np.ndarray:
@@ -338,21 +399,21 @@ class Asked:
     def __init__(self, pdf: pd.DataFrame):
         ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__
-        self.of_word = [np.fromiter(map(ids.__getitem__, w.split(b" ")), np.int64) for w in pdf["words"]]
-        word = np.concatenate(self.of_word)
-        code = np.repeat(word, _joined(pdf["sizes"], np.int32)) * ENDINGS + _joined(pdf["endings"], np.uint16)
+        self.of_word = [np.fromiter(map(ids.__getitem__, zstandard.decompress(w).split(b" ")), np.int64) for w in pdf["words"]]
+        sizes, ending, n = (_released(pdf[x], kind) for x, kind in (("sizes", np.int32), ("endings", np.uint16), ("n", np.int32)))
+        code = np.repeat(np.concatenate(self.of_word), np.concatenate(sizes)) * ENDINGS + np.concatenate(ending)
         self.ids, self.words = ids, list(ids)
         self.pairs, of_pair = np.unique(code, return_inverse=True)
-        self.n = np.bincount(of_pair, weights=_joined(pdf["n"], np.int32), minlength=len(self.pairs)).astype(np.int64)
+        self.n = np.bincount(of_pair, weights=np.concatenate(n), minlength=len(self.pairs)).astype(np.int64)
         self.word = self.pairs // ENDINGS
         self.c = np.bincount(self.word, weights=self.n, minlength=len(self.words)).astype(np.int64)
-        self.of_pair = np.split(of_pair, np.cumsum([len(n) // 4 for n in pdf["n"]])[:-1])
+        self.of_pair = np.split(of_pair, np.cumsum([len(x) for x in n])[:-1])
 
 
 VOCABULARY = "shard int, word binary, c long, endings binary, k binary, tables binary, customers long, t long, sum binary, p binary"
 
 
-def vocabulary(wanted: DataFrame) -> DataFrame:
+def vocabulary(chunks: DataFrame) -> DataFrame:
     """Words of the training rows: count, the endings before them with their counts, each pair with one table, and
     these tables as customers at one table of the corpus; nothing sampled yet."""
 
@@ -370,12 +431,12 @@ def vocabulary(wanted: DataFrame) -> DataFrame:
             "sum": [bytes(4 * (b - a)) for a, b in cut], "p": b"",
         })
 
-    return wanted.groupBy("shard").applyInPandas(run, VOCABULARY)
+    return asked_of_shards(chunks).groupBy("shard").applyInPandas(run, VOCABULARY)
 
 
-def answered(wanted: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+def answered(chunks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     """(chunk, shard, c, p): count of each word and log10 probability of each pair, in the order in which a chunk asked."""
-    shared = wanted.sparkSession.sparkContext.broadcast(vars(model))
+    shared = chunks.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
@@ -393,16 +454,17 @@ def answered(wanted: DataFrame, words: DataFrame, model: Model) -> DataFrame:
         tables[np.searchsorted(got.pairs, code)] = _joined(known["sum"], np.int32)
         ending = got.pairs % ENDINGS
         p = (size * got.n - model.discounts[0] * tables) / model.seated[ending]
-        for (_, _, back, _), above in zip(model.samples, parent):
+        for (_, _, back, *_), above in zip(model.samples, parent):
             p += back[ending] * above[got.word]
         log_p = np.log10(np.maximum(p / size, 1e-300)).astype(np.float32)
         return pd.DataFrame({
             "chunk": pdf["chunk"], "shard": pdf["shard"],
-            "c": [got.c[w].tobytes() for w in got.of_word], "p": [log_p[x].tobytes() for x in got.of_pair],
+            "c": [squeezed(got.c[w]) for w in got.of_word], "p": [squeezed(log_p[x]) for x in got.of_pair],
         })
 
     known = words.select("shard", "word", "endings", "sum", "p", (F.octet_length("endings") / 2).cast("long").alias("customers_of"))
-    return wanted.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(run, "chunk int, shard int, c binary, p binary")
+    wanted = asked_of_shards(chunks).groupBy("shard")
+    return wanted.cogroup(known.groupBy("shard")).applyInPandas(run, "chunk long, shard int, c binary, p binary")
 
 
 def _customers(words: DataFrame, order: int) -> DataFrame:
@@ -464,7 +526,7 @@ def fit(words: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple
         shared = spark.sparkContext.broadcast((spelling.state(), pull1))
         pull0, customers0 = WORD_STRENGTH + d0 * total, WORD_STRENGTH + m
 
-        def sweep(batches: Iterator[pa.RecordBatch], shared=shared, pull0=pull0, customers0=customers0, step=step) -> Iterator[pa.RecordBatch]:
+        def sweep(batches: Iterator[pa.RecordBatch], shared=shared, pull0=pull0, customers0=customers0, step=step, kept=step >= burn_in) -> Iterator[pa.RecordBatch]:
             state, pull1 = shared.value
             spelling = Spelling.restored(state)
             for b in batches:
@@ -483,6 +545,11 @@ def fit(words: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple
                 t = seat(c, pull0 * spelled, d0, seeds, 1000 + step)
                 cut, raw = list(zip(4 * first, 4 * (first + size))), tables.tobytes()
                 done = {"tables": pa.array([raw[x:y] for x, y in cut], pa.binary()), "customers": pa.array(c), "t": pa.array(t)}
+                if kept:  # customers at tables and the spelling, until the sums over all words are known
+                    both = np.column_stack([c - d0 * t, spelled])
+                    done["p"] = pa.array([old + x.tobytes() for old, x in zip(b.column("p").to_pylist(), both)], pa.binary())
+                    raw = (_joined(b.column("sum").to_pylist(), np.int32) + tables).tobytes()
+                    done["sum"] = pa.array([raw[x:y] for x, y in cut], pa.binary())
                 yield pa.RecordBatch.from_arrays([done.get(x, b.column(x)) for x in b.schema.names], b.schema.names)
 
         before, words = words, materialize(words.mapInArrow(sweep, VOCABULARY))
@@ -490,29 +557,22 @@ def fit(words: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple
         _, tables, _, _ = _by_ending(words)
         total, m = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("customers"), F.lit(0))).first()
         if step >= burn_in:
-            weight, customers0 = (WORD_STRENGTH + d0 * total) / (WORD_STRENGTH + m), WORD_STRENGTH + m
-            samples.append((spelling.state(), weight, (ENDING_STRENGTH + d1 * tables) / seated, step))
-
-            def keep(batches: Iterator[pa.RecordBatch], shared=shared, weight=weight, customers0=customers0) -> Iterator[pa.RecordBatch]:
-                spelling = Spelling.restored(shared.value[0])
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    c, t = (b.column(x).to_numpy(zero_copy_only=False) for x in ("customers", "t"))
-                    p = (c - d0 * t) / customers0 + weight * 10.0 ** spelling.words(b.column("word").to_pylist())
-                    raw = zip(b.column("p").to_pylist(), p)
-                    both = zip(b.column("sum").to_pylist(), b.column("tables").to_pylist())
-                    done = {
-                        "p": pa.array([old + x.tobytes() for old, x in raw], pa.binary()),
-                        "sum": pa.array([(np.frombuffer(x, np.int32) + np.frombuffer(y, np.int32)).tobytes() for x, y in both], pa.binary()),
-                    }
-                    yield pa.RecordBatch.from_arrays([done.get(x, b.column(x)) for x in b.schema.names], b.schema.names)
-
-            before, words = words, materialize(words.mapInArrow(keep, VOCABULARY))
-            discard(before)
+            customers0 = WORD_STRENGTH + m
+            samples.append((spelling.state(), (WORD_STRENGTH + d0 * total) / customers0, (ENDING_STRENGTH + d1 * tables) / seated, customers0, step))
         shared.destroy()
     discard(codes)
-    return Model(samples, (d1, d0), seated, n, v), words
+    weights, customers = np.array([[s[1] for s in samples], [s[3] for s in samples]], float)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = _joined(b.column("p").to_pylist(), np.float64).reshape(b.num_rows, -1, 2)
+            p = both[:, :, 0] / customers + weights * both[:, :, 1]
+            done = {"p": pa.array([x.tobytes() for x in p], pa.binary())}
+            yield pa.RecordBatch.from_arrays([done.get(x, b.column(x)) for x in b.schema.names], b.schema.names)
+
+    return Model(samples, (d1, d0), seated, n, v), words.mapInArrow(finish, VOCABULARY)
 
 
 def in_document(at: np.ndarray, lengths: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -546,29 +606,27 @@ def score(docs: DataFrame, held_out: int = 0, modulus: int = 10, id_col: str = "
     spelling model without customers and the base by its smoothing alone.
     """
     rows, shards = chunked(docs, id_col, text_col, held_out, modulus)
-    wanted = materialize(chunk_words(rows, shards))
-    model, words = fit(vocabulary(wanted))
-    found = answered(wanted, words, model)
+    chunks = materialize(chunk_words(rows, shards))
+    model, words = fit(vocabulary(chunks))
+    found = answered(chunks, words, model)
     n, v = model.tokens, model.distinct
-    kind = rows.schema["id"].dataType.simpleString()
 
-    def run(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        got = Read.of(part["text"].tolist(), shards)
-        found = found.sort_values("shard")  # as the words are
-        c, log_p = _joined(found["c"], np.int64), _joined(found["p"], np.float32)
+    def run(kept: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("shard")  # as the words are
+        c, log_p = (np.concatenate(_released(found.column(x), kind)) for x, kind in (("c", np.int64), ("p", np.float32)))
+        held_out, lengths, pair, sizes = (
+            _released(kept.column(x), kind)[0] for x, kind in (("held_out", bool), ("lengths", np.int64), ("pair", np.int32), ("sizes", np.int32))
+        )
+        at = np.repeat(np.arange(len(sizes)), sizes)[pair]
         log_base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
-        at, lengths = got.at, got.lengths
         first = np.cumsum(lengths) - lengths
-        known, base = c[at] > 0, log_base[at]
-        own = np.log10(in_document(at, lengths, 10.0 ** log_p.astype(np.float64)[got.pair]))
-        done = pd.DataFrame({
-            "n_tokens": lengths, "n_known": np.add.reduceat(known.astype(np.int64), first),
-            "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(own, first),
-        })
-        return pd.DataFrame({
-            id_col: part["id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "n_tokens": done["n_tokens"], "n_known": done["n_known"],
-            "train_tokens": n, "base_score": done["base_score"], "score": done["score"],
-        })
+        own = np.log10(in_document(at, lengths, 10.0 ** log_p.astype(np.float64)[pair]))
+        each = [kept.column("ids").chunk(0).flatten(), held_out, lengths, np.add.reduceat((c[at] > 0).astype(np.int64), first)]
+        each += [np.full(len(lengths), n, np.int64), np.add.reduceat(log_base[at], first), np.add.reduceat(own, first)]
+        return pa.table([pa.array(x) for x in each], names)
 
+    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kind = rows.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)
+    kept = chunks.where("shard IS NULL").select(*KEPT)
+    return kept.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, schema)
