@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from loci.operators import paths, sequences
+from loci.operators import paths, sequences, similarity
 from loci.operators import intervals as iv
 
 ELEMENTS = "element_id string, seq_id string, start long, end long"
@@ -39,3 +39,18 @@ def test_state_paths_and_tile_passes_are_not_broadcast(spark):
     assert [(r["start"], r["end"], r["kind"]) for r in out.collect()] == [(1, 9, "full")]
     spans = spark.createDataFrame([("s", 1, 4), ("s", 3, 9)], "seq_id string, start long, end long")
     assert "Broadcast" not in plan(iv.merge_intervals(spans))
+
+
+def test_kmers_are_not_written(spark, monkeypatch):
+    written = []
+    keep = similarity.materialize
+
+    def seen(df):
+        written.append(dict(df.dtypes))
+        return keep(df)
+
+    monkeypatch.setattr(similarity, "materialize", seen)
+    t = spark.createDataFrame([("a", "abcdefghij"), ("b", "abcdefghijk"), ("c", "zyxwvutsrq"), ("d", "ab"), ("e", None)], "id string, residues string")
+    got = similarity.similar_pairs(t, 3, 0.8).collect()
+    assert [(r["a"], r["b"], r["shared"]) for r in got] == [("a", "b", 8)]
+    assert written and not any("array" in kind for columns in written for kind in columns.values())
