@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from loci.operators import paths, sequences, similarity
@@ -54,3 +56,34 @@ def test_kmers_are_not_written(spark, monkeypatch):
     got = similarity.similar_pairs(t, 3, 0.8).collect()
     assert [(r["a"], r["b"], r["shared"]) for r in got] == [("a", "b", 8)]
     assert written and not any("array" in kind for columns in written for kind in columns.values())
+
+
+@pytest.mark.parametrize("inverted", [False, True])
+def test_kmers_of_short_and_long_sequences_give_the_same_repeats_without_being_shuffled(spark, monkeypatch, inverted):
+    """Sequences of up to LONG letters meet as text; longer ones shuffle their k-mers."""
+    r = random.Random(3)
+    letters = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    twice = letters(30)
+    other = twice[::-1].translate(str.maketrans("ACGT", "TGCA")) if inverted else twice
+    rows = [("s1", letters(80) + twice + letters(90) + other + letters(40)), ("s2", letters(50)), ("s3", None)]
+    cut = sequences.windows(spark.createDataFrame(rows, "seq_id string, residues string"), 64, 20)
+    written = []
+    keep = similarity.materialize
+
+    def seen(df):
+        out = keep(df)
+        if "x" in df.columns:
+            written.append((out.count(), plan(df)))
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", seen)
+    got = []
+    for long in (similarity.LONG, 60):
+        monkeypatch.setattr(similarity, "LONG", long)
+        pairs = similarity.repeat_pairs(cut, k=12, min_dist=40, max_dist=400, inverted=inverted, min_length=20)
+        got.append(sorted((p["seq_id"], p["left_start"], p["left_end"], p["right_start"], p["right_end"]) for p in pairs.collect()))
+    assert got[0] == got[1] and any(s == "s1" and a <= 81 and b >= 110 and c <= 201 and d >= 230 for s, a, b, c, d in got[0])
+    # of the k-mers that are found once, or on one strand only, nothing is written; one exchange, of chunks
+    (n, near), _ = written
+    assert n < 60, n
+    assert near.count("Exchange hashpartitioning") == 1 and "REPARTITION" in near, near
