@@ -142,49 +142,68 @@ def overlap_join(a: DataFrame, b: DataFrame, bin: int = 4096, levels: int = 4, b
     grid takes the rest. A pair meets on the coarser of its two homes: one side
     is there at home, the other one comes up to it. Two intervals that are both
     only visiting a coarse grid never meet there, so long intervals cost a few
-    rows and short ones are compared only nearby. A pair is emitted in the bin
-    of its larger start, so no ``distinct`` is needed.
+    rows and short ones are compared only nearby. Nobody comes up to a grid on
+    which the other side has no home at all: which grids it has is read off its
+    coordinates first. A pair is emitted in the bin of its larger start, so no
+    ``distinct`` is needed.
     """
     right = b.select(*[F.col(c) if c in by else F.col(c).alias(f"b_{c}") for c in b.columns])
-    left = _touched(_placed(a, "start", "end", bin, levels), "start", "end", bin, levels, visits_own=False)
-    found = _touched(_placed(right, "b_start", "b_end", bin, levels), "b_start", "b_end", bin, levels, visits_own=True)
+    left_homes, right_homes = _homes(a, bin, levels), _homes(b, bin, levels)
+    left = _touched(_placed(a, "start", "end", bin, levels), "start", "end", bin, levels, right_homes, left=True)
+    found = _touched(_placed(right, "b_start", "b_end", bin, levels), "b_start", "b_end", bin, levels, left_homes, left=False)
+    size = _level_size(F.floor(F.col("_meet") / 2), bin, levels)
     pair = (
         (F.col("start") <= F.col("b_end"))
         & (F.col("b_start") <= F.col("end"))
-        & (F.col("_bin") == F.floor(F.greatest("start", "b_start") / F.col("_size")).cast("bigint"))
+        & (F.col("_bin") == F.floor(F.greatest("start", "b_start") / size).cast("bigint"))
     )
-    joined = left.join(found.drop("_size"), [*by, "_host", "_level", "_bin"])
-    return joined.where(pair).drop("_host", "_level", "_bin", "_size")
+    joined = left.join(found, [*by, "_meet", "_bin"])
+    return joined.where(pair).drop("_meet", "_bin")
 
 
-def _level_size(level: Column | int, bin: int) -> Column:
-    return F.lit(bin) * F.pow(F.lit(16), F.lit(level) if isinstance(level, int) else level).cast("bigint")
+def _home(start: Column, end: Column, bin: int, levels: int) -> Column:
+    home = F.lit(levels - 1)
+    for level in reversed(range(levels - 1)):
+        home = F.when(end - start <= bin * 16**level, level).otherwise(home)
+    return home
+
+
+def _homes(t: DataFrame, bin: int, levels: int) -> Column:
+    """One bit for each grid on which a row of ``t`` is at home, as a scalar subquery."""
+    home = _home(F.col("start"), F.col("end"), bin, levels)
+    bit = F.lit(0)
+    for level in range(levels):
+        bit = F.when(home == level, 1 << level).otherwise(bit)
+    known = F.col("start").isNotNull() & F.col("end").isNotNull()
+    return t.where(known).agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("homes")).scalar()
 
 
 def _placed(t: DataFrame, start: str, end: str, bin: int, levels: int) -> DataFrame:
-    span = F.col(end) - F.col(start)
-    home = F.lit(levels - 1)
-    for level in reversed(range(levels - 1)):
-        home = F.when(span <= bin * 16**level, level).otherwise(home)
-    return t.withColumn("_home", home)
+    return t.withColumn("_home", _home(F.col(start), F.col(end), bin, levels))
 
 
-def _touched(t: DataFrame, start: str, end: str, bin: int, levels: int, visits_own: bool) -> DataFrame:
-    """One row per bin touched, as the host on the home grid and as a visitor on coarser ones.
+def _touched(t: DataFrame, start: str, end: str, bin: int, levels: int, other_homes: Column, left: bool) -> DataFrame:
+    """One row per bin touched, as the host on the home grid and as a visitor on those of ``other_homes``.
 
-    ``_host`` names the side that is at home, so that host meets visitor. Two
-    intervals with the same home meet once, with the left side as host.
+    ``_meet`` is twice the grid, and one more where the right side is the host,
+    so that host meets visitor. Two intervals with the same home meet once, with
+    the left side as host.
     """
-    first = F.col("_home") + (0 if visits_own else 1)
-    levels_up = F.when(first <= levels - 1, F.sequence(first, F.lit(levels - 1))).otherwise(F.array().cast("array<int>"))
-    own, other = ("right", "left") if visits_own else ("left", "right")
-    meets = F.concat(
-        F.array(F.struct(F.lit(own).alias("host"), F.col("_home").alias("level"))),
-        F.transform(levels_up, lambda v: F.struct(F.lit(other).alias("host"), v.alias("level"))),
-    )
-    up = t.withColumn("_m", F.explode(meets)).withColumns({"_host": F.col("_m")["host"], "_level": F.col("_m")["level"]})
-    up = up.drop("_m", "_home").withColumn("_size", _level_size(F.col("_level"), bin))
-    return up.withColumn("_bin", F.explode(_bins(F.col(start), F.col(end), F.col("_size"))))
+    own, other = (0, 1) if left else (1, 0)
+    known = t.withColumn("_others", other_homes)
+    meets = [F.col("_home") * 2 + own]
+    for level in range(levels):
+        up = F.col("_home") < level if left else F.col("_home") <= level
+        meets.append(F.when(up & (F.col("_others").bitwiseAND(1 << level) != 0), level * 2 + other))
+    up = known.withColumn("_meet", F.explode(F.array(*meets))).where(F.col("_meet").isNotNull()).drop("_home", "_others")
+    return up.withColumn("_bin", F.explode(_bins(F.col(start), F.col(end), _level_size(F.floor(F.col("_meet") / 2), bin, levels))))
+
+
+def _level_size(level: Column, bin: int, levels: int) -> Column:
+    size = F.lit(bin * 16 ** (levels - 1)).cast("bigint")
+    for i in reversed(range(levels - 1)):
+        size = F.when(level == i, F.lit(bin * 16**i).cast("bigint")).otherwise(size)
+    return size
 
 
 def contain_join(children: DataFrame, regions: DataFrame, bin: int = 4096, levels: int = 4, by: Sequence[str] = ("seq_id",)) -> DataFrame:
@@ -195,10 +214,10 @@ def contain_join(children: DataFrame, regions: DataFrame, bin: int = 4096, level
     """
     right = regions.select(*[F.col(c) if c in by else F.col(c).alias(f"r_{c}") for c in regions.columns])
     placed = _placed(right, "r_start", "r_end", bin, levels).withColumnRenamed("_home", "_level")
-    size = _level_size(F.col("_level"), bin)
+    size = _level_size(F.col("_level"), bin, levels)
     placed = placed.withColumn("_bin", F.explode(_bins(F.col("r_start"), F.col("r_end"), size)))
     probe = children.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    probe = probe.withColumn("_bin", F.floor(F.col("start") / _level_size(F.col("_level"), bin)).cast("bigint"))
+    probe = probe.withColumn("_bin", F.floor(F.col("start") / _level_size(F.col("_level"), bin, levels)).cast("bigint"))
     inside = (F.col("start") >= F.col("r_start")) & (F.col("end") <= F.col("r_end"))
     return probe.join(placed, [*by, "_level", "_bin"]).where(inside).drop("_level", "_bin")
 
