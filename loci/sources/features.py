@@ -15,7 +15,8 @@ ESCAPES = [("%", "%25"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C"),
 
 def decode(c: Column) -> Column:
     """Percent codes to letters; a plus stays a plus and a stray percent sign stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    decoded = F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    return F.when(F.contains(c, F.lit("%")), decoded).otherwise(c)
 
 
 def encode(c: Column) -> Column:
@@ -36,25 +37,29 @@ def parse_attributes(c: Column) -> Column:
             ).alias("v"),
         ),
     )
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_entries(
-        F.transform(
+
+    def gathered(entries: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+        merged = F.transform(
             keys,
-            lambda k: F.struct(k.alias("key"), F.flatten(F.transform(F.filter(entries, lambda e: e["k"] == k), lambda e: e["v"])).alias("value")),
+            lambda k: F.struct(k.alias("k"), F.flatten(F.transform(F.filter(entries, lambda e: e["k"] == k), lambda e: e["v"])).alias("v")),
         )
-    )
+        return F.map_from_entries(F.when(F.size(keys) == F.size(entries), entries).otherwise(merged))
+
+    # the fields are split once and handed on; named twice, they would be split again for each key
+    return F.element_at(F.transform(F.array(entries), gathered), 1)
 
 
 def format_attributes(c: Column) -> Column:
     """Identifier first, then parent, then the rest by name."""
     rank = lambda k: F.when(k == "ID", 0).when(k == "Parent", 1).otherwise(2)
-    rows = F.array_sort(
+    rows = F.sort_array(
         F.transform(F.map_entries(c), lambda e: F.struct(rank(e["key"]).alias("r"), e["key"].alias("k"), e["value"].alias("v")))
     )
     text = F.transform(
         rows, lambda e: F.concat(encode(e["k"]), F.lit("="), F.array_join(F.transform(e["v"], encode), ","))
     )
-    return F.when(F.size(rows) == 0, ".").otherwise(F.array_join(text, ";"))
+    return F.when(F.size(c) == 0, ".").otherwise(F.array_join(text, ";"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +113,9 @@ def region_tree(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     region named so; it must lie inside that region.
     """
     first = lambda k: F.try_element_at(F.try_element_at("attributes", F.lit(k)), F.lit(1))
-    rows = features.withColumns({"_id": first("ID"), "_parent": first("Parent")})
+    # read off behind an explode of one: a filter that a join asks for would otherwise parse the attributes once more
+    known = F.struct(first("ID").alias("id"), first("Parent").alias("parent"), first("name").alias("name"))
+    rows = features.withColumn("_a", F.explode(F.array(known))).withColumns({"_id": F.col("_a.id"), "_parent": F.col("_a.parent"), "_name": F.col("_a.name")})
     regions = rows.where(F.col("type") == REGION).select("seq_id", "start", "end", "strand", "source", F.col("_id").alias("region_id"))
     is_element = F.col("type").rlike(ELEMENT)
     bounds = regions.select("seq_id", "region_id", F.col("start").alias("_rs"), F.col("end").alias("_re"))
@@ -121,12 +128,10 @@ def region_tree(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .drop("_rs", "_re")
     )
     names = elements.select("seq_id", "element_id", "region_id")
-    owners = names.select("seq_id", F.col("element_id").alias("_parent"), "element_id", "region_id").unionByName(
-        names.select("seq_id", F.col("region_id").alias("_parent"), "element_id", "region_id")
-    )
+    owners = names.select("seq_id", F.explode(F.array("element_id", "region_id")).alias("_parent"), "element_id", "region_id")
     parts = (
         rows.where((F.col("type") != REGION) & ~is_element)
-        .select("seq_id", "type", "start", "end", "strand", "attributes", "_parent", first("name").alias("name"))
+        .select("seq_id", "type", "start", "end", "strand", "attributes", "_parent", F.col("_name").alias("name"))
         .join(owners, ["seq_id", "_parent"])
         .join(bounds, ["seq_id", "region_id"])
         .where(inside)
