@@ -55,7 +55,7 @@ def refine_predictions(
         stats.append(hi.refine_stats(found[kind], parts, **rules))
         passed = hi.refine(found[kind], parts, **rules)
         score = hi.score_elements(parts).select("element_id", "score")
-        scored[kind] = passed.join(score, "element_id", "left").select(
+        rows = passed.join(score, "element_id", "left").select(
             "seq_id",
             "start",
             "end",
@@ -63,6 +63,8 @@ def refine_predictions(
             F.coalesce("score", F.lit(0)).cast("bigint").alias("score"),
             "similarity",
         )
+        # the combination reads both sets several times: their parts are gathered once
+        scored[kind] = materialize(rows)
     combined = materialize(hi.combine_sets(scored["strict"], scored["relaxed"], bin))
     kept = filter_ambiguous(combined, chunks, ["id"], max_ambiguous, size)
     numbered = renumber(kept, prefix, ties=[natural_key("id"), "id"])
