@@ -17,11 +17,13 @@ def parse_name(t: DataFrame, col: str = "name") -> DataFrame:
     """Split a name into typed columns (P1); a name of another form gives NULLs.
 
     The pattern is matched once per row and its groups are read off the result.
+    They come out of a generator of one row: a filter on a column is not moved
+    in front of it, where it would match the pattern again.
     """
     groups = F.split(F.regexp_replace(F.col(col), NAME_PATTERN, "\t$1\t$2\t$3\t$4\t$5\t$6\t$7\t$8\t$9"), "\t")
-    g = F.when(F.size(groups) == len(NAME_FIELDS) + 1, groups)
     return (
-        t.withColumn("_g", g)
+        t.withColumn("_g", F.explode(F.array(groups)))
+        .withColumn("_g", F.when(F.size("_g") == len(NAME_FIELDS) + 1, F.col("_g")))
         .withColumns(
             {
                 "side": F.when(F.col("_g")[1] != "", F.col("_g")[1]),

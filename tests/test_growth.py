@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loci.functions.columns import natural_key
+from loci.functions.names import parse_name
 from loci.operators import hierarchy as hi
 from loci.operators import intervals as iv
 from loci.operators import sequences as sq
@@ -87,3 +88,12 @@ def test_gap_runs_look_at_the_letters_once(spark):
     assert got == [("a", 1, 2), ("a", 5, 5), ("a", 7, 8), ("b", 1, 4), ("e", 2, 2)]
     assert "array_compact" in plan(out) or "isnotnull" in plan(out).lower()
     assert "sequence(1" not in plan(out)
+
+
+def test_a_name_is_matched_once_whatever_filters_follow(spark):
+    rows = [("RLG_family3_helitron7_chr2_11_20",), ("nonsense",), (None,)]
+    out = parse_name(spark.createDataFrame(rows, "name string")).where("seq_id IS NOT NULL AND start <= end")
+    assert [(x["code"], x["family_no"], x["seq_id"], x["start"], x["end"]) for x in out.collect()] == [("RLG", 3, "chr2", 11, 20)]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("regexp_replace" in x for x in lines) == 1
+    assert not any("regexp_replace" in x for x in lines if "Filter" in x)
