@@ -83,15 +83,21 @@ def refined_tree(
     """Elements and parts of the two runs combined and renumbered, and the ledger."""
     refined, ledger = refine_predictions(strict, relaxed, chunks, max_ambiguous=max_ambiguous, prefix=prefix, size=size, bin=bin, **refining)
     # the runs number their elements apart: an id means something with the name of its run only
-    named = lambda t, run: t.withColumn("element_id", F.concat_ws("_", "element_id", F.lit(run)))
-    parts = named(strict[1], "strict").unionByName(named(relaxed[1], "relaxed"))
-    known = named(strict[0], "strict").unionByName(named(relaxed[0], "relaxed")).select(F.col("element_id").alias("id"), "strand")
-    refined = materialize(refined.withColumnsRenamed({"new_id": "element_id"}))
-    elements = refined.join(known, "id").select(
-        "seq_id", "start", "end", "strand", F.lit(prefix).alias("type"), "element_id", F.col("id").alias("old_id")
-    )
-    names = elements.select(F.col("old_id").alias("element_id"), F.col("element_id").alias("_new"))
-    moved = parts.join(names, "element_id").withColumn("element_id", F.col("_new")).drop("_new")
+    runs = {"strict": strict, "relaxed": relaxed}
+    known = [
+        t.select(F.concat_ws("_", "element_id", F.lit(run)).alias("id"), "strand", F.col("element_id").alias("_own"), F.lit(run).alias("_run"))
+        for run, (t, _) in runs.items()
+    ]
+    refined = materialize(refined.withColumnsRenamed({"new_id": "element_id"}).join(reduce(DataFrame.unionByName, known), "id"))
+    elements = refined.select("seq_id", "start", "end", "strand", F.lit(prefix).alias("type"), "element_id", F.col("id").alias("old_id"))
+
+    def moved(run: str, parts: DataFrame) -> DataFrame:
+        """Parts keep the ids of their run until the join, so runs with the same parts shuffle them once."""
+        names = refined.where(F.col("_run") == run).select("_own", F.col("element_id").alias("_new"))
+        rest = [c for c in parts.columns if c != "element_id"]
+        return parts.join(names, F.col("element_id").eqNullSafe(F.col("_own"))).select(F.col("_new").alias("element_id"), *rest)
+
+    moved = reduce(DataFrame.unionByName, [moved(run, parts) for run, (_, parts) in runs.items()])
     return elements, moved, ledger
 
 

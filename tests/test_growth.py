@@ -13,7 +13,9 @@ from loci.operators import hierarchy as hi
 from loci.operators import intervals as iv
 from loci.operators import sequences as sq
 from loci.operators.ordering import top_per_key
+from loci.plans import flow
 from loci.sources import features as ft
+from workload import q_flow
 
 CALL = "seq_id string, start long, end long, id string, score long, similarity double"
 
@@ -97,3 +99,27 @@ def test_a_name_is_matched_once_whatever_filters_follow(spark):
     lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("regexp_replace" in x for x in lines) == 1
     assert not any("regexp_replace" in x for x in lines if "Filter" in x)
+
+
+def test_runs_with_the_same_parts_shuffle_them_once(spark):
+    """Parts go to the elements of their run, those without an id too; ids are made for elements only."""
+    e = "seq_id string, start long, end long, strand string, element_id string, similarity double"
+    relaxed = spark.createDataFrame([("s1", 1, 90, "+", "a", 90.0), ("s1", 201, 290, "-", None, 90.0), ("s1", 401, 490, "?", "c", 90.0)], e)
+    strict = relaxed.where("element_id = 'a'")
+    p = "seq_id string, element_id string, region_id string, type string, name string, start long, end long, strand string"
+    rows = [("s1", i, "r", "protein_match", n, 5, 9, "+") for i, n in (("a", "rve"), (None, "gag"), ("c", "rve"), ("lost", "rve"))]
+    parts = spark.createDataFrame(rows, p)
+    chunks = sq.windows(spark.createDataFrame([("s1", "ACGT" * 200)], "seq_id string, residues string"), 1000, 50)
+    elements, moved, _ = flow.refined_tree((strict, parts), (relaxed, parts), chunks, "x", 0.3, 1000, 64)
+    got = {x["element_id"]: (x["start"], x["strand"], x["old_id"]) for x in elements.collect()}
+    assert got == {"x1": (1, "+", "a_relaxed"), "x2": (201, "-", "relaxed"), "x3": (401, "?", "c_relaxed")}
+    assert sorted((x["element_id"], x["name"]) for x in moved.collect()) == [("x1", "rve"), ("x2", "gag"), ("x3", "rve")]
+    assert "concat_ws" not in moved._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_inputs_of_the_flow_are_made_once(spark):
+    """Steps read tables; no step joins or cuts its input again."""
+    given = q_flow.new_flow(spark, "/root/testdata/sf0.001")
+    for t in (given.chunks, given.ltrs[0][1], given.ltrs[1][0], given.helitrons, given.tirs[0], given.solo_hits, given.library_hits):
+        made = t._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in made and "Generate" not in made and "Aggregate" not in made

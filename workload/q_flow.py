@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loci import plans
 from loci.operators import hits as h
+from loci.session import materialize
 
 from . import views as v
 from .q_hierarchy import RETRO, natural
@@ -31,10 +32,13 @@ def whole_flow(spark, sf) -> plans.GenomeFlow:
 
 
 def new_flow(spark, sf) -> plans.GenomeFlow:
-    """Elements of the first priorities are LTR elements; the rest is dealt to the other kinds by order number."""
-    e, parts = v.doc_elements(spark, sf), v.doc_features(spark, sf)
+    """Elements of the first priorities are LTR elements; the rest is dealt to the other kinds by order number.
+
+    The steps read their input very often; joins and cuts that make it are done once.
+    """
+    e, parts = materialize(v.doc_elements(spark, sf)), materialize(v.doc_features(spark, sf))
     ltr, deal = F.col("type") == "LTR_retrotransposon", F.col("orderkey") % 5
-    hits = h.normalize_hits(v.doc_hits(spark, sf))
+    hits = materialize(h.normalize_hits(v.doc_hits(spark, sf)))
     even = F.col("position") % 2 == 0
     path = v.doc_path(spark, sf)
 
@@ -43,7 +47,7 @@ def new_flow(spark, sf) -> plans.GenomeFlow:
         return (mine.where(F.col("status") == "F"), parts), (mine, parts)
 
     return plans.GenomeFlow(
-        chunks(spark, sf),
+        materialize(chunks(spark, sf)),
         ltrs=runs(ltr),
         trims=runs(~ltr & (deal == 0)),
         helitrons=e.where(~ltr & (deal == 1)),
