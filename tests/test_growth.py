@@ -123,3 +123,33 @@ def test_inputs_of_the_flow_are_made_once(spark):
     for t in (given.chunks, given.ltrs[0][1], given.ltrs[1][0], given.helitrons, given.tirs[0], given.solo_hits, given.library_hits):
         made = t._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in made and "Generate" not in made and "Aggregate" not in made
+
+
+@pytest.mark.parametrize("made", [lambda t: iv.merge_intervals(t, gap=1), lambda t: iv.chain_signals(t, max_evalue=1.0), lambda t: sq.mask_intervals(sq.windows(t.select("seq_id", F.repeat(F.lit("ACGT"), 200).alias("residues")).distinct(), 100, 5), t, 100)])
+def test_tiles_are_not_put_together_to_one_task_a_core(spark, made):
+    """Tiles come over all shuffle partitions, however small adaptive execution finds them; the other exchanges are left to it."""
+    r = random.Random(7)
+    rows = [(f"s{r.randrange(40)}", a, a + r.randrange(9), 1, 0.5) for a in r.choices(range(1, 700), k=400)]
+    t = spark.createDataFrame(rows, "seq_id string, start long, end long, score long, evalue double")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        out = made(t)
+        out.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    lines = plan(out).split("== Initial Plan ==")[0].splitlines()
+    at = [i for i, x in enumerate(lines) if "_tile" in x and "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" in x]
+    assert at and all(", 23)" in lines[i] for i in at)
+    # nothing but the stage lies between the exchange and the sort that reads it
+    assert not any("AQEShuffleRead" in lines[i - 2] for i in at), "\n".join(lines)
+
+
+def test_bases_of_tables_dealt_over_tiles(spark):
+    r = random.Random(11)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(1, 300)]), r.choice([None, *range(1, 300)])) for _ in range(300)]
+    rows = rows + rows[:50]
+    t = spark.createDataFrame(rows, "seq_id string, start long, end long").where("end IS NULL OR start <= end")
+    whole = {s: {p for x, a, b in rows if x == s and a is not None and b is not None and a <= b for p in range(a, b + 1)} for s in ("a", "b")}
+    for tile in (16, 1 << 16):
+        merged = iv.merge_intervals(t.where("end IS NOT NULL"), gap=1, tile=tile).collect()
+        assert {s: sum(x["end"] - x["start"] + 1 for x in merged if x["seq_id"] == s) for s in ("a", "b")} == {s: len(p) for s, p in whole.items()}
