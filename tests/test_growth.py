@@ -15,7 +15,7 @@ from loci.operators import sequences as sq
 from loci.operators.ordering import top_per_key
 from loci.plans import flow
 from loci.sources import features as ft
-from workload import q_flow
+from workload import q_flow, views
 
 CALL = "seq_id string, start long, end long, id string, score long, similarity double"
 
@@ -153,3 +153,22 @@ def test_bases_of_tables_dealt_over_tiles(spark):
     for tile in (16, 1 << 16):
         merged = iv.merge_intervals(t.where("end IS NOT NULL"), gap=1, tile=tile).collect()
         assert {s: sum(x["end"] - x["start"] + 1 for x in merged if x["seq_id"] == s) for s in ("a", "b")} == {s: len(p) for s, p in whole.items()}
+
+
+def test_spans_on_documents_are_dealt_over_all_partitions(spark, tmp_path):
+    """Rows of one document meet in one task, of which there are as many as shuffle partitions and not one a core."""
+    spark.createDataFrame([(i, "abcdefghij" * (i + 1)) for i in range(3)] + [(3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(k, k % 5 if k else None, 7, 1, float(k % 9 + 1), 10.0, "1995-01-09") for k in range(60)]
+    t = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, day string")
+    t.select("*", F.col("day").cast("timestamp").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = views.document_spans(spark, str(tmp_path))
+    got = sorted((x["seq_id"], x["start"], x["end"]) for x in out.collect())
+    length = {0: 10, 1: 20, 2: 30, 3: 0}
+    want = []
+    for k, part, *_ in lines:
+        if part is not None:
+            size = k % 9 + 1
+            start = 1 + (9 * 2689 + k * 40503) % max(length[part % 4] - size + 1, 1)
+            want.append((f"doc{part % 4}", start, start + size - 1))
+    assert got == sorted(want)
+    assert "Exchange hashpartitioning(seq_id" in plan(out) and "REPARTITION_BY_NUM" in plan(out)
