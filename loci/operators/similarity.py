@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import reverse_complement
-from ..session import materialize
+from ..session import discard, materialize
 from .intervals import carry_over_tiles, merge_intervals
+from .screening import can_match
 
 
 def kmers(c: Column | str, k: int, within: Sequence[str] = ()) -> Column:
@@ -39,16 +40,22 @@ def copies(t: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     return marked.join(first, ["_digest", *within]).select("id", "representative")
 
 
-def _sets(t: DataFrame, k: int, within: Sequence[str]) -> DataFrame:
-    """Distinct texts with their k-mers: (no, id, kmers). Numbers are shorter to carry than ids; written, so that they stay.
+def _sets(t: DataFrame, k: int, within: Sequence[str], min_share: float) -> DataFrame:
+    """Distinct texts that may have a similar one, with their k-mers: (no, id, kmers).
 
-    K-mers take eight times the room of their text: texts are written, and k-mers made where they are read.
+    Numbers are shorter to carry than ids; written, so that they stay. K-mers
+    take eight times the room of their text: texts are written, and k-mers made
+    where they are read. Texts most of whose k-mers are found nowhere else go
+    before k-mers are carried at all (:func:`can_match`).
     """
     same = copies(t, within)
     reps = same.where(F.col("id") == F.col("representative")).select("id")
     texts = t.where(F.length("residues") >= k).select("id", "residues", *within)
     written = materialize(texts.hint("merge").join(reps, "id", "left_semi").withColumn("no", F.monotonically_increasing_id()))
-    return written.select("no", "id", kmers("residues", k, within).alias("kmers"))
+    some = materialize(can_match(written, k, min_share, within))
+    kept = materialize(written.join(some, "no", "left_semi"))
+    discard(written, some)
+    return kept.select("no", "id", kmers("residues", k, within).alias("kmers"))
 
 
 def _prefixes(sets: DataFrame, min_share: float) -> DataFrame:
@@ -119,7 +126,7 @@ def similar_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8, within: Seq
     All pairs are the result here, so near copies of one text make a square of
     them; clusters need fewer (:func:`linking_pairs`).
     """
-    sets = _sets(t, k, within)
+    sets = _sets(t, k, within, min_share)
     prefix = materialize(_prefixes(sets, min_share))
     return _named(_verified(_candidates(prefix, prefix, min_share, F.col("a_no") < F.col("b_no")), sets, min_share), sets)
 
@@ -132,7 +139,7 @@ def linking_pairs(t: DataFrame, k: int = 16, min_share: float = 0.8, within: Seq
     Only pairs of a group that lie in different clusters then are still open;
     they are all compared, so no link is lost.
     """
-    sets = _sets(t, k, within)
+    sets = _sets(t, k, within, min_share)
     prefix = materialize(_prefixes(sets, min_share))
     smallest = F.min(F.struct("n", "no", "place"))
     centres = prefix.groupBy("kmer").agg(smallest.alias("c"), F.count("*").alias("m")).where(F.col("m") > 1)
