@@ -62,3 +62,16 @@ def test_kmers_of_texts_without_a_partner_are_not_carried(spark, monkeypatch):
 def test_no_texts(spark):
     assert screening.can_match(spark.createDataFrame([], TEXT), 6, 0.5).count() == 0
     assert screening.can_match(spark.createDataFrame([(1, "abc", "x"), (2, None, None)], TEXT), 6, 0.5).count() == 0
+
+
+def test_lists_of_kmers_are_not_sent_to_the_pairs(spark):
+    rows = made(3)
+    t = spark.createDataFrame([(f"t{i}", x) for i, x, _ in rows], "id string, residues string")
+    out = similarity.similar_pairs(t, 6, 0.3)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().executedPlan().toString()
+    sets = {f"t{i}": {x[j : j + 6] for j in range(len(x) - 5)} for i, x, _ in rows}
+    got = {(p["a"], p["b"]): (p["shared"], p["share"]) for p in out.collect()}
+    first = {frozenset([x]): min(f"t{i}" for i, y, _ in rows if y == x) for _, x, _ in rows}
+    ids = sorted(first.values())
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in ids for b in ids if a < b and sets[a] & sets[b]}
+    assert got == {pair: s for pair, s in want.items() if s[1] >= 0.3}
